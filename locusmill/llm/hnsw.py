@@ -1,10 +1,11 @@
 """Nearest neighbours of every vector: a navigable small-world graph with layers for each shard, shard results merged.
 
-Vectors are sharded by their nearest centroid (fitted on a bounded sample; every vector is indexed), a shard of too many vectors is split by a hash.
+Vectors belong to the cell of their nearest centroid (fitted on a bounded sample; every vector is indexed), neighbouring cells make a shard, and a shard of too
+many vectors is split by a hash.
 A shard's graph is built in growing batches: candidates come from a beam search over the graph so far and from within the batch, and each node keeps
 neighbours in different directions. Layers are flat int32 arrays, -1 where a node has fewer neighbours. All queries of a batch advance through the graph
 in lock-step, as array operations. Each vector is searched in its own shard first; other shards follow only where the distance between
-the query and the shard's cell can be below that of its k-th neighbour so far.
+the query and one of the shard's cells can be below that of its k-th neighbour so far.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 
 from locusmill.util import materialize
 
-#: Vectors of a shard, most centroids, vectors in the sample that the centroids are fitted on.
-SHARD_ROWS, MOST_CENTROIDS, SAMPLE_ROWS = 4096, 4096, 20_000
-LINKS, EF_BUILD, EF_SEARCH = 16, 64, 64
+#: Vectors of a shard, most shards, vectors of a cell, most cells, vectors in the sample that the cells' centroids are fitted on.
+SHARD_ROWS, MOST_SHARDS, CELL_ROWS, MOST_CELLS, SAMPLE_ROWS = 4096, 4096, 16, 4096, 20_000
+LINKS, EF_BUILD, EF_SEARCH = 16, 64, 48
 
 
 def _sq(x: np.ndarray, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -285,28 +286,34 @@ def usable_vectors(df: DataFrame, key: str = "cell_id", vec: str = "vec", unit:
     return rows.mapInArrow(run, f"id {kind}, vec array<float>")
 
 
-def _fit(x: np.ndarray, c: int, seed: int = 5, rounds: int = 12) -> np.ndarray:
+def _fit(x: np.ndarray, c: int, seed: int = 5, rounds: int = 3) -> np.ndarray:
     """c centroids of x by Lloyd's rounds from spread starting points; an empty one moves to a far point."""
     rng = np.random.default_rng(seed)
     x = x.astype(np.float32)
     cen = x[rng.choice(len(x), c, replace=False)]
     for _ in range(rounds):
-        d = (cen * cen).sum(1)[None] - 2 * x @ cen.T
-        a = d.argmin(1)
-        s = np.zeros_like(cen)
-        np.add.at(s, a, x)
-        n = np.bincount(a, minlength=c)
-        far = np.argsort(-(d[np.arange(len(x)), a] + (x * x).sum(1)))[: (n == 0).sum()]
-        cen = s / np.maximum(n, 1)[:, None]
+        s, n = np.zeros(cen.shape, np.float64), np.zeros(c, np.int64)
+        off = np.empty(len(x), np.float32)
+        for lo in range(0, len(x), 2000):  # by blocks, so that the driver never holds all distances
+            y = x[lo : lo + 2000]
+            d = y @ (-2 * cen.T)
+            d += (cen * cen).sum(1)[None]
+            a = d.argmin(1)
+            off[lo : lo + 2000] = d[np.arange(len(y)), a] + (y * y).sum(1)
+            np.add.at(s, a, y)
+            n += np.bincount(a, minlength=c)
+        far = np.argsort(-off)[: (n == 0).sum()]
+        cen = (s / np.maximum(n, 1)[:, None]).astype(np.float32)
         cen[n == 0] = x[far]
     return cen
 
 
-def knn(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, ef: int = EF_SEARCH, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def knn(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, ef: int = EF_SEARCH, sample_rows: int = SAMPLE_ROWS, reach: float | None = None) -> DataFrame:
     """(id, neighbour, distance): the k nearest other vectors (Euclidean) of every row of (id, vec), nearest first within an id; ids are unique, vectors equally long.
 
     Approximate: the graphs find nearly all neighbours, see the README for the recall measured. Equal distances are ordered by id. With no more than k other vectors
-    all come out; an empty table gives no rows. Equal vectors, however many, are split into shards of bounded size.
+    all come out; an empty table gives no rows. Equal vectors, however many, are split into shards of bounded size. With `reach` only neighbours at most that far
+    away are wanted.
     """
     spark = vectors.sparkSession
     kind = vectors.schema["id"].dataType.simpleString()
@@ -315,26 +322,40 @@ def knn(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, ef: int = EF_S
     n = vectors.count()
     if n < 2:
         return spark.createDataFrame([], out_schema)
-    c = min(MOST_CENTROIDS, -(-n // shard_rows))
-    m = max(1, n // sample_rows)
-    sample = np.array([r.vec for r in vectors.where(F.pmod(F.xxhash64("id"), F.lit(m)) == 0).limit(2 * sample_rows).collect()], np.float32)
-    if len(sample) < c:
-        sample = np.array([r.vec for r in vectors.limit(2 * sample_rows).collect()], np.float32)
-    cen = _fit(sample, min(c, len(sample)))
+    m = -(-n // sample_rows)
+    some = vectors.where(F.pmod(F.xxhash64("id"), F.lit(m)) == 0).limit(2 * sample_rows).select("vec").toArrow()
+    sample = matrix((some if some.num_rows else vectors.limit(1).select("vec").toArrow()).column("vec"))
+    # cells are small, so that their bounds are tight; shards are groups of neighbouring cells
+    cen = _fit(sample, 1 if n <= shard_rows else min(MOST_CELLS, max(1, n // CELL_ROWS), len(sample)))
+    groups = min(len(cen), MOST_SHARDS, -(-n // shard_rows))
+    mid = _fit(cen, groups, rounds=8)
+    group = ((mid * mid).sum(1)[None] - 2 * cen @ mid.T).argmin(1)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix(b.column(1))
-            cell = ((cen * cen).sum(1)[None] - 2 * x @ cen.T).argmin(1) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_pydict({"id": b.column(0), "vec": b.column(1), "cell": pa.array(cell.astype(np.int32))})
-
-    placed = vectors.mapInArrow(assign, f"id {kind}, vec array<float>, cell int")
-    counts = {r.cell: r["n"] for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    limit = max(2 * shard_rows, 2 * n // MOST_CENTROIDS)
-    pieces = np.array([max(1, -(-counts.get(i, 0) // limit)) for i in range(len(cen))])
+            cell = np.zeros(len(x), np.int32)
+            d = np.zeros(len(x))
+            for lo in range(0, len(x), 1000):
+                y = x[lo : lo + 1000]
+                cell[lo : lo + 1000] = ((cen * cen).sum(1)[None] - 2 * y @ cen.T).argmin(1)
+                d[lo : lo + 1000] = np.linalg.norm(y - cen[cell[lo : lo + 1000]], axis=1)
+            yield pa.RecordBatch.from_pydict({"id": b.column(0), "vec": b.column(1), "cell": pa.array(cell), "off": pa.array(d)})
+
+    placed = vectors.mapInArrow(assign, f"id {kind}, vec array<float>, cell int, off double")
+    placed = materialize(placed, "placed") if len(cen) > 1 else placed
+    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("off").alias("r")).collect()
+    radius = np.zeros(len(cen), np.float32)
+    size = np.zeros(groups, np.int64)
+    for r in stats:
+        radius[r.cell] = r.r
+        size[group[r.cell]] += r["n"]
+    limit = max(2 * shard_rows, 2 * n // MOST_SHARDS)
+    pieces = np.maximum(1, -(-size // limit))
     first = np.r_[0, np.cumsum(pieces)[:-1]]
-    split = F.broadcast(spark.createDataFrame([(i, int(first[i]), int(pieces[i])) for i in range(len(cen))], "cell int, _first int, _pieces int"))
-    placed = materialize(placed.join(split, "cell").select("id", "vec", "cell", (F.col("_first") + F.pmod(F.xxhash64("id"), F.col("_pieces"))).cast("int").alias("shard")), "placed")
+    split = F.broadcast(spark.createDataFrame([(i, int(first[g]), int(pieces[g])) for i, g in enumerate(group)], "cell int, _first int, _pieces int"))
+    placed = placed.join(split, "cell").select("id", "vec", "cell", (F.col("_first") + F.pmod(F.xxhash64("id"), F.col("_pieces"))).cast("int").alias("shard"))
+    placed = materialize(placed, "placed")
     shards = int(pieces.sum())
 
     def build(t: pa.Table) -> pa.Table:
@@ -347,56 +368,60 @@ def knn(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, ef: int = EF_S
     graphs = materialize(placed.repartition(shards, "shard").groupBy("shard").applyInArrow(build, "shard int, graph binary, ids binary"), "graphs")
 
     def look(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, own = matrix(left.column("vec")), left.column("id").combine_chunks()
+        own = left.select(["id", "vec", "cell", "shard"])
+        q = matrix(left.column("vec"))
         if not len(q) or not right.num_rows:
-            return pa.table({"id": left.column("id").slice(0, 0), "vec": left.column("vec").slice(0, 0), "cell": left.column("cell").slice(0, 0), "near": pa.array([], near)})
+            return own.slice(0, 0).append_column("near", pa.array([], near))
         g = Graph.load(right.column("graph")[0].as_py())
         ids = pa.ipc.open_stream(right.column("ids")[0].as_py()).read_all().column("id").combine_chunks()
         at, d = g.search(q, k + 1, ef)
         ok = at >= 0
+        if reach is not None:
+            ok &= d <= reach * reach * 1.0001
         flat = ids.take(pa.array(at[ok]))
         offsets = np.r_[0, np.cumsum(ok.sum(1))].astype(np.int32)
         items = pa.StructArray.from_arrays([pa.array(np.sqrt(d[ok]).astype(np.float64)), flat], names=["d", "id"])
-        return pa.table({"id": own, "vec": left.column("vec"), "cell": left.column("cell"), "near": pa.ListArray.from_arrays(pa.array(offsets), items)})
+        return own.append_column("near", pa.ListArray.from_arrays(pa.array(offsets), items))
 
     near = pa.list_(pa.struct([("d", pa.float64()), ("id", _arrow(kind))]))
-    near_sql = f"array<struct<d: double, id: {kind}>>"
-    home = placed.groupBy("shard").cogroup(graphs.groupBy("shard")).applyInArrow(look, f"id {kind}, vec array<float>, cell int, near {near_sql}")
-    home = home.select("id", "vec", "cell", F.pmod(F.xxhash64("id"), F.lit(1 << 20)).alias("_x"), F.filter("near", lambda x: x["id"] != F.col("id")).alias("near"))
+    found = f"id {kind}, vec array<float>, cell int, shard int, near array<struct<d: double, id: {kind}>>"
+    others = F.filter("near", lambda x: x["id"] != F.col("id")).alias("near")
+    home = placed.groupBy("shard").cogroup(graphs.groupBy("shard")).applyInArrow(look, found).select("id", "vec", "cell", "shard", others)
     if shards == 1:
         merged = home.select("id", "near")
     else:
         home = materialize(home, "home")
+        farthest = float("inf") if reach is None else float(reach)
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            between = np.sqrt(np.maximum((cen * cen).sum(1)[:, None] + (cen * cen).sum(1)[None] - 2 * cen @ cen.T, 1e-12))
+            cc = (cen * cen).sum(1)
+            between = np.sqrt(np.maximum(cc[:, None] + cc[None] - 2 * cen @ cen.T, 1e-12))
             for b in batches:
-                x, cell = matrix(b.column(1)), b.column(2).to_numpy()
-                kth, shard_of = b.column(3).to_numpy(zero_copy_only=False), b.column(4).to_numpy()
-                d2 = np.maximum((x * x).sum(1)[:, None] + (cen * cen).sum(1)[None] - 2 * x @ cen.T, 0)
-                # no vector of another cell is nearer than the plane between the two centroids
-                plane = (d2 - d2[np.arange(len(x)), cell][:, None]) / (2 * between[cell])
-                row, to = np.nonzero(plane < kth[:, None])
-                rep = pieces[to]
-                row, to = np.repeat(row, rep), np.repeat(first[to], rep) + (np.arange(rep.sum()) - np.repeat(np.r_[0, np.cumsum(rep)[:-1]], rep))
-                other = to != shard_of[row]
-                row, to = row[other], to[other]
-                for lo in range(0, len(row), 20_000):
-                    r = pa.array(row[lo : lo + 20_000])
-                    yield pa.RecordBatch.from_pydict({"id": b.column(0).take(r), "vec": b.column(1).take(r), "cell": b.column(2).take(r), "shard": pa.array(to[lo : lo + 20_000].astype(np.int32))})
-
-        kth = F.when(F.size("near") >= k, F.element_at("near", k)["d"]).otherwise(F.lit(float("inf")))
-        own = F.broadcast(spark.createDataFrame([(i, int(first[i]), int(pieces[i])) for i in range(len(cen))], "cell int, _first int, _pieces int"))
-        asked = home.join(own, "cell").select("id", "vec", "cell", kth.cast("double").alias("kth"), (F.col("_first") + F.pmod(F.xxhash64("id"), F.col("_pieces"))).cast("int").alias("shard"))
-        more = asked.mapInArrow(route, f"id {kind}, vec array<float>, cell int, shard int")
-        # a shard asked by many is met in chunks of bounded size, each with its own copy of the graph
-        chunks = 1 << 20
-        more = more.withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(max(1, -(-n // (8 * shard_rows))))).cast("int")) if n > 8 * shard_rows else more.withColumn("part", F.lit(0))
-        parts = max(1, -(-n // (8 * shard_rows))) if n > 8 * shard_rows else 1
-        copies = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))) if parts <= chunks else graphs
-        away = more.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(look, f"id {kind}, vec array<float>, cell int, near {near_sql}")
-        away = away.select("id", F.filter("near", lambda x: x["id"] != F.col("id")).alias("near"))
-        merged = home.select("id", "near").unionByName(away).groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near"))
+                for lo in range(0, b.num_rows, 1000):
+                    p = b.slice(lo, 1000)
+                    x, cell, shard = matrix(p.column(1)), p.column(2).to_numpy(), p.column(3).to_numpy()
+                    kth = p.column(4).to_numpy(zero_copy_only=False)[:, None]
+                    d2 = np.maximum((x * x).sum(1)[:, None] + cc[None] - 2 * x @ cen.T, 0)
+                    # a vector of another cell is behind the plane between the two centroids and within its cell's radius
+                    may = (d2 - d2[np.arange(len(x)), cell][:, None]) < 2 * kth * between[cell]
+                    may &= np.sqrt(d2) - radius[None] < kth
+                    row, to = np.nonzero(may)
+                    pair = np.unique(row * groups + group[to])
+                    row, to = pair // groups, pair % groups
+                    rep = pieces[to]
+                    row, to = np.repeat(row, rep), np.repeat(first[to], rep) + (np.arange(rep.sum()) - np.repeat(np.r_[0, np.cumsum(rep)[:-1]], rep))
+                    other = to != shard[row]
+                    r = pa.array(row[other])
+                    yield pa.RecordBatch.from_pydict({"id": p.column(0).take(r), "vec": p.column(1).take(r), "cell": p.column(2).take(r), "shard": pa.array(to[other].astype(np.int32))})
+
+        kth = F.when(F.size("near") >= k, F.least(F.element_at("near", k)["d"], F.lit(farthest))).otherwise(F.lit(farthest))
+        asked = home.select("id", "vec", "cell", "shard", kth.cast("double").alias("kth")).mapInArrow(route, f"id {kind}, vec array<float>, cell int, shard int")
+        # what is asked of a shard comes in parts of bounded size, each with its own copy of the graph
+        parts = max(1, -(-n // (8 * shard_rows)))
+        asked = asked.withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(parts)).cast("int"))
+        copies = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        away = asked.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(look, found)
+        merged = home.select("id", "near").unionByName(away.select("id", others)).groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near"))
     best = F.slice(F.array_sort(F.array_distinct("near")), 1, k)
     return merged.select("id", F.explode(best).alias("x")).select("id", F.col("x.id").alias("neighbour"), F.col("x.d").alias("distance"))
 

@@ -107,7 +107,7 @@ def cluster_vectors(vectors: DataFrame, threshold: float = 0.8, k: int = 15, lev
     member = vectors.select("id", F.col("id").alias("cluster"))
     nodes = vectors
     for _ in range(levels):
-        near = knn(nodes, k)
+        near = knn(nodes, k, reach=(2 - 2 * threshold) ** 0.5)
         edges = near.select(F.col("id").alias("a"), F.col("neighbour").alias("b"), (1 - F.col("distance") * F.col("distance") / 2).alias("w")).where(F.col("w") >= threshold)
         edges = materialize(edges, "edges")
         if not edges.limit(1).count():
