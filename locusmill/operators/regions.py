@@ -184,18 +184,19 @@ def resolve_overlaps(df: DataFrame, higher: bool = True, score: str = "score") -
 
     Sequential within a run of overlapping regions and independent between runs, so rows are grouped by run (merged stretch), not by chromosome.
     """
-    runs = merge_regions(df.select("chrom", "start", "end"))
-    j = overlap_join(df, runs.withColumn("run", F.col("start")))
+    from locusmill.operators.peaks import by_run
+
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     names = df.columns
 
     def fold(p):
-        p = p.sort_values(["start", "end"], kind="stable")
+        p = p.sort_values(["run", "start", "end"], kind="stable")
+        g, s, e = p["run"].tolist(), p["start"].tolist(), p["end"].tolist()
+        v = (p[score].astype(float) * (1 if higher else -1)).tolist()
         kept: list[int] = []
-        s, e, v = p["start"].to_numpy(), p["end"].to_numpy(), p[score].astype(float).to_numpy() * (1 if higher else -1)
         for i in range(len(p)):
             drop = False
-            while kept and e[kept[-1]] > s[i]:
+            while kept and g[kept[-1]] == g[i] and e[kept[-1]] > s[i]:
                 if v[kept[-1]] > v[i]:
                     drop = True
                     break
@@ -204,5 +205,4 @@ def resolve_overlaps(df: DataFrame, higher: bool = True, score: str = "score") -
                 kept.append(i)
         return p.iloc[kept][names]
 
-    return j.groupBy("r_chrom", "r_run").applyInPandas(fold, types)
-
+    return by_run(df, F.col("start"), F.col("end"), fold, types)
