@@ -1 +1,37 @@
+"""Column functions in one place."""
 
+from locusmill.operators.clean import clean_chrom  # noqa: F401
+from locusmill.operators.contacts import barcode_of  # noqa: F401
+from locusmill.operators.forest import parent_of  # noqa: F401
+from locusmill.operators.intervals import bins  # noqa: F401
+from locusmill.operators.matrices import tile_label  # noqa: F401
+from locusmill.operators.motifs import gc_share, kmer_code, kmers, reverse_complement  # noqa: F401
+from locusmill.operators.regions import parse_region, region_label  # noqa: F401
+from locusmill.operators.stats import norm_pdf, normal_two_sided, pearson, relu, sigmoid  # noqa: F401
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def cell_barcode(c: Column | str, separator: str = "___") -> Column:
+    """A cell name without its sample suffix."""
+    return F.substring_index(F.col(c) if isinstance(c, str) else c, separator, 1)
+
+
+def whole_number(c: Column | str) -> Column:
+    """`1.0` as `1`, other texts as they are."""
+    return F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"^(-?\d+)\.0+$", "$1")
+
+
+def file_name(c: Column | str) -> Column:
+    """Text as a file name: characters other than letters, digits, `_`, `.`, `-` become `_`."""
+    return F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"[^\w.\-]", "_")
+
+
+def short_length(c: Column | str) -> Column:
+    """Bases as `950bp`, `12kb`, `3Mb`."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c >= 1_000_000, F.concat((c / 1_000_000).cast("bigint"), F.lit("Mb"))).when(c >= 1000, F.concat((c / 1000).cast("bigint"), F.lit("kb"))).otherwise(F.concat(c.cast("bigint"), F.lit("bp")))
+
+
+def number(c: Column | str) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).try_cast("double")

@@ -1,0 +1,87 @@
+"""Networks of terms that share regions: edges by correlation, node measures, components and exports."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from locusmill.operators.stats import correlate_pairs
+from locusmill.util import materialize
+
+
+def cooccurrence_network(sites: DataFrame, threshold: float = 0.5, min_shared: int = 10, method: str = "pearson") -> DataFrame:
+    """(a, b, correlation, shared), a < b: terms of sites (term, region, score) whose greatest scores by region correlate at least `threshold` in size and that share min_shared regions, absent scores being 0."""
+    m = materialize(sites.groupBy("term", "region").agg(F.max("score").cast("double").alias("value")), "sites")
+    n = m.select("region").distinct().count()
+    if method == "spearman":
+        # average ranks with the zeros as one tie below all
+        w = W.partitionBy("term")
+        k = F.count(F.lit(1)).over(w)
+        tie = F.count(F.lit(1)).over(W.partitionBy("term", "value"))
+        rank = (n - k) + F.rank().over(w.orderBy("value")) + (tie - 1) / 2
+        m = materialize(m.withColumn("value", rank - ((n - k) + 1) / 2), "ranks")
+    pairs = m.select(F.col("term").alias("a"), "region").join(m.select(F.col("term").alias("b"), "region"), "region").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    c = correlate_pairs(m.withColumnRenamed("region", "sample"), pairs.where(F.col("shared") >= min_shared), n, "term")
+    return c.where(F.abs("correlation") >= threshold).select("a", "b", "correlation", "shared")
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """(id, degree, strength)."""
+    b = edges.select(F.col("a").alias("id"), "w").unionByName(edges.select(F.col("b").alias("id"), "w"))
+    return b.groupBy("id").agg(F.count(F.lit(1)).alias("degree"), F.sum("w").alias("strength"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): the least id reachable, by alternating large and small stars, a logarithmic number of rounds; a node of many links sends each link once."""
+    e = edges.select("a", "b").where("a <> b")
+    nodes = e.select(F.col("a").alias("id")).unionByName(e.select(F.col("b").alias("id"))).distinct()
+    cur = materialize(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
+    while True:
+        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low2, "u")
+        nxt = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v"))).distinct()
+        nxt = materialize(nxt, "stars")
+        same = nxt.count() == cur.count() and not nxt.exceptAll(cur).limit(1).count()
+        cur = nxt
+        if same:
+            break
+    return nodes.join(cur.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """(id, triangles, clustering) by joining each node's links towards higher degree, so that no node lists more than about the root of all links."""
+    d = degrees(edges.withColumn("w", F.lit(1.0)))
+    e = edges.select("a", "b").distinct()
+    k = d.select("id", "degree")
+    o = e.join(k.withColumnsRenamed({"id": "a", "degree": "da"}), "a").join(k.withColumnsRenamed({"id": "b", "degree": "db"}), "b")
+    x, y = F.struct("da", "a"), F.struct("db", "b")
+    o = o.select(F.when(x < y, F.col("a")).otherwise(F.col("b")).alias("s"), F.when(x < y, F.col("b")).otherwise(F.col("a")).alias("t"))
+    t = o.select("s", F.col("t").alias("t1")).join(o.select("s", F.col("t").alias("t2")), "s").where("t1 <> t2").join(o.select(F.col("s").alias("t1"), F.col("t").alias("t2")), ["t1", "t2"])
+    n = t.select(F.explode(F.array("s", "t1", "t2")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("triangles"))
+    j = d.join(n, "id", "left").fillna(0, ["triangles"])
+    pairs = F.col("degree") * (F.col("degree") - 1) / 2
+    return j.select("id", "degree", "triangles", F.when(pairs > 0, F.col("triangles") / pairs).otherwise(0.0).alias("clustering"))
+
+
+def network_summary(edges: DataFrame) -> DataFrame:
+    """One row: nodes, links, density, components."""
+    c = components(edges)
+    s = c.agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("component").alias("components"))
+    return s.crossJoin(edges.agg(F.count(F.lit(1)).alias("links"))).withColumn("density", 2 * F.col("links") / F.nullif(F.col("nodes") * (F.col("nodes") - 1), F.lit(0)))
+
+
+def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
+    """(id, rank) on the undirected graph."""
+    b = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    deg = b.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
+    b = materialize(b.join(deg, "a"), "links")
+    n = deg.count()
+    r = deg.select(F.col("a").alias("id"), F.lit(1.0 / max(n, 1)).alias("rank"))
+    for _ in range(rounds):
+        got = b.join(r.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.sum(F.col("rank") / F.col("d")).alias("g"))
+        r = materialize(got.select("id", (F.lit((1 - damping) / n) + damping * F.col("g")).alias("rank")), "ranks")
+    return r

@@ -1 +1,30 @@
+"""Compositions of operators: from fragments to cells, peaks, matrices and embeddings."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from locusmill.operators import embed, matrices, peaks, qc
+from locusmill.operators.intervals import coverage_runs
+from locusmill.util import materialize
+
+
+def cells_and_tiles(frags: DataFrame, width: int = 500, min_fragments: int = 20, n_features: int = 5000) -> tuple[DataFrame, DataFrame]:
+    """(cells with measures, tile matrix (cell, feature, value) of the features chosen)."""
+    cells = materialize(qc.import_fragments(frags, min_fragments=min_fragments).join(qc.nucleosome_signal(frags), "cell"), "cells")
+    x = matrices.tile_matrix(frags.join(cells.select("cell"), "cell", "left_semi"), width)
+    x = x.select("cell", matrices.tile_label("chrom", "tile", width).alias("feature"), "value")
+    x = materialize(x, "tiles")
+    return cells, x.join(matrices.features_by_presence(x, n_features).select("feature"), "feature", "left_semi")
+
+
+def groups_to_peaks(frags: DataFrame, groups: DataFrame, sizes: DataFrame, genome: int, half_width: int = 250) -> DataFrame:
+    """Peaks called in all fragments' coverage, merged to fixed windows."""
+    runs = materialize(coverage_runs(frags.join(groups, "cell"), ["chrom"]), "runs")
+    return peaks.merge_peaks(peaks.call_peaks(runs, genome), sizes, half_width)
+
+
+def embed_and_cluster(x: DataFrame, k: int = 20, clusters: int = 8) -> DataFrame:
+    """(cell, vec, cluster)."""
+    u = embed.iterative_lsi(x, k, features=2000)
+    return u.join(embed.kmeans(u, clusters), "cell")

@@ -1 +1,4 @@
+"""Readers and writers of fragment, region, annotation, contact, matrix and track files, all as DataFrames."""
 
+from locusmill.sources.readers import *  # noqa: F403
+from locusmill.sources.writers import *  # noqa: F403

@@ -1 +1,40 @@
+"""Streams of fragments and events: incremental tile counts, windowed aggregates with late data, per-key state."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def fragment_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Parquet files as they arrive in a folder."""
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def tile_counts(stream: DataFrame, width: int = 5000, time: str = "loaded_at", late: str = "1 hour", window: str = "10 minutes") -> DataFrame:
+    """(window, chrom, tile, reads) per event-time window; rows later than the watermark are dropped by it."""
+    s = stream.withWatermark(time, late).withColumn("tile", F.floor(F.col("start") / width))
+    return s.groupBy(F.window(time, window), "chrom", "tile").agg(F.sum("count").alias("reads"), F.count(F.lit(1)).alias("n"))
+
+
+def session_counts(stream: DataFrame, key: str, time: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    return stream.withWatermark(time, late).groupBy(F.session_window(time, gap), key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def distinct_stream(stream: DataFrame, keys: list[str], time: str, late: str = "1 hour") -> DataFrame:
+    """The first row of each key within the watermark."""
+    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+
+
+def upsert_totals(batch: DataFrame, path: str, keys: list[str], value: str) -> None:
+    """foreachBatch target: adds a batch's sums to the totals at path, written beside and swapped in."""
+    spark = batch.sparkSession
+    new = batch.groupBy(*keys).agg(F.sum(value).alias(value))
+    jvm = spark._jvm.org.apache.hadoop.fs
+    now, nxt = jvm.Path(path), jvm.Path(path + ".next")
+    fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(now):
+        new = spark.read.parquet(path).unionByName(new).groupBy(*keys).agg(F.sum(value).alias(value))
+    new.write.mode("overwrite").parquet(path + ".next")
+    fs.delete(now, True)
+    fs.rename(nxt, now)
