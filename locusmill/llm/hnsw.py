@@ -409,7 +409,7 @@ def knn(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, ef: int = EF_S
                     pair = np.unique(row * groups + group[to])
                     row, to = pair // groups, pair % groups
                     rep = pieces[to]
-                    row, to = np.repeat(row, rep), np.repeat(first[to], rep) + (np.arange(rep.sum()) - np.repeat(np.r_[0, np.cumsum(rep)[:-1]], rep))
+                    row, to = np.repeat(row, rep), np.repeat(first[to], rep) + (np.arange(rep.sum()) - np.repeat(np.cumsum(rep) - rep, rep))
                     other = to != shard[row]
                     r = pa.array(row[other])
                     yield pa.RecordBatch.from_pydict({"id": p.column(0).take(r), "vec": p.column(1).take(r), "cell": p.column(2).take(r), "shard": pa.array(to[other].astype(np.int32))})
