@@ -274,7 +274,7 @@ def scan(seqs: DataFrame, motifs: list[Motif], key: str = "feature", seq: str =
     given by its leftmost base. NULL and short sequences have no hits.
     """
     lib = [(m.id, m.pssm(), m.reverse().pssm(), m.cut_off(p) if m.threshold is None else m.threshold) for m in motifs]
-    cols = [key, seq] + [c for c in (chrom, start) if c]
+    cols = [F.col(key).alias("_key"), F.col(seq).alias("_seq")] + [F.col(c).alias(f"_{i}") for i, c in enumerate((chrom, start)) if c]
     kind = seqs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -293,11 +293,12 @@ def scan(seqs: DataFrame, motifs: list[Motif], key: str = "feature", seq: str =
                             v = _scores(x, lo)
                             for a in np.flatnonzero(v >= cut):
                                 out.append((i, c, m, int(o + a), int(o + a + lo.shape[1]), strand, round(float(v[a]), 5)))
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=[key, "chrom", "motif", "start", "end", "strand", "score"]), schema=sch, preserve_index=False)
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=names), schema=sch, preserve_index=False)
 
-    sch = pa.schema([(key, {"string": pa.string(), "bigint": pa.int64()}[kind]), ("chrom", pa.string()), ("motif", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("strand", pa.string()), ("score", pa.float64())])
-    hits = seqs.select(*cols).mapInArrow(run, f"`{key}` {kind}, chrom string, motif string, start bigint, end bigint, strand string, score double")
-    return hits if chrom else hits.drop("chrom")
+    names = ["_key", "chrom", "motif", "start", "end", "strand", "score"]
+    sch = pa.schema([("_key", {"string": pa.string(), "bigint": pa.int64()}[kind]), ("chrom", pa.string()), ("motif", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("strand", pa.string()), ("score", pa.float64())])
+    hits = seqs.select(*cols).mapInArrow(run, f"_key {kind}, chrom string, motif string, start bigint, end bigint, strand string, score double")
+    return hits.withColumnRenamed("_key", key) if chrom else hits.drop("chrom").withColumnRenamed("_key", key)
 
 
 def chunk_genome(genome: DataFrame, size: int = 10_000_000, overlap: int = 100) -> DataFrame:

@@ -61,7 +61,7 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 def _attribute(key: str):
     """The last value of a key in a GTF attribute field."""
-    return F.element_at(F.regexp_extract_all("attribute", F.lit(rf'(?:^|;)\s*{key}\s+"?([^";]*)"?'), 1), -1)
+    return F.try_element_at(F.regexp_extract_all("attribute", F.lit(rf'(?:^|;)\s*{key}\s+"?([^";]*)"?'), 1), F.lit(-1))
 
 
 def read_gtf(spark: SparkSession, path: str, attributes: tuple[str, ...] = ("gene_id", "gene_name", "transcript_id"), features: list[str] | None = None, chr_prefix: str | None = None, sources: list[str] | None = None) -> DataFrame:
@@ -126,17 +126,18 @@ def gff_to_gtf(gff: DataFrame) -> DataFrame:
 
 def read_matrix_market(spark: SparkSession, matrix: str, barcodes: str, features: str) -> DataFrame:
     """(cell, feature, value) of a feature by cell matrix file with its name files; feature names are chrom_start_end of the first three fields (or the first field)."""
-    m = spark.read.text(matrix).where(~F.col("value").startswith("%")).select(F.split(F.trim("value"), r"\s+").alias("f"))
-    m = m.select(*[F.get("f", F.lit(i)).cast("double").alias(c) for i, c in enumerate("rcv")])
-    # the size line is the one with the greatest row, column and count; its value isn't an entry
-    size = m.orderBy(F.desc("v"), F.desc("r")).first()
+    lines = spark.read.text(matrix).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    # the first line holds the sizes; an entry that reads the same stays
+    head = lines.first().value
+    again = lines.where(F.col("value") == head).count() - 1
+    rest = lines.where(F.col("value") != head).unionByName(spark.createDataFrame([(head,)] * again, "value string"))
+    m = rest.select(F.split(F.trim("value"), r"\s+").alias("f")).select(*[F.get("f", F.lit(i)).cast("double").alias(c) for i, c in enumerate("rcv")])
     names = lambda p: spark.read.text(p).rdd.map(lambda r: r[0]).zipWithIndex().toDF(["line", "i"])
     b = names(barcodes).select((F.col("i") + 1).alias("c"), F.split("line", "\t")[0].alias("cell"))
     f = F.split("line", "\t")
     label = F.when(F.size(f) >= 3, F.array_join(F.slice(f, 1, 3), "_")).otherwise(f[0])
     v = names(features).select((F.col("i") + 1).alias("r"), label.alias("feature"))
-    head = (F.col("r") == size.r) & (F.col("c") == size.c) & (F.col("v") == size.v)
-    return m.where(~head).join(F.broadcast(b), "c").join(F.broadcast(v), "r").select("cell", "feature", F.col("v").alias("value"))
+    return m.join(b, "c").join(v, "r").select("cell", "feature", F.col("v").alias("value"))
 
 
 def read_chrom_sizes(spark: SparkSession, path: str) -> DataFrame:
