@@ -82,3 +82,18 @@ def test_every_query_with_sql_exists():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_bigwig_round_trip(spark, tmp_path):
+    rows = [(c, i * 10, i * 10 + 1 + i % 9, float(i % 50) / 4) for c in ("chr1", "chr2", "chrX") for i in range(700)]
+    sizes = spark.createDataFrame([("chr1", 10_000), ("chr2", 9_000), ("chrX", 8_000), ("chrY", 5)], "chrom string, length bigint")
+    df = spark.createDataFrame(rows, "chrom string, start bigint, end bigint, value double")
+    spark.dataSource.register(S.BigWigSource)
+    for items, fan in ((64, 4), (1024, 256)):
+        p = str(tmp_path / f"x{items}.bw")
+        S.write_bigwig(df, sizes, p, items, fan)
+        got = spark.read.format("bigwig").option("blocksPerPartition", 7).load(p).collect()
+        assert sorted(map(tuple, got)) == sorted(rows)
+    S.write_bigwig(df.limit(0), sizes, str(tmp_path / "e.bw"))
+    assert spark.read.format("bigwig").load(str(tmp_path / "e.bw")).count() == 0
+    assert S.chrom_sizes(spark).count() == 25
