@@ -35,3 +35,34 @@ def short_length(c: Column | str) -> Column:
 
 def number(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).try_cast("double")
+
+
+def user_region(c: Column | str) -> Column:
+    """Struct (chrom, start, end, tile) of `chrom[:start[:end[:tile]]]`, absent parts NULL; commas in numbers are disregarded."""
+    p = F.split(F.replace(F.col(c) if isinstance(c, str) else c, F.lit(","), F.lit("")), "[:]")
+    n = lambda i: F.get(p, F.lit(i)).try_cast("bigint")
+    return F.struct(p[0].alias("chrom"), n(1).alias("start"), n(2).alias("end"), n(3).alias("tile"))
+
+
+def common_prefix(texts: list[str]) -> str:
+    """The longest prefix of all texts."""
+    a, b = (min(texts), max(texts)) if texts else ("", "")
+    n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return a[:n]
+
+
+def match_names(a: list[str], b: list[str]) -> list[tuple[str, str]]:
+    """For each name of a the names of b that are most like it once each list's common prefix and suffix are taken off."""
+    from difflib import SequenceMatcher
+
+    def core(v):
+        p, s = len(common_prefix(v)), len(common_prefix([x[::-1] for x in v]))
+        return {x: x[p : len(x) - s] or x for x in v}
+
+    ca, cb = core(a), core(b)
+    out = []
+    for x in a:
+        score = {y: SequenceMatcher(None, ca[x], cb[y]).ratio() for y in b}
+        best = max(score.values(), default=0)
+        out += [(x, y) for y, v in score.items() if v == best and v > 0]
+    return out

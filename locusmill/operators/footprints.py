@@ -177,3 +177,31 @@ def bound_threshold(scores: DataFrame, col: str, p: float = 0.001) -> float:
     from statistics import NormalDist
 
     return float(math.exp(low.mean[0] + NormalDist().inv_cdf(1 - p) * math.sqrt(low.cov.toArray()[0, 0])))
+
+
+def pair_weights(counts: DataFrame, background: DataFrame) -> DataFrame:
+    """(m, n, base_m, base_n, weight) of pair_counts of cuts over those of the background: log2 of their smoothed shares. A pair of places gets max(16, its total) pseudo counts in proportion to its marginals."""
+
+    def share(d, name):
+        from pyspark.sql import Window as W
+
+        at = W.partitionBy("m", "n")
+        t = F.sum("count").over(at)
+        a, b = F.sum("count").over(W.partitionBy("m", "n", "base_m")), F.sum("count").over(W.partitionBy("m", "n", "base_n"))
+        extra = F.greatest(F.lit(16), t)
+        return d.select("m", "n", "base_m", "base_n", ((F.col("count") + extra * a * b / (t * t)) / (t + extra)).alias(name))
+
+    on = ["m", "n", "base_m", "base_n"]
+    return share(counts, "x").join(share(background, "y"), on).select(*on, F.log2(F.col("x") / F.col("y")).alias("weight"))
+
+
+def region_pvalues(counts: DataFrame, scales: list[int]) -> DataFrame:
+    """(region, scale, pos, value) of signal.footprint_pvalues at several scales over counts (region, pos, n, bias)."""
+    from locusmill.operators.signal import footprint_pvalues
+
+    def one(p):
+        p = p.sort_values("pos")
+        x, b = p["n"].to_numpy(float), p["bias"].to_numpy(float)
+        return pd.concat([pd.DataFrame({"region": p["region"], "scale": s, "pos": p["pos"], "value": footprint_pvalues(x, b, s, s)}) for s in scales])
+
+    return counts.groupBy("region").applyInPandas(one, "region string, scale int, pos bigint, value double")

@@ -248,6 +248,33 @@ def kmer_code(c: Column | str) -> Column:
     return F.when(F.col(c).rlike("^[ACGT]+$") if isinstance(c, str) else c.rlike("^[ACGT]+$"), F.conv(F.translate(c, "ACGT", "0123"), 4, 10).cast("bigint")).otherwise(F.lit(-1).cast("bigint"))
 
 
+def extract_sequences(genome: DataFrame, regions: DataFrame, size: int | None = None, key: str = "feature") -> DataFrame:
+    """(key, chrom, start, end, seq) of regions, or of `size` bases around their middles, from sequences (chrom, seq); regions that reach off their chromosome or are more than half unknown are left out.
+
+    A chromosome's sequence is cut into pieces of a megabase first, so that regions are joined with pieces, not with whole chromosomes.
+    """
+    m = F.floor((F.col("start") + F.col("end")) / 2)
+    r = regions if size is None else regions.withColumn("_m", m).withColumn("start", F.col("_m") - size // 2).withColumn("end", F.col("start") + size).drop("_m")
+    piece = 1 << 20
+    g = chunk_genome(genome, piece, 0).select("chrom", F.col("start").alias("_at"), "seq")
+    ok = r.where((F.col("start") >= 0) & (F.col("start") < F.col("end"))).select(key, "chrom", "start", "end")
+    j = ok.withColumn("_at", F.explode(F.transform(F.sequence(F.shiftright("start", 20), F.shiftright(F.col("end") - 1, 20)), lambda b: b * piece))).join(g, ["chrom", "_at"])
+    a, b = F.greatest("start", "_at"), F.least(F.col("end"), F.col("_at") + piece)
+    part = F.struct("_at", F.substr("seq", (a - F.col("_at") + 1).cast("int"), (b - a).cast("int")).alias("s"))
+    s = j.groupBy(key, "chrom", "start", "end").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["s"]), "").alias("seq"))
+    known = F.length("seq") - F.length(F.translate(F.upper("seq"), "ACGT", ""))
+    return s.where((F.length("seq") == F.col("end") - F.col("start")) & (known * 2 >= F.length("seq")))
+
+
+def sliding_score(seq: str, weights: np.ndarray) -> np.ndarray:
+    """Score of the window around each place (at its place length // 2), NaN at the edges and where the window has an unknown letter. weights: 4 x length."""
+    n, k = len(seq), weights.shape[1]
+    out = np.full(n, np.nan)
+    s = _scores(encode(seq), weights)
+    out[k // 2 : k // 2 + len(s)] = np.where(s < -1e5, np.nan, s)
+    return out
+
+
 def encode(seq: str) -> np.ndarray:
     t = np.full(256, 4, np.int8)
     for i, b in enumerate(BASES):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -136,6 +138,40 @@ def edge_centre(x: np.ndarray, scale: int, factor: float = 3.0) -> tuple[np.ndar
     return sliding_sum(x, total) - centre, centre, total - scale, scale
 
 
+def half_open_sum(x: np.ndarray, n: int) -> np.ndarray:
+    """Sum over the places p - n .. p + n - 1, zeros outside."""
+    c = np.r_[0, np.cumsum(np.r_[np.zeros(n), x, np.zeros(n)])]
+    return c[2 * n : 2 * n + len(x)] - c[: len(x)]
+
+
+def window_sums(x: np.ndarray, foot: int, flank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left flank, centre, right flank) sums around each place: a centre of 2 * foot and flanks of 2 * flank places next to it, zeros outside."""
+    f = half_open_sum(x, flank)
+    shift = foot + flank
+    left = np.r_[np.zeros(shift), f][: len(x)]
+    right = np.r_[f, np.zeros(shift)][shift : shift + len(x)]
+    return left, half_open_sum(x, foot), right
+
+
+def footprint_pvalues(cuts: np.ndarray, bias: np.ndarray, foot: int, flank: int, smooth: int | None = None) -> np.ndarray:
+    """-log10 of the greater of both sides' probabilities that the centre has as few of the cuts as it has, given the shares of the bias; 0 where there are no cuts; optionally the greatest within
+    2 * smooth places, averaged over as many."""
+    left, mid, right = window_sums(cuts, foot, flank)
+    bl, bm, br = window_sums(bias, foot, flank)
+
+    def side(n, b):
+        total, share = n + mid, bm / np.maximum(b + bm, 1e-12)
+        sd = np.sqrt(np.maximum(total * share * (1 - share), 1e-12))
+        z = (mid - total * share) / sd
+        return np.where(total > 0, [0.5 * math.erfc(-v / math.sqrt(2)) for v in z], 1.0)
+
+    s = -np.log10(np.maximum(np.maximum(side(left, bl), side(right, br)), 1e-20))
+    if smooth:
+        s = np.array([s[max(0, i - smooth - 1) : i + smooth].max() if len(s[max(0, i - smooth - 1) : i + smooth]) else 0.0 for i in range(len(s))])
+        s = half_open_sum(s, smooth) / (2 * smooth)
+    return s
+
+
 def footprint_score(x: np.ndarray, flank: tuple[int, int] = (10, 30), fp: tuple[int, int] = (20, 50)) -> np.ndarray:
     """At each place the greatest over flank and footprint widths of the mean of positive flank signal less the mean of negative centre signal, spread over the footprint."""
     n = len(x)
@@ -221,3 +257,14 @@ def filter_outliers(arrays: DataFrame, upper: float = 0.99) -> DataFrame:
     m = F.array_max("signal")
     q = arrays.agg(F.percentile(m, F.lit(upper)).alias("_q"))
     return arrays.crossJoin(F.broadcast(q)).where(m <= F.col("_q")).drop("_q")
+
+
+def aggregate_profile(track: DataFrame, sites: DataFrame, key: str, flank: int = 60, upper: float | None = 0.99, signed_log: bool = False) -> DataFrame:
+    """(offset, value, n): mean signal by offset -flank..flank - 1 of the sites' middles, strands flipped, sites whose greatest signal exceeds the quantile `upper` left out, signed log2 if wanted."""
+    mid = F.floor((F.col("start") + F.col("end")) / 2)
+    w = sites.withColumn("_m", mid).withColumn("start", F.col("_m") - flank).withColumn("end", F.col("_m") + flank).drop("_m")
+    a = region_arrays(track, w, key)
+    a = filter_outliers(a, upper) if upper is not None else a
+    v = F.col("v")
+    v = F.signum(v) * F.log2(F.abs(v) + 1) if signed_log else v
+    return a.select(F.posexplode("signal").alias("p", "v")).groupBy((F.col("p") - flank).alias("offset")).agg(F.avg(v).alias("value"), F.count(F.lit(1)).alias("n"))

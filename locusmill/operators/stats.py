@@ -365,3 +365,38 @@ def numpy_bh(p: np.ndarray) -> np.ndarray:
     out = np.empty(len(p))
     out[o] = np.minimum(1, np.minimum.accumulate(q[::-1])[::-1])
     return out
+
+
+def quantile_ratio_factors(x: DataFrame, sample: str = "sample", n: int = 1000) -> DataFrame:
+    """(sample, quantile, value, target, ratio): each sample's positive values at n quantiles from 0.05 to 0.99, the mean over samples and its ratio to the sample's, from which scaling curves are fitted."""
+    q = [0.05 + 0.94 * i / (n - 1) for i in range(n)]
+    a = x.where("value > 0").groupBy(sample).agg(F.percentile("value", F.array(*map(F.lit, q))).alias("v")).select(sample, F.posexplode("v").alias("quantile", "value"))
+    t = a.groupBy("quantile").agg(F.avg("value").alias("target"))
+    return a.join(F.broadcast(t), "quantile").select(sample, "quantile", "value", "target", (F.col("target") / F.col("value")).alias("ratio"))
+
+
+def capped_norm(value: Column, low: float, high: float, factor: Column | float) -> Column:
+    """value within [low, high], times a factor (a number or a curve such as sigmoid of the value)."""
+    return F.greatest(F.lit(low), F.least(F.lit(high), value)) * factor
+
+
+def is_symmetric(m: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """One row: whether a long matrix (a, b, value), absent entries being 0, equals its transpose."""
+    both = m.select("a", "b", "value").unionByName(m.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("value")).alias("value")))
+    d = both.groupBy("a", "b").agg(F.abs(F.sum("value")).alias("d"))
+    return d.agg((F.coalesce(F.max("d"), F.lit(0.0)) <= tolerance).alias("symmetric"))
+
+
+def ks_two_sample(df: DataFrame, value: str, group: str, a: str, b: str) -> DataFrame:
+    """(d, p_value): greatest distance between two groups' distribution functions and its asymptotic probability. Distinct values are summed along range partitions."""
+    from locusmill.operators.intervals import running_sum
+
+    v = df.where(F.col(group).isin(a, b)).groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(group) == a).alias("na"), F.count_if(F.col(group) == b).alias("nb"))
+    v = global_rank(v, ["v"], "r").withColumn("k", F.lit(1))
+    n = v.agg(F.sum("na").alias("a"), F.sum("nb").alias("b")).first()
+    s = running_sum(v.withColumn("d", F.col("na") / float(n.a or 1) - F.col("nb") / float(n.b or 1)), ["k"], "r", "d")
+    d = s.agg(F.max(F.abs("running")).alias("d"))
+    en = math.sqrt((n.a or 0) * (n.b or 0) / max(1, (n.a or 0) + (n.b or 0)))
+    x = (F.lit(en) + 0.12 + 0.11 / max(en, 1e-9)) * F.col("d")
+    terms = sum((F.lit(2.0 * (-1) ** (k - 1)) * F.exp(-2 * k * k * x * x) for k in range(1, 101)), F.lit(0.0))
+    return d.select("d", F.greatest(F.lit(0.0), F.least(F.lit(1.0), terms)).alias("p_value"))

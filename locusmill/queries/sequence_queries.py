@@ -346,3 +346,51 @@ def gene_annotation(spark, d):
     from locusmill.sources import gene_annotation as op
 
     return op(table(spark, d, "annotation").withColumn("gene_name", F.col("gene_id"))).select("gene_name", "chrom", "start", "end")
+
+
+@query("extract_peak_sequences", _W + ", gn as (select 'c' || (peak_id % 3) as chrom, string_agg(md5(label), '' order by peak_id) as seq from peaks group by 1), r as (select peak_id, 'c' || (peak_id % 3) as chrom, peak_id * 10 as s, peak_id * 10 + 25 as e from peaks) select peak_id, substr(translate(seq, '0123456789abcdef', 'ACGTACGTACGTACGT'), s + 1, 25) as seq from r join gn on r.chrom = gn.chrom where e <= length(seq)")
+def extract(spark, d):
+    p = table(spark, d, "peaks").withColumn("chrom", F.concat(F.lit("c"), F.col("peak_id") % 3))
+    parts = p.groupBy("chrom").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("peak_id", F.md5("label").alias("m")))), lambda x: x["m"]), "").alias("s"))
+    genome = parts.select("chrom", F.translate("s", "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"))
+    r = p.select("peak_id", "chrom", (F.col("peak_id") * 10).alias("start"), (F.col("peak_id") * 10 + 25).alias("end"))
+    return M.extract_sequences(genome, r, key="peak_id").select("peak_id", "seq")
+
+
+@query("dinucleotide_weights")
+def pair_weights(spark, d):
+    s = _seqs(spark, d)
+    c = lambda x: P.pair_counts(x.select(F.substring("seq", 1, 6).alias("seq")))
+    return P.pair_weights(c(s.where("score > 20")), c(s))
+
+
+@query("network_communities")
+def network_communities(spark, d):
+    from locusmill.operators.embed import communities
+
+    e = _edges(spark, d).select("a", "b", F.abs("correlation").alias("w"))
+    return communities(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
+
+
+@query("is_symmetric", "with m as (select l_returnflag as a, l_linestatus as b, sum(l_quantity) as v from lineitem group by 1, 2), u as (select a, b, v from m union all select b, a, -v from m), d as (select a, b, abs(sum(v)) as d from u group by 1, 2) select max(d) <= 1e-9 as symmetric from d")
+def symmetric(spark, d):
+    from locusmill.operators.stats import is_symmetric
+
+    m = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("a"), F.col("l_linestatus").alias("b")).agg(F.sum("l_quantity").alias("value"))
+    return is_symmetric(m)
+
+
+@query("ks_test", "with g as (select o_orderpriority as g, floor(o_totalprice / 100) as v from orders where o_orderpriority in ('1-URGENT', '5-LOW')), n as (select count(*) filter (g = '1-URGENT') as a, count(*) filter (g = '5-LOW') as b from g), c as (select v, count(*) filter (g = '1-URGENT') as a, count(*) filter (g = '5-LOW') as b from g group by 1), s as (select sum(c.a) over (order by v) / n.a - sum(c.b) over (order by v) / n.b as d from c, n) select round(max(abs(d)), 9) as d from s")
+def ks(spark, d):
+    from locusmill.operators.stats import ks_two_sample
+
+    o = table(spark, d, "orders").withColumn("v", F.floor(F.col("o_totalprice") / 100))
+    return ks_two_sample(o, "v", "o_orderpriority", "1-URGENT", "5-LOW").select(F.round("d", 9).alias("d"))
+
+
+@query("quantile_ratio_factors")
+def ratio_factors(spark, d):
+    from locusmill.operators.stats import quantile_ratio_factors as op
+
+    x = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("sample"), F.col("l_extendedprice").alias("value"))
+    return op(x, n=100)

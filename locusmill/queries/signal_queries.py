@@ -233,3 +233,41 @@ def embedding(spark, d):
 def correlation(spark, d):
     c = C.cis(C.pixels(_pairs(spark, d).join(V.groups(spark, d), "cell"), 5_000_000, ["group"]))
     return C.group_correlation(materialize(c, "groups")).withColumn("correlation", F.round("correlation", 6))
+
+
+@query("plot_aggregate")
+def aggregate(spark, d):
+    p = V.peaks(spark, d).withColumn("strand", F.lit("+"))
+    return S.aggregate_profile(_track(spark, d), p, "feature", 100)
+
+
+@query("pseudobulk_by_celltype")
+def group_maps(spark, d):
+    from locusmill.plans import group_contact_maps
+
+    p = _pairs(spark, d).withColumn("read_id", F.concat(F.lit("r_"), F.split("cell", "#")[1]))
+    g = V.groups(spark, d).groupBy(F.split("cell", "#")[1].alias("barcode")).agg(F.min(F.when(F.col("group") < "k", "early").otherwise("late")).alias("group"))
+    out = None
+    for n, m in group_contact_maps(p, g, 10_000_000).items():
+        m = m.withColumn("group", F.lit(n))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@query("map_regions", "with s as (select chrom, max(\"end\") as n from peaks group by 1) select chrom, k as \"start\", least(k + 5000000, n) - k as width from (select chrom, n, unnest(range(0, n, 5000000)) as k from s)")
+def map_regions(spark, d):
+    from locusmill.plans import map_regions as run
+
+    return run(_sizes(spark, d), lambda c, s, e: {"chrom": [c], "start": [s], "width": [e - s]}, "chrom string, start bigint, width bigint", 5_000_000)
+
+
+@query("multi_scale_footprint_region")
+def region_pvalues(spark, d):
+    from locusmill.operators.footprints import region_pvalues as op
+    from locusmill.operators.intervals import point_join
+    from locusmill.operators.qc import cuts
+
+    p = V.peaks(spark, d)
+    n = point_join(cuts(V.frags(spark, d)).select("chrom", "pos"), p).groupBy(F.col("r_feature").alias("region"), "pos").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    place = p.select(F.col("feature").alias("region"), F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
+    return op(place.join(n, ["region", "pos"], "left").fillna(0.0, ["n"]).withColumn("bias", F.lit(1.0)), [5, 10])
