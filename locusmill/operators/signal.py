@@ -236,9 +236,9 @@ def array_kernel(col: Column | str, fn, *args) -> Column:
     return run(col)
 
 
-def score_regions(arrays: DataFrame, key: str, methods: tuple[str, ...] = ("tobias",), flank=(5, 10), fp=(5, 12)) -> DataFrame:
-    """(key, method, score) arrays of region signals by footprint methods: tobias, fos, mean or sum."""
-    fns = {"tobias": lambda x: footprint_score(x, flank, fp), "fos": lambda x: fos_score(x, flank, fp), "mean": lambda x: rolling(x, 50, "mean"), "sum": lambda x: rolling(x, 50, "sum")}
+def score_regions(arrays: DataFrame, key: str, methods: tuple[str, ...] = ("flank_depth",), flank=(5, 10), fp=(5, 12)) -> DataFrame:
+    """(key, method, score) arrays of region signals by footprint methods: flank_depth, fos, mean or sum."""
+    fns = {"flank_depth": lambda x: footprint_score(x, flank, fp), "fos": lambda x: fos_score(x, flank, fp), "mean": lambda x: rolling(x, 50, "mean"), "sum": lambda x: rolling(x, 50, "sum")}
     out = None
     for m in methods:
         a = arrays.select(key, F.lit(m).alias("method"), array_kernel("signal", fns[m]).alias("score"))

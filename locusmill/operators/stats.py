@@ -399,4 +399,4 @@ def ks_two_sample(df: DataFrame, value: str, group: str, a: str, b: str) -> Data
     en = math.sqrt((n.a or 0) * (n.b or 0) / max(1, (n.a or 0) + (n.b or 0)))
     x = (F.lit(en) + 0.12 + 0.11 / max(en, 1e-9)) * F.col("d")
     terms = sum((F.lit(2.0 * (-1) ** (k - 1)) * F.exp(-2 * k * k * x * x) for k in range(1, 101)), F.lit(0.0))
-    return d.select("d", F.greatest(F.lit(0.0), F.least(F.lit(1.0), terms)).alias("p_value"))
+    return d.select("d", F.when(x < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), terms))).alias("p_value"))

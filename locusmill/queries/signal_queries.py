@@ -80,7 +80,7 @@ def signal(spark, d):
 @query("score_bigwig_footprints")
 def footprints(spark, d):
     a = S.region_arrays(_track(spark, d), V.peaks(spark, d).withColumn("strand", F.lit("+")), "feature")
-    return S.score_regions(a, "feature", ("tobias", "fos"))
+    return S.score_regions(a, "feature", ("flank_depth", "fos"))
 
 
 @query("signal_filter_outliers")
