@@ -26,7 +26,7 @@ def test_clean_fragments_folds_repeats(spark):
 def test_tree_aggregate_equals_plain(spark):
     k = F.when(F.col("id") < 3000, 0).when(F.col("id") % 7 == 6, None).otherwise(F.col("id") % 7)
     d = spark.range(5000).select(k.alias("k"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("v"), F.lit(1).alias("_chunk"))
-    for chunks, fan in ((1, 2), (5, 2), (64, 8)):
+    for chunks, fan in ((1, 2), (5, 2), (64, 8), (None, 2)):
         got = tree_aggregate(d.repartition(9), ["k"], {"n": F.count(F.lit(1)), "s": F.sum("v"), "m": F.max("v")}, {"n": "sum", "s": "sum", "m": "max"}, chunks, fan)
         want = d.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.max("v").alias("m"))
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
