@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locusmill.operators.clean import clean_chrom
-from locusmill.util import materialize, small
+from locusmill.util import BROADCAST_ROWS, materialize
 
 #: Bases within which two peaks of a cell count as neighbours; tokens within which two words do.
 PEAK_WINDOW, WORD_WINDOW = 5_000_000, 4
@@ -34,14 +34,21 @@ def record_terms(fragments: DataFrame, peaks: DataFrame, window: int = PEAK_WIND
     """
     bins = lambda s, e: F.sequence(F.shiftright(s, BIN_BITS), F.shiftright(F.col(e) - 1, BIN_BITS))
     p = peaks.where((F.col("start") >= 0) & (F.col("start") < F.col("end"))).select("peak_id", clean_chrom("chrom").alias("chrom"), "start", "end").distinct()
-    # one more row, which every fragment meets once: it counts the fragments of cells
-    all_row = peaks.sparkSession.range(1).select(F.lit(None).cast(p.schema["peak_id"].dataType).alias("peak_id"), F.lit("*").alias("p_chrom"), F.lit(0).cast("bigint").alias("p_start"), F.lit(1 << 62).alias("p_end"), F.lit(-1).cast("bigint").alias("p_bin"))
-    p = p.select("peak_id", F.col("chrom").alias("p_chrom"), F.col("start").alias("p_start"), F.col("end").alias("p_end"), F.explode(bins("start", "end")).alias("p_bin")).unionByName(all_row)
-    f = fragments.select("sample_id", "barcode", "chrom", "start", "end", "count", F.explode(F.concat(F.array(F.lit(-1).cast("bigint")), bins("start", "end"))).alias("bin"))
-    f = f.withColumn("key", F.when(F.col("bin") == -1, F.lit("*")).otherwise(F.col("chrom")))
+    p = p.select("peak_id", F.col("chrom").alias("p_chrom"), F.col("start").alias("p_start"), F.col("end").alias("p_end"), F.explode(bins("start", "end")).alias("p_bin"))
     one_bin = (F.col("bin") == -1) | (F.col("bin") == F.greatest(F.shiftright("start", BIN_BITS), F.shiftright("p_start", BIN_BITS)))
-    hit = f.join(small(p), (F.col("key") == F.col("p_chrom")) & (F.col("bin") == F.col("p_bin")) & (F.col("start") < F.col("p_end")) & (F.col("end") > F.col("p_start"))).where(one_bin)
-    agg = hit.groupBy("sample_id", "barcode", "peak_id", "p_chrom", "p_start").agg(F.sum(F.col("count").cast("bigint")).alias("weight"), F.count(F.lit(1)).alias("n"))
+    on = (F.col("key") == F.col("p_chrom")) & (F.col("bin") == F.col("p_bin")) & (F.col("start") < F.col("p_end")) & (F.col("end") > F.col("p_start"))
+    f = fragments.select("sample_id", "barcode", "chrom", "start", "end", "count")
+    value = [F.sum(F.col("count").cast("bigint")).alias("weight"), F.count(F.lit(1)).alias("n")]
+    by = ["sample_id", "barcode", "peak_id", "p_chrom", "p_start"]
+    if p.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        # one more row, which every fragment meets once: it counts the fragments of cells in the same pass
+        every = peaks.sparkSession.range(1).select(F.lit(None).cast(p.schema["peak_id"].dataType).alias("peak_id"), F.lit("*").alias("p_chrom"), F.lit(0).cast("bigint").alias("p_start"), F.lit(1 << 62).alias("p_end"), F.lit(-1).cast("bigint").alias("p_bin"))
+        f = f.withColumn("bin", F.explode(F.concat(F.array(F.lit(-1).cast("bigint")), bins("start", "end")))).withColumn("key", F.when(F.col("bin") == -1, F.lit("*")).otherwise(F.col("chrom")))
+        agg = f.join(F.broadcast(p.unionByName(every)), on).where(one_bin).groupBy(*by).agg(*value)
+    else:
+        hit = f.withColumn("bin", F.explode(bins("start", "end"))).withColumn("key", F.col("chrom")).join(p, on).where(one_bin).groupBy(*by).agg(*value)
+        cells = f.groupBy("sample_id", "barcode").agg(*value).withColumn("peak_id", F.lit(None).cast(p.schema["peak_id"].dataType)).withColumn("p_chrom", F.lit("*")).withColumn("p_start", F.lit(0).cast("bigint"))
+        agg = hit.unionByName(cells)
     cell = W.partitionBy("sample_id", "barcode")
     peak = F.col("peak_id").isNotNull()
     agg = agg.select(

@@ -187,7 +187,7 @@ def one_form(df: DataFrame, text: str = "text", counts: dict[int, int] | None =
 
 
 def same_look(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, look, exact): 128-bit digests of each text's consistent form and of the text itself. Rows with NULL text are left out."""
+    """(key, look, exact): 128-bit digests of each text's consistent form and of the text itself. Rows with a NULL key or text are left out."""
     replace = representatives(code_point_counts(df, text))
     kind = df.schema[key].dataType.simpleString()
 
@@ -200,7 +200,7 @@ def same_look(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             look = [e if t.isascii() and not rw.ascii else digest(rw(t)) for t, e in zip(ts, exact, strict=True)]
             yield pa.RecordBatch.from_pydict({key: b.column(b.schema.get_field_index(key)), "look": pa.array(look, pa.binary()), "exact": pa.array(exact, pa.binary())})
 
-    return df.where(F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"`{key}` {kind}, look binary, exact binary")
+    return df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, text).mapInArrow(run, f"`{key}` {kind}, look binary, exact binary")
 
 
 def look_alike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -217,5 +217,5 @@ def look_alike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     pairs = kinds.withColumnRenamed("exact", "e1").join(kinds.withColumnRenamed("exact", "e2"), "look").where("e1 < e2")
     first = looks.select("look", F.col("exact").alias("e1"), F.col(key).alias("k1"))
     second = looks.select("look", F.col("exact").alias("e2"), F.col(key).alias("k2"))
-    both = pairs.join(first, ["look", "e1"]).join(second, ["look", "e2"])
+    both = pairs.join(first, ["look", "e1"]).join(second, ["look", "e2"]).where("k1 <> k2")
     return both.select(F.least("k1", "k2").alias("doc_a"), F.greatest("k1", "k2").alias("doc_b"))

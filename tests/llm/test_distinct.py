@@ -29,7 +29,9 @@ def test_text_terms_brute_force(spark):
     assert all(r.score == pytest.approx(want[r.doc_id, r.term][1] * math.log(n / with_[r.term])) for r in s)
 
 
-def test_record_terms_brute_force(spark):
+@pytest.mark.parametrize("few", [1000, 0])
+def test_record_terms_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(D, "BROADCAST_ROWS", few)
     r = random.Random(1)
     peaks = [(i, c, 500 * j, 500 * j + 200) for i, (c, j) in enumerate((c, j) for c in ("chr1", "chr2") for j in range(12))]
     frags = [("s", r.choice("xyz"), r.choice(["chr1", "chr2", "chr3"]), s := r.randrange(6000), s + r.randrange(1, 900), r.randrange(1, 4)) for _ in range(150)] + [("s", "lone", "chr9", 1, 2, 1)]

@@ -40,11 +40,11 @@ def test_representative_follows_frequency():
 def test_pairs_brute_force(spark):
     base = ["paypal", "pаypal", "ра" + "ypal", "fine", "ﬁne", "fine", "", "​", None, "x" * 50_000, "x" * 49_999 + "х", "solo"]
     docs = [(i, t, "clash") for i, t in enumerate(base)]
-    df = spark.createDataFrame(docs, SCHEMA)
+    df = spark.createDataFrame(docs + [(None, "fine", "x"), (3, "ﬁne", "repeated id")], SCHEMA)
     rw = L.Rewriter(L.representatives(L.code_point_counts(df)))
     want = {(i, j) for i, a, _ in docs for j, b, _ in docs if i < j and a is not None and b is not None and a != b and rw(a) == rw(b)}
     got = [tuple(r) for r in L.look_alike_pairs(df).collect()]
-    assert len(got) == len(set(got)) and set(got) == want and (3, 5) not in want and (6, 7) in want
+    assert len(got) == len(set(got)) and set(got) == want | {(3, 5)} and (3, 5) not in want and (6, 7) in want
     out = {r.doc_id: r for r in L.one_form(df).collect()}
     assert out[8].text is None and out[6].text == "" and out[0].look == "clash" and out[0].text == out[2].text
     assert L.look_alike_pairs(df.limit(0)).count() == 0
