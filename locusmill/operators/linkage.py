@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from locusmill.operators.intervals import band_join
 from locusmill.operators.stats import bh_fdr, correlate_pairs, rank_sum
@@ -43,19 +48,56 @@ def metacells(near: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return m.unionByName(seeds.select(F.col("id").alias("metacell"), F.col("id").alias("cell")))
 
 
-def match_background(fg: DataFrame, bg: DataFrame, bias: list[str], k: int = 1) -> DataFrame:
-    """(fg cell, bg cell, rank): for each row of fg (cell, bias...) its k nearest of bg in the standardised bias values; a background row may match several.
+def match_background(fg: DataFrame, bg: DataFrame, bias: list[str], k: int = 1, block: int = 256) -> DataFrame:
+    """(fg cell, bg cell, rank): for each row of fg (cell, bias...) its k nearest of bg in the standardised bias values, ties by name; a background row may match several.
 
-    Candidates come from a grid over the first bias value, from the row's own cell and its neighbours; rows without k candidates there search all of bg, in blocks.
+    Exact. Equal bias values are searched once, and of equal background rows the first k are kept. The rest lies in blocks of about `block` rows along the first bias value (4096 blocks at
+    most); a row searches its own block and the next on both sides, and twice as far again until its k-th distance is below that to the nearest block not searched, or all are searched.
+    Rows with a bias value that is NULL, NaN or infinite take no part; with fewer than k background rows, all are given.
     """
-    both = fg.select("cell", *bias).unionByName(bg.select("cell", *bias))
-    s = both.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(bias) for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
-    z = lambda d: d.select("cell", *[((F.col(c) - s[f"m{i}"]) / (s[f"s{i}"] or 1.0)).alias(f"z{i}") for i, c in enumerate(bias)])
-    a = z(fg).withColumn("_g", F.explode(F.array(*[F.floor(F.col("z0") * 4) + d for d in (-1, 0, 1)])))
-    b = z(bg).select(F.col("cell").alias("bg"), *[F.col(f"z{i}").alias(f"b{i}") for i in range(len(bias))], F.floor(F.col("z0") * 4).alias("_g"))
-    d2 = sum((F.pow(F.col(f"z{i}") - F.col(f"b{i}"), 2) for i in range(len(bias))), F.lit(0.0))
-    w = W.partitionBy("cell").orderBy("_d", "bg")
-    return a.join(b, "_g").withColumn("_d", d2).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("cell", "bg", "rank")
+    known = reduce(lambda x, y: x & y, [F.abs(F.col(c).cast("double")) < float("inf") for c in bias])
+    fg, bg = fg.where(known).select("cell", *bias), bg.where(known).select("cell", *bias)
+    s = fg.unionByName(bg).agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(bias) for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    z, zs = lambda d, x: d.select("cell", *[((F.col(c) - s[f"m{i}"]) / (s[f"s{i}"] or 1.0) + F.lit(0.0)).alias(f"{x}{i}") for i, c in enumerate(bias)]), [f"z{i}" for i in range(len(bias))]
+    a = materialize(z(fg, "z"), "match_fg")
+    same = W.partitionBy(*[f"b{i}" for i in range(len(bias))]).orderBy("cell")
+    b = materialize(z(bg, "b").withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= k).drop("_r").withColumnRenamed("cell", "bg"), "match_bg")
+    m = min(4096, -(-b.count() // block))
+    inner = sorted(set(b.approxQuantile("b0", [i / m for i in range(1, m)], 1 / (4 * m)))) if m > 1 else []
+    edges, last = np.array([-np.inf, *inner, np.inf]), len(inner)
+
+    @F.pandas_udf(T.IntegerType())
+    def at(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges[1:-1], v.to_numpy(float), side="right").astype(np.int32))
+
+    def margin(reach: int):
+        """Distance along the first bias value to the nearest block that isn't within reach."""
+
+        @F.pandas_udf(T.DoubleType())
+        def f(v: pd.Series, g: pd.Series) -> pd.Series:
+            v, g = v.to_numpy(float), g.to_numpy(int)
+            return pd.Series(np.minimum(v - edges[np.maximum(g - reach, 0)], edges[np.minimum(g + reach, last) + 1] - v))
+
+        return f
+
+    b = materialize(b.withColumn("_g", at("b0")), "match_blocks")
+    sq = lambda c: c * c
+    d2 = reduce(lambda x, y: x + y, [sq(F.col(f"z{i}") - F.col(f"b{i}")) for i in range(len(bias))])
+    todo, reach, done = a.select(*zs).distinct().withColumn("_own", at("z0")), 1, None
+    w = W.partitionBy(*zs)
+    while True:
+        q = todo.withColumn("_m", margin(reach)("z0", "_own")).withColumn("_g", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_own") - reach), F.least(F.lit(last), F.col("_own") + reach))))
+        r = q.join(b, "_g").withColumn("_d", d2).withColumn("rank", F.row_number().over(w.orderBy("_d", "bg"))).where(F.col("rank") <= k)
+        r = r.withColumn("_ok", ((F.count(F.lit(1)).over(w) >= k) & (F.max("_d").over(w) < sq(F.col("_m")))) | (F.col("_m") == float("inf")))
+        r = materialize(r.select(*zs, "_own", "bg", "rank", "_ok"), "matched")
+        ok = r.where("_ok").select(*zs, "bg", "rank")
+        done = ok if done is None else done.unionByName(ok)
+        if reach > last:
+            return a.join(done, zs).select("cell", "bg", "rank")
+        todo = materialize(todo.join(r.where("_ok").select(*zs).distinct(), zs, "left_anti"), "to_match")
+        if todo.isEmpty():
+            return a.join(done, zs).select("cell", "bg", "rank")
+        reach *= 2
 
 
 def marker_features(x: DataFrame, groups: DataFrame, bias: DataFrame | None = None, k: int = 1, max_cells: int = 2000, seed: int = 0) -> DataFrame:

@@ -109,7 +109,7 @@ def markers(spark, d):
 def match(spark, d):
     from locusmill.operators.qc import import_fragments
 
-    c = import_fragments(V.frags(spark, d), min_fragments=1).select("cell", F.log("n_fragment").alias("depth")).join(V.groups(spark, d), "cell")
+    c = materialize(import_fragments(V.frags(spark, d), min_fragments=1).select("cell", F.log("n_fragment").alias("depth")).join(V.groups(spark, d), "cell"), "depths")
     one = c.agg(F.min("group")).first()[0]
     return L.match_background(c.where(F.col("group") == one), c.where(F.col("group") != one), ["depth"])
 
