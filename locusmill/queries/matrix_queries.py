@@ -8,7 +8,7 @@ from locusmill.operators import matrices as M
 from locusmill.operators import qc as Q
 from locusmill.operators import stats as S
 from locusmill.queries import views as V
-from locusmill.queries.registry import query
+from locusmill.queries.registry import SQL, query
 from locusmill.util import materialize, table
 
 _W = f"with {V.SQL_VIEWS}"
@@ -320,11 +320,16 @@ def wilcoxon(spark, d):
 
 
 @query("quantile_normalize", "with r as (select l_linenumber, l_orderkey, row_number() over (partition by l_linenumber order by l_extendedprice, l_orderkey, l_partkey) as r, l_extendedprice as v from lineitem where l_linenumber <= 3), m as (select r, avg(v) as m, count(*) as c from r group by 1) select l_linenumber, l_orderkey, round(m, 4) as value from r join m on r.r = m.r")
-def quantile_normalise(spark, d):
-    x = table(spark, d, "lineitem").where("l_linenumber <= 3").select("l_linenumber", "l_orderkey", F.struct("l_orderkey", "l_partkey").alias("feature"), F.col("l_extendedprice").alias("value"))
+def quantile_normalise(spark, d, some="l_linenumber <= 3"):
+    x = table(spark, d, "lineitem").where(some).select("l_linenumber", "l_orderkey", F.struct("l_orderkey", "l_partkey").alias("feature"), F.col("l_extendedprice").alias("value"))
     return S.quantile_normalise(x, "l_linenumber").select("l_linenumber", "l_orderkey", F.round("value", 4).alias("value"))
 
 
+@query("quantile_normalize_all", SQL["quantile_normalize"].replace(" where l_linenumber <= 3", ""))
+def quantile_normalise_all(spark, d):
+    return quantile_normalise(spark, d, "true")
+
+
 @query("tmm_norm_factors")
 def tmm(spark, d):
     b = M.pseudobulk(_x(spark, d), V.groups(spark, d))
