@@ -5,16 +5,25 @@ The tables have no genome, so a peak's sequence here is made of the digest of it
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from locusmill.operators import footprints as P
 from locusmill.operators import motifs as M
 from locusmill.operators import network as N
 from locusmill.queries import views as V
-from locusmill.queries.registry import query
+from locusmill.queries.registry import SQL, query
 from locusmill.util import materialize, table
 
 _W = f"with {V.SQL_VIEWS}"
+
+
+def _whole(name):
+    """SQL of a query over the first places of sequences, over all places instead."""
+    return re.sub(r"range\(1, \d+\)", "range(1, length(seq) + 1)", SQL[name])
+
+
 _SEQ = _W + ", sq as (select feature, chrom, \"start\", \"end\", translate(md5(feature) || md5(feature || 'x'), '0123456789abcdef', 'ACGTACGTACGTACGT') as seq from p)"
 
 
@@ -58,8 +67,8 @@ def bias(spark, d):
 _COUNTS = _SEQ + ", ct as (select 'm' || (peak_id % 20) as motif, i - 1 as pos, substr(seq, i, 1) as base, count(*) as n from (select peak_id, seq, unnest(range(1, 9)) as i from sq join peaks on peaks.label = sq.feature) group by 1, 2, 3), gd as (select distinct motif, pos, b as base from ct, (values ('A'), ('C'), ('G'), ('T')) t(b)), pp as (select gd.motif, gd.pos, gd.base, (coalesce(n, 0) + 1) / sum(coalesce(n, 0) + 1) over (partition by gd.motif, gd.pos) as p from gd left join ct on gd.motif = ct.motif and gd.pos = ct.pos and gd.base = ct.base)"
 
 
-def _probs(spark, d):
-    s = _seqs(spark, d).join(table(spark, d, "peaks").select(F.col("label").alias("feature"), "peak_id"), "feature").select(F.concat(F.lit("m"), F.col("peak_id") % 20).alias("motif"), F.posexplode(F.split(F.substring("seq", 1, 8), "")).alias("pos", "base")).where("base <> ''")
+def _probs(spark, d, length=8):
+    s = _seqs(spark, d).join(table(spark, d, "peaks").select(F.col("label").alias("feature"), "peak_id"), "feature").select(F.concat(F.lit("m"), F.col("peak_id") % 20).alias("motif"), F.posexplode(F.split(F.substring("seq", 1, length), "")).alias("pos", "base")).where("base <> ''")
     return M.probabilities(s.groupBy("motif", "pos", "base").agg(F.count(F.lit(1)).alias("count")), ["motif"])
 
 
@@ -78,6 +87,24 @@ def consensus(spark, d):
     return M.consensus_table(_probs(spark, d), ["motif"], 0.3)
 
 
+_ALL = 1 << 30
+
+
+@query("motif_probabilities_all", _whole("motif_probabilities"))
+def all_probabilities(spark, d):
+    return _probs(spark, d, _ALL).select("motif", "pos", "base", F.round("p", 9).alias("p"), (F.round("log2_odds", 9) + F.lit(0.0)).alias("log2_odds"))
+
+
+@query("motif_information_content_all", _whole("motif_information_content"))
+def all_information(spark, d):
+    return M.information_table(_probs(spark, d, _ALL), ["motif"]).withColumn("bits", F.round("bits", 9))
+
+
+@query("motif_consensus_all", _whole("motif_consensus"))
+def all_consensus(spark, d):
+    return M.consensus_table(_probs(spark, d, _ALL), ["motif"], 0.3)
+
+
 def _library():
     import numpy as np
 
@@ -176,17 +203,27 @@ def corrected(spark, d):
 
 
 @query("position_weights", _SEQ.replace('"end", translate', '"end", score as score_, translate') + ", a as (select i - 1 as pos, substr(seq, i, 1) as base, count(*) as n from (select seq, unnest(range(1, 11)) as i from sq where score_ > 20) group by 1, 2), b as (select i - 1 as pos, substr(seq, i, 1) as base, count(*) as n from (select seq, unnest(range(1, 11)) as i from sq) group by 1, 2), ta as (select avg(t) as t from (select sum(n) as t from a group by pos)), tb as (select avg(t) as t from (select sum(n) as t from b group by pos)) select cast(a.pos as int) as pos, a.base, round(log2(((a.n + 1) / (ta.t + 4)) / ((b.n + 1) / (tb.t + 4))), 9) + 0.0 as weight from a join b on a.pos = b.pos and a.base = b.base, ta, tb")
-def weights(spark, d):
+def weights(spark, d, length=10):
     s = _seqs(spark, d)
-    c = lambda x: x.select(F.posexplode(F.split(F.substring("seq", 1, 10), "")).alias("pos", "base")).where("base <> ''").groupBy("pos", "base").agg(F.count(F.lit(1)).alias("n"))
+    c = lambda x: x.select(F.posexplode(F.split(F.substring("seq", 1, length), "")).alias("pos", "base")).where("base <> ''").groupBy("pos", "base").agg(F.count(F.lit(1)).alias("n"))
     return P.base_weights(c(s.where("score > 20")), c(s)).withColumn("weight", F.round("weight", 9) + F.lit(0.0))
 
 
+@query("position_weights_all", _whole("position_weights"))
+def all_weights(spark, d):
+    return weights(spark, d, _ALL)
+
+
 @query("dinucleotide_counts", _SEQ + ", k as (select feature, i, substr(seq, i, 1) as b from (select feature, seq, unnest(range(1, 7)) as i from sq)) select cast(a.i as int) as m, cast(b.i as int) as n, a.b as base_m, b.b as base_n, count(*) as \"count\" from k a join k b on a.feature = b.feature and a.i < b.i group by 1, 2, 3, 4")
 def dinucleotides(spark, d):
     return P.pair_counts(_seqs(spark, d).select(F.substring("seq", 1, 6).alias("seq")))
 
 
+@query("dinucleotide_counts_all", _whole("dinucleotide_counts"))
+def all_dinucleotides(spark, d):
+    return P.pair_counts(_seqs(spark, d))
+
+
 @query("process_tfbs", _W + ", s as (select peak_id, 'm' || (peak_id % 10) as motif, round(greatest(0, score - 5), 5) as a, round(greatest(0, 40 - score), 5) as b from peaks where score is not null) select peak_id, motif, a, b, a > 10 as a_bound, b > 10 as b_bound, round(log2((a + 0.001) / (b + 0.001)), 6) as log2_fc from s where a > 0 or b > 0")
 def tfbs(spark, d):
     return _scored(spark, d).withColumn("log2_fc", F.round("log2_fc", 6))
@@ -360,8 +397,7 @@ def extract(spark, d):
 @query("dinucleotide_weights")
 def pair_weights(spark, d):
     s = _seqs(spark, d)
-    c = lambda x: P.pair_counts(x.select(F.substring("seq", 1, 6).alias("seq")))
-    return P.pair_weights(c(s.where("score > 20")), c(s))
+    return P.pair_weights(P.pair_counts(s.where("score > 20")), P.pair_counts(s))
 
 
 @query("network_communities")
