@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import re
+import sys
 import unicodedata as U
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,8 +30,8 @@ SAME_SHAPE = (
 # Hyphens of various kinds, beside hyphen-minus.
 HYPHENS = "˗‐‑‒–⁃−﹣"
 # Characters without width that aren't format characters; format characters that have width.
-NO_WIDTH = "͏ᅟᅠ឴឵᠋᠌᠍" + "".join(map(chr, range(0xFE00, 0xFE10)))
-WITH_WIDTH = "؀؁؂؃؄؅۝܏࣢"
+NO_WIDTH = "͏ᅟᅠ឴឵᠋᠌᠍" + "".join(map(chr, [*range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]))
+WITH_WIDTH = "؀؁؂؃؄؅۝܏࣢" + "".join(map(chr, [0x110BD, 0x110CD, *range(0x13430, 0x13460)]))
 
 
 class Union:
@@ -63,7 +64,7 @@ def classes() -> tuple[tuple[str, ...], ...]:
         u.join("-", x)
     for x in NO_WIDTH:
         u.join("", x)
-    for cp in range(0x80, 0x10000):
+    for cp in range(0x80, sys.maxunicode + 1):
         c = chr(cp)
         cat = U.category(c)
         if cat in ("Cn", "Cs", "Co", "Cc"):

@@ -53,3 +53,12 @@ def test_pairs_brute_force(spark):
 def test_many_copies_are_not_paired(spark):
     df = spark.range(4000).selectExpr("id as doc_id", "'same text' as text").unionByName(spark.createDataFrame([(9999, "same tехt")], "doc_id bigint, text string"))
     assert L.look_alike_pairs(df).count() == 4000
+
+
+@pytest.mark.parametrize("cp", [0xE0001, 0xE0020, 0xE007F, 0xE0100, 0xE01EF, 0x1D173])
+def test_no_width_beyond_the_first_plane(cp):
+    assert form()(f"pay{chr(cp)}pal") == "paypal"
+
+
+def test_visible_letters_beyond_the_first_plane_stay():
+    assert form()("a\U00020000\U000110bd\U0001f600") == "a\U00020000\U000110bd\U0001f600"
