@@ -282,7 +282,9 @@ def usable_vectors(df: DataFrame, key: str = "cell_id", vec: str = "vec", unit:
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids, b.column(0).type), "vec": pa.array(vs, pa.list_(pa.float32()))})
 
     kind = df.schema[key].dataType.simpleString()
-    rows = df.where(F.col(key).isNotNull() & F.col(vec).isNotNull()).select(F.col(key).alias("id"), F.col(vec).alias("vec")).groupBy("id").agg(F.max("vec").alias("vec"))
+    # before the groupBy, since NaN is above all numbers and would hide an id's usable row; NaN < inf is false too
+    usable = F.forall(vec, lambda e: F.abs(e) < float("inf")) & F.exists(vec, lambda e: e != 0)
+    rows = df.where(F.col(key).isNotNull() & usable).select(F.col(key).alias("id"), F.col(vec).alias("vec")).groupBy("id").agg(F.max("vec").alias("vec"))
     return rows.mapInArrow(run, f"id {kind}, vec array<float>")
 
 

@@ -92,3 +92,9 @@ def test_clusters_of_vectors_are_whole(spark):
     assert sorted(r["size"] for r in rep.values()) == sizes
     assert all(r.typical[0] == c and len(r.typical) == min(3, r["size"]) for c, r in rep.items())
     assert M.cell_clusters(df.limit(0)).count() == 0
+
+
+def test_usable_row_beside_unusable_ones(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(1, [1.0, 2.0], "a"), (1, [nan, 1.0], "a"), (2, [inf, 1.0], "b"), (2, [-3.0, 1.0], "b"), (3, [0.0, 0.0], "c"), (3, [-1.0, 0.0], "c"), (3, None, "c"), (4, [nan, 0.0], "d"), (5, [9.0, None], "e"), (5, [4.0, 1.0], "e"), (5, [], "e")]
+    assert {r.id: r.vec for r in H.usable_vectors(spark.createDataFrame(rows, VEC)).collect()} == {1: [1.0, 2.0], 2: [-3.0, 1.0], 3: [-1.0, 0.0], 5: [4.0, 1.0]}
