@@ -115,7 +115,7 @@ def p6_paths(spark, d):
     _TREE + "select path[i] as node_id, node_id as descendant_id, cast(depth + 1 - i as int) as steps from (select *, unnest(range(1, depth + 1)) as i from t)",
 )
 def p6_descendants(spark, d):
-    """Every feature with each of its descendants, looked up by preorder interval within the tree."""
+    """Every feature with each of its descendants, by unfolding every node's path; the preorder intervals aren't used for it."""
     from locusmill.operators.forest import descendants
 
     return descendants(hierarchy(table(spark, d, "annotation"), _own(), parent_of("parents")))
