@@ -19,9 +19,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary one on a local master; on a cluster that is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share: intermediate tables are written there")
         d = "file://" + tempfile.mkdtemp(prefix="locusmill-")
         spark.conf.set("spark.checkpoint.dir", d)
         _made.append((spark, d))
@@ -49,7 +51,24 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._path = path
+    return out
+
+
+def mark() -> int:
+    """A point in the series of written tables, for `free`."""
+    return len(_made)
+
+
+def free(since: int, *keep: DataFrame) -> None:
+    """Delete the tables written since `mark()` gave `since`, but for those in `keep`. Only for tables whose every reader has run."""
+    kept = {getattr(df, "_path", None) for df in keep}
+    rest = [x for x in _made[since:] if x[1] in kept]
+    for spark, path in _made[since:]:
+        if path not in kept:
+            _drop(spark, path)
+    _made[since:] = rest
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
