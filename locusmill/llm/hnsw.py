@@ -1,7 +1,8 @@
 """Nearest neighbours of every vector: a navigable small-world graph with layers for each shard, shard results merged.
 
-Vectors belong to the cell of their nearest centroid (fitted on a bounded sample; every vector is indexed), neighbouring cells make a shard, and a shard of too
-many vectors is split by a hash.
+Vectors belong to the cell of their nearest centroid (fitted on a bounded sample; every vector is indexed), neighbouring cells make a shard of bounded size. A cell
+of more vectors than a shard takes gets finer centroids, and what these can't divide (equal vectors) is split by a hash. What other cells ask of a shard is counted,
+and the shard's graph is copied once for each bounded part of that, so the bytes moved grow with the vectors and not with their square.
 A shard's graph is built in growing batches: candidates come from a beam search over the graph so far and from within the batch, and each node keeps
 neighbours in different directions. Layers are flat int32 arrays, -1 where a node has fewer neighbours. All queries of a batch advance through the graph
 in lock-step, as array operations. Each vector is searched in its own shard first; other shards follow only where the distance between
@@ -18,10 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusmill.util import materialize
+from locusmill.util import mark, materialize
+from locusmill.util import free as free_tables
 
-#: Vectors of a shard, most shards, vectors of a cell, most cells, vectors in the sample that the cells' centroids are fitted on.
-SHARD_ROWS, MOST_SHARDS, CELL_ROWS, MOST_CELLS, SAMPLE_ROWS = 4096, 4096, 16, 4096, 20_000
+#: Vectors of a shard (twice as many at most), vectors of a cell, most cells before large ones are refined, vectors in the sample that the cells' centroids are fitted on.
+SHARD_ROWS, CELL_ROWS, MOST_CELLS, SAMPLE_ROWS = 4096, 16, 4096, 20_000
+#: Vectors in the sample of each centroid of a refined cell, times that large cells are refined, and rows asked of one copy of a shard's graph, in shards.
+FINE_ROWS, REFINED, ASKED_SHARDS = 64, 2, 8
 LINKS, EF_BUILD, EF_SEARCH = 16, 64, 48
 
 
@@ -266,26 +270,22 @@ def usable_vectors(df: DataFrame, key: str = "cell_id", vec: str = "vec", unit:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, vs = [], []
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if not v or any(e is None for e in v):
-                    continue
-                a = np.array(v, np.float64)
-                s = float(np.abs(a).max())
-                if not np.isfinite(a).all() or s == 0:
-                    continue
-                if unit:
-                    a = a / s
-                    a = a / np.sqrt(a @ a)
-                ids.append(i)
-                vs.append(a.astype(np.float32))
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, b.column(0).type), "vec": pa.array(vs, pa.list_(pa.float32()))})
+            v = b.column(1)
+            n = np.diff(v.offsets.to_numpy())
+            x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            if len(n):
+                start = np.cumsum(n) - n
+                x = x / np.repeat(np.maximum.reduceat(np.abs(x), start), n)
+                x = x / np.repeat(np.sqrt(np.add.reduceat(x * x, start)), n)
+            offsets = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
+            yield pa.RecordBatch.from_pydict({"id": b.column(0), "vec": pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.float32)))})
 
     kind = df.schema[key].dataType.simpleString()
     # before the groupBy, since NaN is above all numbers and would hide an id's usable row; NaN < inf is false too
     usable = F.forall(vec, lambda e: F.abs(e) < float("inf")) & F.exists(vec, lambda e: e != 0)
     rows = df.where(F.col(key).isNotNull() & usable).select(F.col(key).alias("id"), F.col(vec).alias("vec")).groupBy("id").agg(F.max("vec").alias("vec"))
-    return rows.mapInArrow(run, f"id {kind}, vec array<float>")
+    rows = rows.select("id", F.col("vec").cast("array<float>").alias("vec"))
+    return rows.mapInArrow(run, f"id {kind}, vec array<float>") if unit else rows
 
 
 def _fit(x: np.ndarray, c: int, seed: int = 5, rounds: int = 3) -> np.ndarray:
@@ -310,16 +310,59 @@ def _fit(x: np.ndarray, c: int, seed: int = 5, rounds: int = 3) -> np.ndarray:
     return cen
 
 
-def knn(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, ef: int = EF_SEARCH, sample_rows: int = SAMPLE_ROWS, reach: float | None = None) -> DataFrame:
+def _divide(cen: np.ndarray, size: np.ndarray, groups: list[np.ndarray], most: int) -> np.ndarray:
+    """The shard of each cell: groups of cells are halved across their widest direction until a part has at most `most` vectors or is a single cell."""
+    shard, todo, n = np.zeros(len(cen), np.int64), list(groups), 0
+    while todo:
+        part = todo.pop()
+        if len(part) == 1 or size[part].sum() <= most:
+            shard[part] = n
+            n += 1
+            continue
+        y = cen[part].astype(np.float64)
+        y -= y.mean(0)
+        o = np.argsort(y @ np.linalg.eigh(y.T @ y)[1][:, -1], kind="stable")
+        upto = np.cumsum(size[part][o])
+        cut = min(max(int(np.searchsorted(upto, upto[-1] / 2)), 1), len(part) - 1)
+        todo += [part[o[:cut]], part[o[cut:]]]
+    return shard
+
+
+def _nearest_cell(x: np.ndarray, cen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, distance to its centroid) of each row of x."""
+    cell, off, cc = np.zeros(len(x), np.int32), np.zeros(len(x)), (cen * cen).sum(1)
+    step = max(16, 4_000_000 // len(cen))
+    for lo in range(0, len(x), step):
+        y = x[lo : lo + step]
+        c = (cc[None] - 2 * y @ cen.T).argmin(1)
+        cell[lo : lo + step], off[lo : lo + step] = c, np.linalg.norm(y - cen[c], axis=1)
+    return cell, off
+
+
+def _finer(placed: DataFrame, big: dict[int, int], most: int) -> np.ndarray:
+    """Centroids for the cells `big` (cell -> vectors), two for each shard that a cell will make, fitted within each cell on FINE_ROWS vectors a centroid."""
+    share = F.broadcast(placed.sparkSession.createDataFrame([(c, -(-2 * n // most), max(1, most // (2 * FINE_ROWS))) for c, n in big.items()], "cell int, _c int, _m int"))
+    some = placed.join(share, "cell").where(F.pmod(F.xxhash64("id", F.lit(9)), F.col("_m")) == 0).select("cell", "_c", "vec")
+
+    def fit(t: pa.Table) -> pa.Table:
+        x = matrix(t.column("vec"))
+        c = _fit(x, min(len(x), t.column("_c")[0].as_py()))
+        return pa.table({"c": pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * c.shape[1]), pa.array(c.ravel()))})
+
+    return matrix(some.groupBy("cell").applyInArrow(fit, "c array<float>").toArrow().column("c"))
+
+
+def knn(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, ef: int = EF_SEARCH, sample_rows: int = SAMPLE_ROWS, reach: float | None = None, most_cells: int = MOST_CELLS) -> DataFrame:
     """(id, neighbour, distance): the k nearest other vectors (Euclidean) of every row of (id, vec), nearest first within an id; ids are unique, vectors equally long.
 
     Approximate: the graphs find nearly all neighbours, see the README for the recall measured. Equal distances are ordered by id. With no more than k other vectors
     all come out; an empty table gives no rows. Equal vectors, however many, are split into shards of bounded size. With `reach` only neighbours at most that far
-    away are wanted.
+    away are wanted. The driver holds the cells' centroids: some thousand, and beyond that two for each 2 * shard_rows vectors.
     """
     spark = vectors.sparkSession
     kind = vectors.schema["id"].dataType.simpleString()
     out_schema = f"id {kind}, neighbour {kind}, distance double"
+    since = mark()
     vectors = materialize(vectors.select("id", "vec"), "vectors")
     n = vectors.count()
     if n < 2:
@@ -327,37 +370,40 @@ def knn(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, ef: int = EF_S
     m = -(-n // sample_rows)
     some = vectors.where(F.pmod(F.xxhash64("id"), F.lit(m)) == 0).limit(2 * sample_rows).select("vec").toArrow()
     sample = matrix((some if some.num_rows else vectors.limit(1).select("vec").toArrow()).column("vec"))
+    most = 2 * shard_rows
     # cells are small, so that their bounds are tight; shards are groups of neighbouring cells
-    cen = _fit(sample, 1 if n <= shard_rows else min(MOST_CELLS, max(1, n // CELL_ROWS), len(sample)))
-    groups = min(len(cen), MOST_SHARDS, -(-n // shard_rows))
-    mid = _fit(cen, groups, rounds=8)
-    group = ((mid * mid).sum(1)[None] - 2 * cen @ mid.T).argmin(1)
+    cen = _fit(sample, 1 if n <= shard_rows else min(most_cells, max(1, n // CELL_ROWS), len(sample)))
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = matrix(b.column(1))
-            cell = np.zeros(len(x), np.int32)
-            d = np.zeros(len(x))
-            for lo in range(0, len(x), 1000):
-                y = x[lo : lo + 1000]
-                cell[lo : lo + 1000] = ((cen * cen).sum(1)[None] - 2 * y @ cen.T).argmin(1)
-                d[lo : lo + 1000] = np.linalg.norm(y - cen[cell[lo : lo + 1000]], axis=1)
-            yield pa.RecordBatch.from_pydict({"id": b.column(0), "vec": b.column(1), "cell": pa.array(cell), "off": pa.array(d)})
-
-    placed = vectors.mapInArrow(assign, f"id {kind}, vec array<float>, cell int, off double")
-    placed = materialize(placed, "placed") if len(cen) > 1 else placed
-    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("off").alias("r")).collect()
-    radius = np.zeros(len(cen), np.float32)
-    size = np.zeros(groups, np.int64)
-    for r in stats:
-        radius[r.cell] = r.r
-        size[group[r.cell]] += r["n"]
-    limit = max(2 * shard_rows, 2 * n // MOST_SHARDS)
-    pieces = np.maximum(1, -(-size // limit))
+    def place(cen: np.ndarray) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                cell, off = _nearest_cell(matrix(b.column(1)), cen)
+                yield pa.RecordBatch.from_pydict({"id": b.column(0), "vec": b.column(1), "cell": pa.array(cell), "off": pa.array(off)})
+
+        placed = vectors.mapInArrow(assign, f"id {kind}, vec array<float>, cell int, off double")
+        placed = materialize(placed, "placed") if len(cen) > 1 else placed
+        radius, size = np.zeros(len(cen), np.float32), np.zeros(len(cen), np.int64)
+        for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("off").alias("r")).collect():
+            radius[r.cell], size[r.cell] = r.r, r["n"]
+        return placed, radius, size
+
+    placed, radius, size = place(cen)
+    for _ in range(REFINED):
+        big = {int(c): int(size[c]) for c in np.flatnonzero((size > most) & (radius > 0))}
+        if not big:
+            break
+        cen = np.concatenate([np.delete(cen, list(big), 0), _finer(placed, big, most)])
+        placed, radius, size = place(cen)
+    mid = _fit(cen, min(len(cen), 256, -(-n // shard_rows)), rounds=8)
+    near_mid = _nearest_cell(cen, mid)[0]
+    group = _divide(cen, size, [np.flatnonzero(near_mid == g) for g in np.unique(near_mid)], most)
+    groups = int(group.max()) + 1
+    pieces = np.maximum(1, -(-np.bincount(group, size, groups).astype(np.int64) // most))
     first = np.r_[0, np.cumsum(pieces)[:-1]]
     split = F.broadcast(spark.createDataFrame([(i, int(first[g]), int(pieces[g])) for i, g in enumerate(group)], "cell int, _first int, _pieces int"))
     placed = placed.join(split, "cell").select("id", "vec", "cell", (F.col("_first") + F.pmod(F.xxhash64("id"), F.col("_pieces"))).cast("int").alias("shard"))
     placed = materialize(placed, "placed")
+    free_tables(since, placed)
     shards = int(pieces.sum())
 
     def build(t: pa.Table) -> pa.Table:
@@ -397,15 +443,17 @@ def knn(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, ef: int = EF_S
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cc = (cen * cen).sum(1)
-            between = np.sqrt(np.maximum(cc[:, None] + cc[None] - 2 * cen @ cen.T, 1e-12))
+            step = max(16, 4_000_000 // len(cen))
             for b in batches:
-                for lo in range(0, b.num_rows, 1000):
-                    p = b.slice(lo, 1000)
+                for lo in range(0, b.num_rows, step):
+                    p = b.slice(lo, step)
                     x, cell, shard = matrix(p.column(1)), p.column(2).to_numpy(), p.column(3).to_numpy()
                     kth = p.column(4).to_numpy(zero_copy_only=False)[:, None]
                     d2 = np.maximum((x * x).sum(1)[:, None] + cc[None] - 2 * x @ cen.T, 0)
+                    cells, of = np.unique(cell, return_inverse=True)
+                    between = np.sqrt(np.maximum(cc[cells][:, None] + cc[None] - 2 * cen[cells] @ cen.T, 1e-12))
                     # a vector of another cell is behind the plane between the two centroids and within its cell's radius
-                    may = (d2 - d2[np.arange(len(x)), cell][:, None]) < 2 * kth * between[cell]
+                    may = (d2 - d2[np.arange(len(x)), cell][:, None]) < 2 * kth * between[of]
                     may &= np.sqrt(d2) - radius[None] < kth
                     row, to = np.nonzero(may)
                     pair = np.unique(row * groups + group[to])
@@ -413,15 +461,17 @@ def knn(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, ef: int = EF_S
                     rep = pieces[to]
                     row, to = np.repeat(row, rep), np.repeat(first[to], rep) + (np.arange(rep.sum()) - np.repeat(np.cumsum(rep) - rep, rep))
                     other = to != shard[row]
-                    r = pa.array(row[other])
-                    yield pa.RecordBatch.from_pydict({"id": p.column(0).take(r), "vec": p.column(1).take(r), "cell": p.column(2).take(r), "shard": pa.array(to[other].astype(np.int32))})
+                    yield pa.RecordBatch.from_pydict({"id": p.column(0).take(pa.array(row[other])), "shard": pa.array(to[other].astype(np.int32))})
 
         kth = F.when(F.size("near") >= k, F.least(F.element_at("near", k)["d"], F.lit(farthest))).otherwise(F.lit(farthest))
-        asked = home.select("id", "vec", "cell", "shard", kth.cast("double").alias("kth")).mapInArrow(route, f"id {kind}, vec array<float>, cell int, shard int")
-        # what is asked of a shard comes in parts of bounded size, each with its own copy of the graph
-        parts = max(1, -(-n // (8 * shard_rows)))
-        asked = asked.withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(parts)).cast("int"))
-        copies = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        asked = home.select("id", "vec", "cell", "shard", kth.cast("double").alias("kth")).mapInArrow(route, f"id {kind}, shard int")
+        asked = materialize(asked, "asked")
+        # what is asked of a shard comes in parts of bounded size, each with its own copy of that shard's graph; a shard that nobody asks isn't copied
+        parts = [(r.shard, -(-r["count"] // (ASKED_SHARDS * shard_rows))) for r in asked.groupBy("shard").count().collect()]
+        parts = F.broadcast(spark.createDataFrame(parts, "shard int, _parts int"))
+        asked = asked.join(parts, "shard").select("id", "shard", F.pmod(F.xxhash64("id", F.lit(3)), F.col("_parts")).cast("int").alias("part"))
+        asked = asked.join(home.select("id", "vec", "cell"), "id")
+        copies = graphs.join(parts, "shard").select("shard", "graph", "ids", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"))
         away = asked.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(look, found)
         merged = home.select("id", "near").unionByName(away.select("id", others)).groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near"))
     best = F.slice(F.array_sort(F.array_distinct("near")), 1, k)
