@@ -2,12 +2,14 @@
 
 A level's graph links each record to its most similar ones above the threshold. Its column-stochastic flow matrix is squared, inflated and pruned in turn
 until it hardly changes; a column's strongest row is the attractor that its record belongs to. Flow on a sparse graph leaves large clusters in several parts,
-so the attractors, which represent their parts, are clustered again in the same way until no two of them are linked. A column never has more than
+so the graph is contracted to the attractors, with the summed weight of the links between their parts, and flows again until no link is left between
+two parts. Attractors that are still similar although no link of the sparse graph joins their parts start another level. A column never has more than
 `entries` rows, so squaring makes at most entries^2 products for a record, however large its cluster.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,15 +19,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locusmill.llm.hnsw import knn, matrix, usable_vectors
-from locusmill.util import key_chunks, keyed, materialize
+from locusmill.util import free, key_chunks, keyed, mark, materialize
 
-#: Rows kept of a column, inflation, least share of a column's strongest row that is kept, rounds, and how far from converged a column may stay.
+#: Rows kept of a column, inflation, least share of a column's strongest row that is kept, rounds, and how far below 1 a converged column's strongest flow may be
+#: (also the chaos below which columns have stopped).
 ENTRIES, INFLATION, PRUNE, ROUNDS, STILL = 16, 2.0, 0.01, 10, 0.02
 
 _COLUMN = "id bigint, rows array<bigint>, flow array<float>, chaos double"
 
 
-def _columns(col: np.ndarray, row: np.ndarray, v: np.ndarray, entries: int, inflation: float, prune: float) -> Iterator[pa.RecordBatch]:
+def _columns(col: np.ndarray, row: np.ndarray, v: np.ndarray, entries: int | None, inflation: float, prune: float) -> Iterator[pa.RecordBatch]:
     """Columns out of (column, row, value): equal places summed, inflated, pruned to the strongest rows, scaled to sum 1."""
     o = np.lexsort((row, col))
     col, row, v = col[o], row[o], v[o]
@@ -41,7 +44,9 @@ def _columns(col: np.ndarray, row: np.ndarray, v: np.ndarray, entries: int, infl
     first[1:] = col[1:] != col[:-1]
     start = np.flatnonzero(first)
     of = np.cumsum(first) - 1
-    keep = (np.arange(len(col)) - start[of] < entries) & (v >= prune * v[start[of]])
+    keep = v >= prune * v[start[of]]
+    if entries is not None:
+        keep &= np.arange(len(col)) - start[of] < entries
     col, row, v, of = col[keep], row[keep], v[keep], of[keep]
     v = v / np.bincount(of, v)[of]
     n = np.bincount(of)
@@ -58,20 +63,67 @@ def _columns(col: np.ndarray, row: np.ndarray, v: np.ndarray, entries: int, infl
     )
 
 
-def markov_clusters(edges: DataFrame, entries: int = ENTRIES, inflation: float = INFLATION, prune: float = PRUNE, rounds: int = ROUNDS) -> DataFrame:
-    """(id, attractor, flow) of every node of a weighted graph (a, b, w), w > 0, ids BIGINT. Edges count in both directions, repeated ones by their greatest weight.
+def _strongest(batches: Iterator[pa.RecordBatch], entries: int) -> Iterator[pa.Table]:
+    """Of the links (a, b, w) of some 200 000 rows at a time the `entries` strongest of each a, so that a node with very many links sends few to its column's task."""
+
+    def cut(held: list[pa.RecordBatch]) -> pa.Table:
+        t = pa.Table.from_batches(held)
+        a, b, w = (t.column(c).to_numpy() for c in ("a", "b", "w"))
+        o = np.lexsort((b, -w, a))
+        first = np.ones(len(o), bool)
+        first[1:] = a[o][1:] != a[o][:-1]
+        at = np.arange(len(o))
+        return t.take(pa.array(o[at - np.maximum.accumulate(np.where(first, at, 0)) < entries]))
+
+    held, n = [], 0
+    for x in batches:
+        held.append(x)
+        n += x.num_rows
+        if n >= 200_000:
+            yield cut(held)
+            held, n = [], 0
+    if n:
+        yield cut(held)
+
+
+def _ends(ptr: DataFrame) -> DataFrame:
+    """(id, attractor, flow): attractor pointers followed to the end. Of two nodes that are each other's attractor the lesser is the attractor of both; nodes on a longer loop are their own."""
+    out, before = materialize(ptr, "attractors"), None
+    while True:
+        up = out.select(F.col("id").alias("attractor"), F.col("attractor").alias("_up"))
+        step = out.join(up, "attractor").select("id", F.when(F.col("_up") == F.col("id"), F.least("id", "attractor")).otherwise(F.col("_up")).alias("_new"), "attractor", "flow")
+        step = materialize(step, "attractors")
+        moved = step.where("_new <> attractor").count()
+        if moved and moved == before:
+            return step.select("id", F.when(F.col("_new") == F.col("attractor"), F.col("_new")).otherwise(F.col("id")).alias("attractor"), "flow")
+        out, before = step.select("id", F.col("_new").alias("attractor"), "flow"), moved
+        if not moved:
+            return out
+
+
+def markov_clusters(edges: DataFrame, entries: int | None = ENTRIES, inflation: float = INFLATION, prune: float = PRUNE, rounds: int = ROUNDS, loops: bool = True) -> DataFrame:
+    """(id, attractor, flow, inflow) of every node of a weighted graph (a, b, w), w > 0, ids BIGINT. Edges count in both directions, repeated ones by their greatest weight.
 
     A node without edges isn't in the result. attractor is the row with the strongest flow of the node's column (the least id among equals), followed to the end; the
-    attractor of an attractor is itself.
+    attractor of an attractor is itself. flow is the column's share that goes to its strongest row, inflow what all columns together send to the node after the
+    first squaring. Columns that have converged aren't squared again; one that hasn't after `rounds` takes the strongest row that it has (its flow then is well
+    below 1). With entries None columns are whole, with prune 0 besides the flow is exact. loops = False leaves out self-loops, and with rounds = 0 each node then
+    goes to its strongest neighbour.
     """
-    both = edges.where((F.col("a") != F.col("b")) & (F.col("w") > 0)).select("a", "b", "w")
+    both = edges.where((F.col("a") != F.col("b")) & (F.col("w") > 0)).select("a", "b", F.col("w").cast("double").alias("w"))
     both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.max("w").alias("w"))
-    # a self-loop as strong as the column's strongest edge
-    best = both.groupBy("a").agg(F.max("w").alias("w")).select("a", F.col("a").alias("b"), "w")
+    if entries is not None:
+        both = both.mapInArrow(lambda batches: (b for t in _strongest(batches, entries) for b in t.to_batches()), "a bigint, b bigint, w double")
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in key_chunks(batches):
-            yield from _columns(*(t.column(c).to_numpy() for c in ("a", "b")), t.column("w").to_numpy().astype(np.float64), entries, 1.0, 0.0)
+            a, b, w = (t.column(c).to_numpy() for c in ("a", "b", "w"))
+            if loops:  # a self-loop as strong as the column's strongest edge
+                node, of = np.unique(a, return_inverse=True)
+                best = np.zeros(len(node))
+                np.maximum.at(best, of, w)
+                a, b, w = np.r_[a, node], np.r_[b, node], np.r_[w, best]
+            yield from _columns(a, b, w, entries, 1.0, 0.0)
 
     def square(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in key_chunks(batches, 100_000):
@@ -80,60 +132,84 @@ def markov_clusters(edges: DataFrame, entries: int = ENTRIES, inflation: float =
             v = flow.flatten().to_numpy().astype(np.float64) * np.repeat(t.column("v").to_numpy(), n)
             yield from _columns(np.repeat(t.column("c").to_numpy(), n), rows.flatten().to_numpy(), v, entries, inflation, prune)
 
-    m = materialize(keyed(both.unionByName(best), ["a"]).mapInArrow(start, _COLUMN), "flow")
-    for _ in range(rounds):
-        left = m.select(F.col("id").alias("c"), F.explode(F.arrays_zip("rows", "flow")).alias("x")).select("c", F.col("x.rows").alias("id"), F.col("x.flow").cast("double").alias("v"))
-        m = materialize(keyed(left.join(m.select("id", "rows", "flow"), "id").select("c", "v", "rows", "flow"), ["c"]).mapInArrow(square, _COLUMN), "flow")
-        if (m.agg(F.max("chaos")).first()[0] or 0) < STILL:
+    since = mark()
+    m = materialize(keyed(both, ["a"]).mapInArrow(start, _COLUMN), "flow")
+    done: list[DataFrame] = []
+    open_, inflow = m, None
+    for r in range(rounds):
+        left = open_.select(F.col("id").alias("c"), F.explode(F.arrays_zip("rows", "flow")).alias("x")).select("c", F.col("x.rows").alias("id"), F.col("x.flow").cast("double").alias("v"))
+        whole = m.select("id", "rows", "flow")
+        m = materialize(keyed(left.join(whole, "id").select("c", "v", "rows", "flow"), ["c"]).mapInArrow(square, _COLUMN), "flow")
+        if r == 0:
+            inflow = m.select(F.explode(F.arrays_zip("rows", "flow")).alias("x")).groupBy(F.col("x.rows").alias("id")).agg(F.sum(F.col("x.flow").cast("double")).alias("inflow"))
+            inflow = materialize(inflow, "inflow")
+        done.append(m.where(F.col("flow")[0] >= 1 - STILL))
+        open_ = m.where(F.col("flow")[0] < 1 - STILL)
+        m = functools.reduce(DataFrame.unionByName, [*done, open_])
+        if not open_.where(F.col("chaos") >= STILL).limit(1).count():
             break
-    out = materialize(m.select("id", F.col("rows")[0].alias("attractor"), F.col("flow")[0].cast("double").alias("flow")), "attractors")
-    while True:
-        up = out.select(F.col("id").alias("attractor"), F.col("attractor").alias("_up"))
-        # two nodes that are each other's attractor: the lesser one is the attractor of both
-        step = out.join(up, "attractor").select("id", F.when(F.col("_up") == F.col("id"), F.least("id", "attractor")).otherwise(F.col("_up")).alias("_new"), "attractor", "flow")
-        step = materialize(step, "attractors")
-        moved = step.where("_new <> attractor").limit(1).count()
-        out = step.select("id", F.col("_new").alias("attractor"), "flow")
-        if not moved:
-            return out
+    out = _ends(m.select("id", F.col("rows")[0].alias("attractor"), F.col("flow")[0].cast("double").alias("flow")))
+    inflow = out.select("id").limit(0).withColumn("inflow", F.lit(0.0)) if inflow is None else inflow
+    out = materialize(out.join(inflow, "id", "left").withColumn("inflow", F.coalesce("inflow", F.lit(0.0))), "attractors")
+    free(since, out)
+    return out
 
 
-def cluster_vectors(vectors: DataFrame, threshold: float = 0.8, k: int = 15, levels: int = 12) -> DataFrame:
-    """(id, cluster, similarity): the cluster of every usable vector (id BIGINT, vec of length 1), named by its representative, and the cosine similarity to that.
+def cluster_vectors(vectors: DataFrame, threshold: float = 0.8, k: int = 15) -> DataFrame:
+    """(id, cluster, similarity, flow, inflow): the cluster of every usable vector (id BIGINT, vec of length 1), named by its representative, the cosine similarity
+    to that, the flow that goes from the vector to its representative along the attractors, and the flow that the vector receives.
 
-    A vector without a neighbour above the threshold is a cluster of its own. Equal vectors are alike. An empty table gives no rows.
+    A vector without a neighbour above the threshold is a cluster of its own. Equal vectors are alike. An empty table gives no rows. Levels go on until no two
+    representatives are `threshold` similar, as far as the index finds them.
     """
+    since = mark()
     vectors = materialize(vectors.select("id", "vec"), "unit")
-    member = vectors.select("id", F.col("id").alias("cluster"))
-    nodes = vectors
-    for _ in range(levels):
-        near = knn(nodes, k, reach=(2 - 2 * threshold) ** 0.5)
+    member = vectors.select("id", F.col("id").alias("cluster"), F.lit(1.0).alias("flow"), F.lit(0.0).alias("inflow"))
+    nodes, level = vectors, 0
+    while True:
+        at = mark()
+        near = knn(nodes, k if level == 0 else min(k, 4), reach=(2 - 2 * threshold) ** 0.5)
         edges = near.select(F.col("id").alias("a"), F.col("neighbour").alias("b"), (1 - F.col("distance") * F.col("distance") / 2).alias("w")).where(F.col("w") >= threshold)
         edges = materialize(edges, "edges")
-        if not edges.limit(1).count():
+        free(at, edges)
+        n = edges.count()
+        if not n:
             break
-        up = markov_clusters(edges).select(F.col("id").alias("cluster"), "attractor")
-        member = materialize(member.join(up, "cluster", "left").select("id", F.coalesce("attractor", "cluster").alias("cluster")), "member")
-        nodes = materialize(nodes.join(member.select(F.col("cluster").alias("id")).distinct(), "id"), "nodes")
+        step, stuck = member, False
+        while n:
+            flow = {"entries": None, "rounds": 0, "loops": False} if stuck else {}  # a flow that merges nothing: once to the strongest neighbour
+            up = markov_clusters(edges, **flow).select(F.col("id").alias("cluster"), "attractor", F.col("flow").alias("_f"), F.col("inflow").alias("_in"))
+            first = F.col("inflow") if level else F.coalesce("_in", "inflow")
+            step = step.join(up, "cluster", "left").select("id", F.coalesce("attractor", "cluster").alias("cluster"), (F.col("flow") * F.coalesce("_f", F.lit(1.0))).alias("flow"), first.alias("inflow"))
+            step = materialize(step, "member")
+            up_a, up_b = up.select(F.col("cluster").alias("a"), F.col("attractor").alias("_a")), up.select(F.col("cluster").alias("b"), F.col("attractor").alias("_b"))
+            between = edges.join(up_a, "a").join(up_b, "b").where("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "w")
+            edges = materialize(between.groupBy("a", "b").agg(F.sum("w").alias("w")), "edges")
+            free(at, step, edges)
+            left = edges.count()
+            stuck, n, level = left == n, left, level + 1
+        member = step
+        nodes = materialize(vectors.join(member.select(F.col("cluster").alias("id")).distinct(), "id"), "nodes")
+        free(since, vectors, member, nodes)
     centre = vectors.select(F.col("id").alias("cluster"), F.col("vec").alias("_c"))
     both = member.join(vectors, "id").join(centre, "cluster")
 
     def cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = np.einsum("nd,nd->n", matrix(b.column(2)).astype(np.float64), matrix(b.column(3)).astype(np.float64)) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_pydict({"id": b.column(0), "cluster": b.column(1), "similarity": pa.array(s)})
+            yield pa.RecordBatch.from_pydict({"id": b.column(0), "cluster": b.column(1), "similarity": pa.array(s), "flow": b.column(4), "inflow": b.column(5)})
 
-    return both.select("id", "cluster", "vec", "_c").mapInArrow(cosine, "id bigint, cluster bigint, similarity double")
+    return both.select("id", "cluster", "vec", "_c", "flow", "inflow").mapInArrow(cosine, "id bigint, cluster bigint, similarity double, flow double, inflow double")
 
 
 def cluster_report(members: DataFrame, labels: DataFrame | None = None, typical: int = 3) -> DataFrame:
-    """Per cluster: size, the `typical` most similar members to the representative (itself first) and, from labels (id, label), the most frequent label not NULL.
+    """Per cluster: size, its `typical` members (the representative, then those that receive the strongest flow) and, from labels (id, label), the most frequent label not NULL.
 
-    The members wanted are found by an aggregate that keeps `typical` of each task's rows, so a cluster of any size is described without its rows being gathered.
+    Equal flows are ordered by similarity to the representative, then by id. The members wanted are found by an aggregate that keeps `typical` of each task's rows,
+    so a cluster of any size is described without its rows being gathered.
     """
-    few = members.withColumn("_t", F.pmod(F.xxhash64("id"), F.lit(256)))
-    rank = W.partitionBy("cluster", "_t").orderBy(F.desc("similarity"), "id")
-    few = few.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= typical).groupBy("cluster").agg(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "id")).alias("x"))
+    few = members.withColumn("_t", F.pmod(F.xxhash64("id"), F.lit(256))).withColumn("_k", F.struct(F.col("id") != F.col("cluster"), -F.col("inflow"), -F.col("similarity"), "id"))
+    few = few.withColumn("_r", F.row_number().over(W.partitionBy("cluster", "_t").orderBy("_k"))).where(F.col("_r") <= typical).groupBy("cluster").agg(F.collect_list("_k").alias("x"))
     few = few.select("cluster", F.transform(F.slice(F.array_sort("x"), 1, typical), lambda x: x["id"]).alias("typical"))
     out = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).join(few, "cluster")
     if labels is None:
