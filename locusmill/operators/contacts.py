@@ -184,26 +184,46 @@ def loops(c: DataFrame, n_bins: DataFrame, inner: int = 1, outer: int = 3, fold:
     return g.where((F.col("fold") >= fold) & (F.col("v") >= F.col("top"))).select("chrom", F.col("c1").alias("bin1"), F.col("c2").alias("bin2"), F.col("v").alias("value"), "expected", "fold")
 
 
-def impute(c: DataFrame, pad: int = 1, restart: float = 0.5, top: float = 0.2) -> DataFrame:
-    """(cell, chrom, bin1, bin2, value): each cell's chromosome smoothed by a box of 2 pad + 1, a random walk with restart, made symmetric, log-scaled, and its greatest share `top` kept."""
+def impute_matrix(c: np.ndarray, pad: int = 1, restart: float = 0.05, top: float = 0.05, log: bool = True) -> np.ndarray:
+    """A symmetric contact matrix summed over a box of 2 pad + 1, spread by a random walk that restarts with the given probability, made symmetric, log-scaled by the number of bins
+    over the sum of the boxes, and kept where it is among the greatest share `top` of all entries (0 elsewhere)."""
+    n = len(c)
+    if not n:
+        return c.astype(float)
+    a = c.astype(float)
+    if pad and n > 1:
+        edge = np.zeros((n + 1, n + 1))
+        edge[1:, 1:] = a.cumsum(0).cumsum(1)
+        lo, hi = np.maximum(np.arange(n) - pad, 0), np.minimum(np.arange(n) + pad + 1, n)
+        a = edge[hi][:, hi] - edge[lo][:, hi] - edge[hi][:, lo] + edge[lo][:, lo]
+    rows = a.sum(1)
+    left = np.eye(n) - (1 - restart) * a / np.where(rows > 0, rows, 1)[:, None]
+    try:
+        q = restart * np.linalg.solve(left, np.eye(n))
+    except np.linalg.LinAlgError:
+        q = np.linalg.lstsq(left, restart * np.eye(n), rcond=None)[0]
+    q = (q + q.T) / 2
+    if log:
+        q = np.log1p(q * (n / max(a.sum(), 1.0)))
+    return np.where(q >= np.quantile(q, 1 - top), q, 0.0) if 0 < top < 1 else q
+
+
+def impute(c: DataFrame, n_bins: DataFrame | None = None, pad: int = 1, restart: float = 0.05, top: float = 0.05, log: bool = True) -> DataFrame:
+    """(cell, chrom, bin1, bin2, value), bin1 <= bin2: the entries above 0 of `impute_matrix` of each cell's chromosome. n_bins (chrom, n) gives the chromosomes' numbers of bins, by
+    default up to the last bin of each cell that has contacts. One dense matrix per cell and chromosome."""
+    n = c.groupBy("cell", "chrom").agg((F.max(F.greatest("bin1", "bin2")) + 1).alias("_n")) if n_bins is None else n_bins.select("chrom", F.col("n").alias("_n"))
 
     def one(p):
-        m, lo = _dense(p, "count")
-        n, k = len(m), 2 * pad + 1
-        z = np.pad(m, pad)
-        s = np.zeros((n + k, n + k))
-        s[1:, 1:] = z.cumsum(0).cumsum(1)
-        b = s[k:, k:] - s[:-k, k:] - s[k:, :-k] + s[:-k, :-k]
-        r = b.sum(1)
-        w = b / np.where(r > 0, r, 1)[:, None]
-        q = restart * np.linalg.inv(np.eye(n) - (1 - restart) * w)
-        q = np.log1p((q + q.T) / 2 * 1e3)
-        i, j = np.triu_indices(n)
-        v = q[i, j]
-        keep = (v >= np.quantile(v, 1 - top)) & (v > 0)
-        return pd.DataFrame({"cell": p["cell"].iloc[0], "chrom": p["chrom"].iloc[0], "bin1": i[keep] + lo, "bin2": j[keep] + lo, "value": v[keep]})
-
-    return c.select("cell", "chrom", "bin1", "bin2", "count").groupBy("cell", "chrom").applyInPandas(one, "cell string, chrom string, bin1 bigint, bin2 bigint, value double")
+        m = np.zeros((int(p["_n"].iloc[0]),) * 2)
+        i, j = p["bin1"].to_numpy(), p["bin2"].to_numpy()
+        m[i, j] = p["count"]
+        m[j, i] = p["count"]
+        m = impute_matrix(m, pad, restart, top, log)
+        i, j = np.nonzero(np.triu(m) > 0)
+        return pd.DataFrame({"cell": p["cell"].iloc[0], "chrom": p["chrom"].iloc[0], "bin1": i, "bin2": j, "value": m[i, j]})
+
+    c = c.select("cell", "chrom", "bin1", "bin2", "count").join(n, ["cell", "chrom"] if n_bins is None else "chrom")
+    return c.groupBy("cell", "chrom").applyInPandas(one, "cell string, chrom string, bin1 bigint, bin2 bigint, value double")
 
 
 def contact_features(c: DataFrame, value: str = "count") -> DataFrame:

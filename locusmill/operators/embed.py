@@ -11,57 +11,81 @@ from pyspark.sql import types as T
 
 from locusmill.operators.matrices import top_features, variable_features
 from locusmill.operators.stats import tf_idf, tf_logidf
-from locusmill.util import materialize
+from locusmill.util import materialize, shuffle_width
 
 #: Features that a Gram matrix may have: it is summed by partitions and decomposed on the driver.
 MOST_DIMS = 4000
 
 
-def gram_svd(x: DataFrame, k: int, row: str = "cell", col: str = "feature") -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """Rank-k singular values of a long matrix with at most MOST_DIMS columns: (rows (row, vec = U), columns (col, v), s).
-
-    The columns' Gram matrix is the sum of each partition's own, so what reaches the driver is bounded by the number of columns whatever the number of rows. Signs: the
-    entry of greatest size of each column vector is positive.
-    """
+def _matrix_rows(x: DataFrame, row: str, col: str) -> tuple[DataFrame, list]:
+    """(rows (row, i, v) with column numbers and values, written; the columns in order) of a long matrix with at most MOST_DIMS columns."""
     spark = x.sparkSession
     cols = [r[0] for r in x.select(col).distinct().orderBy(col).limit(MOST_DIMS + 1).collect()]
     if len(cols) > MOST_DIMS:
         raise ValueError(f"more than {MOST_DIMS} columns: select features first")
     at = F.broadcast(spark.createDataFrame([(c, i) for i, c in enumerate(cols)], T.StructType([x.schema[col], T.StructField("_i", T.IntegerType())])))
     rows = x.join(at, col).groupBy(row).agg(F.collect_list("_i").alias("i"), F.collect_list(F.col("value").cast("double")).alias("v"))
-    rows = materialize(rows, "rows")
-    d = len(cols)
+    return materialize(rows, "rows"), cols
+
+
+def _gram(rows: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sum of the rows' outer products, sum of the rows, their number). Each partition sums its own, the partial sums of a matrix row are added by one task of its own, so that
+    d rows reach the driver, however many partitions there are."""
 
     def gram(parts):
-        g = np.zeros((d, d))
-        seen = False
+        g, t, n = np.zeros((d, d)), np.zeros(d), 0
         for p in parts:
-            m = np.zeros((len(p), d))
-            for j, (i, v) in enumerate(zip(p["i"], p["v"], strict=True)):
-                m[j, i] = v
-            g += m.T @ m
-            seen = True
-        if seen:
-            yield pd.DataFrame({"r": np.arange(d), "g": list(g)})
-
-    g = np.zeros((d, d))
-    for r in rows.select("i", "v").mapInPandas(gram, "r int, g array<double>").toLocalIterator():
-        g[r.r] += r.g
-    w, v = np.linalg.eigh(g)
+            for lo in range(0, len(p), 1000):
+                q = p.iloc[lo : lo + 1000]
+                m = np.zeros((len(q), d))
+                for j, (i, v) in enumerate(zip(q["i"], q["v"], strict=True)):
+                    m[j, i] = v
+                g += m.T @ m
+                t += m.sum(0)
+                n += len(q)
+        if n:
+            yield pd.DataFrame({"r": np.arange(-2, d), "g": [np.array([float(n)]), t, *g]})
+
+    def add(p):
+        return pd.DataFrame({"r": p["r"].iloc[:1], "g": [np.sum(p["g"].to_list(), axis=0)]})
+
+    kind = "r int, g array<double>"
+    g, t, n = np.zeros((d, d)), np.zeros(d), 0
+    few = rows.select("i", "v").coalesce(shuffle_width(rows.sparkSession))
+    for r in few.mapInPandas(gram, kind).groupBy("r").applyInPandas(add, kind).toLocalIterator():
+        if r.r >= 0:
+            g[r.r] = r.g
+        elif r.r == -1:
+            t = np.array(r.g)
+        else:
+            n = int(r.g[0])
+    return g, t, n
+
+
+def gram_svd(x: DataFrame, k: int, row: str = "cell", col: str = "feature") -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Rank-k singular values of a long matrix with at most MOST_DIMS columns: (rows (row, vec = U), columns (col, v), s).
+
+    The columns' Gram matrix is summed on the executors; the driver gets one matrix of columns by columns. Signs: the entry of greatest size of each column vector is positive.
+    """
+    spark = x.sparkSession
+    rows, cols = _matrix_rows(x, row, col)
+    d = len(cols)
+    w, v = np.linalg.eigh(_gram(rows, d)[0])
     o = np.argsort(-w)[: min(k, d)]
     s = np.sqrt(np.maximum(w[o], 0))
     v = v[:, o]
     v = v * np.sign(v[np.abs(v).argmax(0), np.arange(len(o))])
-    proj = v / np.where(s > 0, s, 1)
+    u = _project_rows(rows, row, v / np.where(s > 0, s, 1), x.schema[row].dataType.simpleString())
+    cv = spark.createDataFrame([(c, v[i].tolist()) for i, c in enumerate(cols)], T.StructType([x.schema[col], T.StructField("v", T.ArrayType(T.DoubleType()))]))
+    return u, cv, s
+
 
+def _project_rows(rows: DataFrame, row: str, proj: np.ndarray, kind: str, less: np.ndarray | float = 0.0) -> DataFrame:
     def project(parts):
         for p in parts:
-            yield pd.DataFrame({row: p[row], "vec": [np.asarray(vv) @ proj[ii] for ii, vv in zip(p["i"], p["v"], strict=True)]})
+            yield pd.DataFrame({row: p[row], "vec": [np.asarray(vv) @ proj[ii] - less for ii, vv in zip(p["i"], p["v"], strict=True)]})
 
-    kind = x.schema[row].dataType.simpleString()
-    u = rows.mapInPandas(project, f"`{row}` {kind}, vec array<double>")
-    cv = spark.createDataFrame([(c, v[i].tolist()) for i, c in enumerate(cols)], T.StructType([x.schema[col], T.StructField("v", T.ArrayType(T.DoubleType()))]))
-    return u, cv, s
+    return rows.mapInPandas(project, f"`{row}` {kind}, vec array<double>")
 
 
 def project(x: DataFrame, v: DataFrame, s: np.ndarray, row: str = "cell", col: str = "feature") -> DataFrame:
@@ -297,18 +321,50 @@ def doublet_probability(scores: DataFrame, seed: int = 1) -> DataFrame:
     return p.select(*scores.columns, "probability", (F.col("probability") > 0.5).alias("is_doublet"))
 
 
-def integrate(x: DataFrame, y: DataFrame, k: int = 10) -> DataFrame:
-    """(cell, side, vec): canonical directions of two long matrices over shared features: the SVD of their cross product, row by row scaled to length 1.
+def integrate(x: DataFrame, y: DataFrame, k: int = 30, features: DataFrame | None = None, standardize: bool = True, unit: bool = True) -> DataFrame:
+    """(cell, side, vec): the canonical directions of two long matrices over shared features (or those given in `features`): the left and right singular vectors of their cell by cell
+    product, side `a` for x and `b` for y, with `unit` each cell's vector scaled to length 1.
 
-    Both are projected to the features' joint directions, from the sum of their Gram matrices, so that no cell by cell product is formed.
+    With `standardize` each feature is scaled to mean 0 and sample deviation 1 within its table first (0 where it doesn't vary). Cells without any shared feature are left out, and don't count as rows.
+    The product A B' of the tables isn't formed: with the features' matrices P = A'A and Q = B'B and the eigenvectors e of P^1/2 Q P^1/2 with values s^2, the left vectors are A P^-1/2 e and the
+    right ones B P^1/2 e / s. Signs as in gram_svd, from A's side. At most MOST_DIMS features.
     """
     f = x.select("feature").distinct().join(y.select("feature").distinct(), "feature")
-    a = x.join(f, "feature").select(F.concat(F.lit("a:"), "cell").alias("cell"), "feature", "value")
-    b = y.join(f, "feature").select(F.concat(F.lit("b:"), "cell").alias("cell"), "feature", "value")
-    u, _, _ = gram_svd(a.unionByName(b), k)
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v))
-    u = u.withColumn("vec", F.transform("vec", lambda v: v / F.when(norm > 0, norm).otherwise(1.0)))
-    return u.select(F.substring("cell", 3, 1 << 20).alias("cell"), F.substring("cell", 1, 1).alias("side"), "vec")
+    f = f if features is None else f.join(features.select("feature").distinct(), "feature")
+    f = materialize(f, "shared")
+    names = [r[0] for r in f.orderBy("feature").limit(MOST_DIMS + 1).collect()]
+    if len(names) > MOST_DIMS:
+        raise ValueError(f"more than {MOST_DIMS} shared features: select some first")
+    d = len(names)
+    side = []
+    for t in (x, y):
+        rows, cols = _matrix_rows(t.join(F.broadcast(f), "feature"), "cell", "feature")
+        g, total, n = _gram(rows, d)
+        mean = total / max(n, 1) if standardize else np.zeros(d)
+        sd = np.ones(d)
+        if standardize:
+            var = np.maximum(np.diag(g) - n * mean * mean, 0) / max(n - 1, 1)
+            sd = np.where(var > 1e-12, np.sqrt(var), np.inf)
+        side.append((rows, mean, sd, (g - n * np.outer(mean, mean)) / np.outer(sd, sd)))
+    (ra, ma, sa, p), (rb, mb, sb, q) = side
+    w, v = np.linalg.eigh(p)
+    w = np.maximum(w, 0)
+    ok = w > w.max(initial=0) * 1e-10
+    root, inverse = (v * np.sqrt(w)) @ v.T, (v[:, ok] / np.sqrt(w[ok])) @ v[:, ok].T
+    s2, e = np.linalg.eigh(root @ q @ root)
+    o = np.argsort(-s2)[: min(k, d)]
+    o = o[s2[o] > max(s2.max(initial=0), 0) * 1e-12]
+    left, right = inverse @ e[:, o], root @ e[:, o] / np.sqrt(s2[o])
+    sign = np.sign(left[np.abs(left).argmax(0), np.arange(len(o))]) if d else 1
+    out = None
+    for name, rows, mean, sd, m in (("a", ra, ma, sa, left), ("b", rb, mb, sb, right)):
+        m = m * sign / sd[:, None]
+        u = _project_rows(rows, "cell", m, x.schema["cell"].dataType.simpleString(), mean @ m).select("cell", F.lit(name).alias("side"), "vec")
+        out = u if out is None else out.unionByName(u)
+    if not unit:
+        return out
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v)) + 1e-9
+    return out.withColumn("vec", F.transform("vec", lambda v: v / norm))
 
 
 def joint(a: DataFrame, b: DataFrame, names: tuple[str, str] = ("query", "reference")) -> DataFrame:

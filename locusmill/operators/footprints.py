@@ -195,13 +195,13 @@ def pair_weights(counts: DataFrame, background: DataFrame) -> DataFrame:
     return share(counts, "x").join(share(background, "y"), on).select(*on, F.log2(F.col("x") / F.col("y")).alias("weight"))
 
 
-def region_pvalues(counts: DataFrame, scales: list[int]) -> DataFrame:
-    """(region, scale, pos, value) of signal.footprint_pvalues at several scales over counts (region, pos, n, bias)."""
+def region_pvalues(counts: DataFrame, scales: list[int], smooth: int | None = None) -> DataFrame:
+    """(region, scale, pos, value) of signal.footprint_pvalues at several scales (the radius of centre and flank) over counts (region, pos, n, bias)."""
     from locusmill.operators.signal import footprint_pvalues
 
     def one(p):
         p = p.sort_values("pos")
         x, b = p["n"].to_numpy(float), p["bias"].to_numpy(float)
-        return pd.concat([pd.DataFrame({"region": p["region"], "scale": s, "pos": p["pos"], "value": footprint_pvalues(x, b, s, s)}) for s in scales])
+        return pd.concat([pd.DataFrame({"region": p["region"], "scale": s, "pos": p["pos"], "value": footprint_pvalues(x, b, s, s, smooth)}) for s in scales])
 
     return counts.groupBy("region").applyInPandas(one, "region string, scale int, pos bigint, value double")

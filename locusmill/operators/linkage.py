@@ -6,13 +6,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from locusmill.operators.intervals import band_join
-from locusmill.operators.stats import bh_fdr, correlate_pairs, rank_sum
+from locusmill.operators.stats import bh_fdr, rank_sums, rank_within, seeded, t_test_udf
 from locusmill.util import materialize
 
 
@@ -20,25 +20,74 @@ def _centre(peaks: DataFrame) -> DataFrame:
     return peaks.withColumn("centre", F.floor((F.col("start") + F.col("end")) / 2))
 
 
+def near_correlations(x: DataFrame, y: DataFrame, left: DataFrame, right: DataFrame, n: int, max_distance: int) -> DataFrame:
+    """(chrom, a, b, pos_a, pos_b, correlation, t) of the pairs of left (a, chrom, pos) and right (b, chrom, pos) at most max_distance apart, over n samples: x and y hold the values
+    (feature, sample, value) of left's and right's names, absent ones being 0. Pairs without a correlation (a side doesn't vary) are left out.
+
+    Names meet in windows of max_distance along the chromosome: each name of left is in one, each of right in three, as an array of n values, and a window's correlations are a
+    product of two matrices, 256 rows at a time. So values are shuffled by name and window, never by pair.
+    """
+    names = sorted(r[0] for r in x.select("sample").union(y.select("sample")).distinct().collect())
+    at = {v: i for i, v in enumerate(names)}
+
+    def vectors(v: DataFrame, places: DataFrame, name: str) -> DataFrame:
+        g = v.where(F.col("value") != 0).groupBy(F.col("feature").alias(name)).agg(F.collect_list("sample").alias("s"), F.collect_list(F.col("value").cast("double")).alias("v"))
+        return places.select(name, "chrom", F.col("pos").cast("bigint").alias("pos")).join(g, name)
+
+    bin_ = F.floor(F.col("pos") / max(1, max_distance))
+    l = vectors(x, left, "a").withColumn("_bin", bin_)  # noqa: E741
+    r = vectors(y, right, "b").withColumn("_bin", F.explode(F.array(bin_ - 1, bin_, bin_ + 1)))
+    kind_a, kind_b = (t.schema[c].dataType.simpleString() for t, c in ((left, "a"), (right, "b")))
+    schema = f"chrom string, a {kind_a}, b {kind_b}, pos_a bigint, pos_b bigint, correlation double"
+
+    def unit(p: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        m = np.zeros((p.num_rows, n))
+        for i, (s, v) in enumerate(zip(p.column("s").to_pylist(), p.column("v").to_pylist(), strict=True)):
+            m[i, [at[k] for k in s]] = v
+        m -= m.mean(1)[:, None]
+        size = np.sqrt((m * m).sum(1))
+        ok = size > 1e-9
+        return m / np.where(ok, size, 1)[:, None], ok
+
+    def one(p: pa.Table, q: pa.Table) -> pa.Table:
+        i, j, c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if p.num_rows and q.num_rows:
+            (a, ok_a), (b, ok_b) = unit(p), unit(q)
+            pos_a, pos_b = p.column("pos").to_numpy(), q.column("pos").to_numpy()
+            for lo in range(0, len(a), 256):
+                x, y = np.nonzero((np.abs(pos_a[lo : lo + 256, None] - pos_b[None]) <= max_distance) & ok_a[lo : lo + 256, None] & ok_b[None])
+                c.append((a[lo : lo + 256] @ b.T)[x, y])
+                i.append(x + lo)
+                j.append(y)
+        i, j = pa.array(np.concatenate(i)), pa.array(np.concatenate(j))
+        cols = [p.column("chrom").take(i), p.column("a").take(i), q.column("b").take(j), p.column("pos").take(i), q.column("pos").take(j), pa.array(np.clip(np.concatenate(c), -1, 1))]
+        return pa.table(cols, names=["chrom", "a", "b", "pos_a", "pos_b", "correlation"])
+
+    c = l.groupBy("chrom", "_bin").cogroup(r.select(F.col("chrom").alias("_c"), "_bin", "b", "pos", "s", "v").groupBy("_c", "_bin")).applyInArrow(one, schema)
+    t = F.col("correlation") * F.sqrt(F.lit(float(n - 2)) / F.greatest(1 - F.col("correlation") * F.col("correlation"), F.lit(1e-300)))
+    return c.withColumn("t", t)
+
+
 def peak_to_gene(peak_x: DataFrame, gene_x: DataFrame, peaks: DataFrame, genes: DataFrame, n: int, max_distance: int = 250_000, min_correlation: float = 0.0, alpha: float = 0.05) -> DataFrame:
-    """Peaks and genes at most max_distance apart (centre to TSS) with correlated values over n metacells: peak, gene, distance = centre - tss, correlation, t, p_value, fdr.
+    """Peaks and genes at most max_distance apart (centre to TSS) with correlated values over n metacells: peak, gene, chrom, tss, distance = centre - tss, correlation, t, p_value, fdr.
 
     peak_x and gene_x: (feature, sample, value), absent values being 0. Rates are over all pairs in reach, the least |correlation| and alpha are applied after that.
     """
-    pairs = band_join(_centre(peaks).select("chrom", "feature", "centre"), genes.select("chrom", "gene", "tss"), "centre", "tss", max_distance)
-    pairs = pairs.select(F.concat(F.lit("p:"), "feature").alias("a"), F.concat(F.lit("g:"), "r_gene").alias("b"), F.col("feature").alias("peak"), F.col("r_gene").alias("gene"), "chrom", F.col("r_tss").alias("tss"), "distance")
-    x = peak_x.select(F.concat(F.lit("p:"), "feature").alias("feature"), "sample", "value").unionByName(gene_x.select(F.concat(F.lit("g:"), "feature").alias("feature"), "sample", "value"))
-    c = bh_fdr(correlate_pairs(materialize(x, "values"), materialize(pairs, "pairs"), n), "p_value")
-    return c.where((F.abs("correlation") >= min_correlation) & (F.col("fdr") <= alpha)).drop("a", "b")
+    p, g = _centre(peaks).select(F.col("feature").alias("a"), "chrom", F.col("centre").alias("pos")), genes.select(F.col("gene").alias("b"), "chrom", F.col("tss").alias("pos"))
+    c = near_correlations(peak_x, gene_x, p, g, n, max_distance)
+    c = c.select(F.col("a").alias("peak"), F.col("b").alias("gene"), "chrom", F.col("pos_b").alias("tss"), (F.col("pos_a") - F.col("pos_b")).alias("distance"), "correlation", "t")
+    c = bh_fdr(c.withColumn("p_value", t_test_udf(n - 2)("t")), "p_value")
+    return c.where((F.abs("correlation") >= min_correlation) & (F.col("fdr") <= alpha))
 
 
 def coaccessibility(x: DataFrame, peaks: DataFrame, n: int, max_distance: int = 250_000, min_correlation: float = 0.0, alpha: float = 0.05) -> DataFrame:
     """Pairs of peaks at most max_distance apart (centres; peak_a before peak_b, ties by name) with correlated values over n metacells, as peak_to_gene."""
-    p = _centre(peaks).select("chrom", "feature", "centre")
-    j = band_join(p, p, "centre", "centre", max_distance).where((F.col("r_centre") > F.col("centre")) | ((F.col("r_centre") == F.col("centre")) & (F.col("r_feature") > F.col("feature"))))
-    pairs = j.select(F.col("feature").alias("a"), F.col("r_feature").alias("b"), "chrom", (-F.col("distance")).alias("distance"))
-    c = bh_fdr(correlate_pairs(materialize(x, "values"), materialize(pairs, "pairs"), n), "p_value")
-    return c.where((F.abs("correlation") >= min_correlation) & (F.col("fdr") <= alpha)).withColumnsRenamed({"a": "peak_a", "b": "peak_b"})
+    p = _centre(peaks).select("feature", "chrom", F.col("centre").alias("pos"))
+    c = near_correlations(x, x, p.withColumnRenamed("feature", "a"), p.withColumnRenamed("feature", "b"), n, max_distance)
+    c = c.where((F.col("pos_b") > F.col("pos_a")) | ((F.col("pos_b") == F.col("pos_a")) & (F.col("b") > F.col("a"))))
+    c = c.select(F.col("a").alias("peak_a"), F.col("b").alias("peak_b"), "chrom", (F.col("pos_b") - F.col("pos_a")).alias("distance"), "correlation", "t")
+    c = bh_fdr(c.withColumn("p_value", t_test_udf(n - 2)("t")), "p_value")
+    return c.where((F.abs("correlation") >= min_correlation) & (F.col("fdr") <= alpha))
 
 
 def metacells(near: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -48,19 +97,24 @@ def metacells(near: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return m.unionByName(seeds.select(F.col("id").alias("metacell"), F.col("id").alias("cell")))
 
 
-def match_background(fg: DataFrame, bg: DataFrame, bias: list[str], k: int = 1, block: int = 256) -> DataFrame:
+def match_background(fg: DataFrame, bg: DataFrame, bias: list[str], k: int = 1, block: int = 256, scaled: bool = False, apart: str | None = None) -> DataFrame:
     """(fg cell, bg cell, rank): for each row of fg (cell, bias...) its k nearest of bg in the standardised bias values, ties by name; a background row may match several.
 
     Exact. Equal bias values are searched once, and of equal background rows the first k are kept. The rest lies in blocks of about `block` rows along the first bias value (4096 blocks at
     most); a row searches its own block and the next on both sides, and twice as far again until its k-th distance is below that to the nearest block not searched, or all are searched.
-    Rows with a bias value that is NULL, NaN or infinite take no part; with fewer than k background rows, all are given.
+    Rows with a bias value that is NULL, NaN or infinite take no part; with fewer than k background rows, all are given. `scaled` values are taken as they are. `match_unique` makes of
+    the result one in which no background row comes twice. With `apart`, a column of both tables, a row's partners are only those with another value there (fg and bg may then be one table).
     """
     known = reduce(lambda x, y: x & y, [F.abs(F.col(c).cast("double")) < float("inf") for c in bias])
-    fg, bg = fg.where(known).select("cell", *bias), bg.where(known).select("cell", *bias)
+    side = lambda d, other: d.where(known).select("cell", *bias, (F.col(apart).cast("string") if apart else F.lit(other)).alias("_a"))
+    fg, bg = side(fg, "f"), side(bg, "b")
     s = fg.unionByName(bg).agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(bias) for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
-    z, zs = lambda d, x: d.select("cell", *[((F.col(c) - s[f"m{i}"]) / (s[f"s{i}"] or 1.0) + F.lit(0.0)).alias(f"{x}{i}") for i, c in enumerate(bias)]), [f"z{i}" for i in range(len(bias))]
+    if scaled:
+        s = {f"{n}{i}": float(n == "s") for i in range(len(bias)) for n in "ms"}
+    z, zs = lambda d, x: d.select("cell", F.col("_a").alias(f"_{x}"), *[((F.col(c) - s[f"m{i}"]) / (s[f"s{i}"] or 1.0) + F.lit(0.0)).alias(f"{x}{i}") for i, c in enumerate(bias)]), [f"z{i}" for i in range(len(bias))]
     a = materialize(z(fg, "z"), "match_fg")
-    same = W.partitionBy(*[f"b{i}" for i in range(len(bias))]).orderBy("cell")
+    same = W.partitionBy("_b", *[f"b{i}" for i in range(len(bias))]).orderBy("cell")
+    own = ["_z", *zs]
     b = materialize(z(bg, "b").withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= k).drop("_r").withColumnRenamed("cell", "bg"), "match_bg")
     m = min(4096, -(-b.count() // block))
     inner = sorted(set(b.approxQuantile("b0", [i / m for i in range(1, m)], 1 / (4 * m)))) if m > 1 else []
@@ -83,44 +137,76 @@ def match_background(fg: DataFrame, bg: DataFrame, bias: list[str], k: int = 1,
     b = materialize(b.withColumn("_g", at("b0")), "match_blocks")
     sq = lambda c: c * c
     d2 = reduce(lambda x, y: x + y, [sq(F.col(f"z{i}") - F.col(f"b{i}")) for i in range(len(bias))])
-    todo, reach, done = a.select(*zs).distinct().withColumn("_own", at("z0")), 1, None
-    w = W.partitionBy(*zs)
+    todo, reach, done = a.select(*own).distinct().withColumn("_own", at("z0")), 1, None
+    w = W.partitionBy(*own)
     while True:
         q = todo.withColumn("_m", margin(reach)("z0", "_own")).withColumn("_g", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_own") - reach), F.least(F.lit(last), F.col("_own") + reach))))
-        r = q.join(b, "_g").withColumn("_d", d2).withColumn("rank", F.row_number().over(w.orderBy("_d", "bg"))).where(F.col("rank") <= k)
+        r = q.join(b, "_g").where("_z <> _b").withColumn("_d", d2).withColumn("rank", F.row_number().over(w.orderBy("_d", "bg"))).where(F.col("rank") <= k)
         r = r.withColumn("_ok", ((F.count(F.lit(1)).over(w) >= k) & (F.max("_d").over(w) < sq(F.col("_m")))) | (F.col("_m") == float("inf")))
-        r = materialize(r.select(*zs, "_own", "bg", "rank", "_ok"), "matched")
-        ok = r.where("_ok").select(*zs, "bg", "rank")
+        r = materialize(r.select(*own, "_own", "bg", "rank", "_ok"), "matched")
+        ok = r.where("_ok").select(*own, "bg", "rank")
         done = ok if done is None else done.unionByName(ok)
         if reach > last:
-            return a.join(done, zs).select("cell", "bg", "rank")
-        todo = materialize(todo.join(r.where("_ok").select(*zs).distinct(), zs, "left_anti"), "to_match")
+            return a.join(done, own).select("cell", "bg", "rank")
+        todo = materialize(todo.join(r.where("_ok").select(*own).distinct(), own, "left_anti"), "to_match")
         if todo.isEmpty():
-            return a.join(done, zs).select("cell", "bg", "rank")
+            return a.join(done, own).select("cell", "bg", "rank")
         reach *= 2
 
 
-def marker_features(x: DataFrame, groups: DataFrame, bias: DataFrame | None = None, k: int = 1, max_cells: int = 2000, seed: int = 0) -> DataFrame:
-    """Per group and feature the rank-sum test of the group's cells against as many others (matched by bias (cell, ...) if given, else by a seeded hash), with rates per group.
+def match_unique(near: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(cell, bg, rank) out of near (cell, bg, rank): cells in the order of their names each take the nearest of their candidates that no earlier one took; a cell whose candidates
+    are all taken has none. With `by`, columns of near, each of these groups takes turns for itself.
+
+    In rounds: every cell asks for the first candidate that hasn't refused it, and a candidate keeps the first cell by name that asks. All candidates prefer cells in the same order, so
+    this ends with just what taking turns gives.
+    """
+    by = by or []
+    cols = [*by, "cell", "bg", "rank"]
+    near = materialize(near.select(*cols), "candidates")
+    asked = near.where("rank = 1")
+    while True:
+        first = asked.groupBy(*by, "bg").agg(F.min("cell").alias("_first"))
+        asked = materialize(asked.join(first, [*by, "bg"]).select(*cols, (F.col("cell") == F.col("_first")).alias("_kept")), "asked")
+        lost = asked.where("not _kept").select(*by, "cell", (F.col("rank") + 1).alias("rank")).join(near, [*by, "cell", "rank"])
+        if not lost.limit(1).count():
+            return asked.where("_kept").select(*cols)
+        asked = asked.where("_kept").select(*cols).unionByName(lost.select(*cols))
+
+
+def marker_features(x: DataFrame, groups: DataFrame, bias: DataFrame | None = None, k: int = 1, max_cells: int | None = 2000, replace: bool = False, seed: int = 0) -> DataFrame:
+    """Per group and feature the rank-sum test of the group's cells against k times as many others, with rates per group.
 
-    At most max_cells cells of a group are tested, a documented setting of the test; they are chosen by the hash.
+    groups: (cell, group). With bias (cell, value...) the others are matched in the standardised values (of all cells), each taken once unless `replace`; if none can be matched, and without
+    bias, they are all other cells, as many as wanted by a seeded hash. max_cells cells of a group at most are tested, chosen by the hash (a setting of the test; None tests all).
+    All groups are tested in one pass over x.
     """
     names = [r[0] for r in groups.select("group").distinct().orderBy("group").collect()]
-    h = F.xxhash64("cell", F.lit(seed))
-    out = None
-    for g in names:
-        fg = groups.where(F.col("group") == g).orderBy(h, "cell").limit(max_cells).select("cell")
-        rest = groups.where(F.col("group") != g).select("cell")
-        n = fg.count()
-        if bias is not None:
-            cols = [c for c in bias.columns if c != "cell"]
-            bg = match_background(fg.join(bias, "cell"), rest.join(bias, "cell"), cols, k).select(F.col("bg").alias("cell")).distinct()
-        else:
-            bg = rest.orderBy(h, "cell").limit(k * n)
-        sides = materialize(fg.withColumn("side", F.lit("fg")).unionByName(bg.withColumn("side", F.lit("bg"))), "sides")
-        r = rank_sum(x, sides).withColumn("group", F.lit(g))
-        out = r if out is None else out.unionByName(r)
-    return bh_fdr(out, "p_value", by=["group"])
+    cells = materialize(groups.select("cell", "group").withColumn("_h", F.xxhash64("cell", F.lit(seed))), "cells")
+    fg = rank_within(cells, ["group"], ["_h", "cell"], "_r")
+    fg = materialize((fg if max_cells is None else fg.where(F.col("_r") <= max_cells)).select("cell", "group"), "foreground")
+    size = {r.group: r["n"] for r in fg.groupBy("group").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = [fg.select("group", "cell", F.lit("fg").alias("side"))]
+    rest = names
+    if bias is not None:
+        cols = [c for c in bias.columns if c != "cell"]
+        m = bias.join(cells.select("cell"), "cell").agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+        z = bias.select("cell", *[((F.col(c) - m[f"m{i}"]) / (m[f"s{i}"] or 1.0)).alias(c) for i, c in enumerate(cols)])
+        z = materialize(z.join(cells, "cell"), "bias")
+        near = match_background(z.join(fg.select("cell"), "cell", "left_semi"), z, cols, k, scaled=True, apart="group")
+        near = materialize(near.join(fg, "cell"), "matched")
+        taken = near.select("group", "bg").distinct() if replace else match_unique(near, ["group"]).select("group", "bg")
+        taken = materialize(taken, "taken")
+        parts.append(taken.select("group", F.col("bg").alias("cell"), F.lit("bg").alias("side")))
+        found = {r.group for r in taken.select("group").distinct().collect()}
+        rest = [g for g in names if g not in found]
+    if rest:
+        want = F.array(*[F.struct(F.lit(g).alias("_g"), F.lit(k * size[g]).alias("_k")) for g in rest])
+        others = cells.select("cell", F.col("group").alias("_own"), "_h", F.inline(want)).where("_own <> _g")
+        bg = rank_within(others, ["_g"], ["_h", "cell"], "_r").where("_r <= _k")
+        parts.append(bg.select(F.col("_g").alias("group"), "cell", F.lit("bg").alias("side")))
+    sides = materialize(reduce(DataFrame.unionByName, parts), "sides")
+    return bh_fdr(rank_sums(x, sides), "p_value", by=["group"])
 
 
 def background_peaks(stats: DataFrame, n: int = 50, bins: int = 25, seed: int = 0) -> DataFrame:
@@ -135,7 +221,7 @@ def background_peaks(stats: DataFrame, n: int = 50, bins: int = 25, seed: int =
     g = materialize(g.withColumn("no", F.row_number().over(w) - 1), "grid")
     size = g.groupBy("x", "y").agg(F.count(F.lit(1)).alias("size"))
     d = g.join(F.broadcast(size), ["x", "y"]).withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    d = d.select("feature", "iteration", "x", "y", F.pmod(F.xxhash64("feature", "iteration", F.lit(seed)), F.col("size")).cast("int").alias("no"))
+    d = d.select("feature", "iteration", "x", "y", F.pmod(seeded(F.concat_ws(":", "feature", "iteration"), seed), F.col("size")).cast("int").alias("no"))
     return d.join(g.withColumnRenamed("feature", "peer"), ["x", "y", "no"]).select("feature", "iteration", "peer")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from locusmill.operators.intervals import asof_join, overlap_join, point_join
 from locusmill.operators.qc import MITO, cuts
 from locusmill.operators.regions import region_label
-from locusmill.util import small
+from locusmill.util import materialize, small
 
 
 def tile_grid(sizes: DataFrame, width: int) -> DataFrame:
@@ -91,12 +91,13 @@ def gene_scores(frags: DataFrame, genes: DataFrame, tile: int = 500, ceiling: in
     if ceiling:
         t = t.withColumn("n", F.least("n", F.lit(ceiling)))
     dom = gene_domains(genes.where(~F.col("chrom").isin(*exclude)), tile, **domain)
-    # weights by tile first: there are far fewer tiles than (cell, tile) rows
-    tiles = t.select("chrom", "tile").distinct().withColumn("pos", F.col("tile") * tile + tile // 2)
+    # the tiles whose middle lies in a domain are known from the domain, so the weights need no look at the fragments
     half = tile // 2
-    x = F.greatest(F.lit(0), F.greatest(F.col("r_body_lo") - (F.col("pos") + half), F.col("pos") - half - F.col("r_body_hi")))
-    w = point_join(tiles, dom).select("chrom", "tile", F.col("r_gene").alias("feature"), ((F.exp(-x / 5000.0) + math.exp(-1)) * F.col("r_weight")).alias("w"))
-    s = t.join(small(w), ["chrom", "tile"]).groupBy("cell", "feature").agg(F.sum(F.col("w") * F.col("n")).alias("value"))
+    at = F.sequence(F.ceil((F.col("start") - half) / tile), F.ceil((F.col("end") - half) / tile) - 1, F.lit(1).cast("bigint"))
+    w = dom.where(F.ceil((F.col("start") - half) / tile) < F.ceil((F.col("end") - half) / tile)).withColumn("tile", F.explode(at)).withColumn("pos", F.col("tile") * tile + half)
+    x = F.greatest(F.lit(0), F.greatest(F.col("body_lo") - (F.col("pos") + half), F.col("pos") - half - F.col("body_hi")))
+    w = w.select("chrom", "tile", F.col("gene").alias("feature"), ((F.exp(-x / 5000.0) + math.exp(-1)) * F.col("weight")).alias("w"))
+    s = materialize(t.join(small(w), ["chrom", "tile"]).groupBy("cell", "feature").agg(F.sum(F.col("w") * F.col("n")).alias("value")), "scores")
     if scale:
         s = s.join(s.groupBy("cell").agg(F.sum("value").alias("_t")), "cell").withColumn("value", F.col("value") / F.col("_t") * scale).drop("_t")
     return s.withColumn("value", F.log2(F.col("value") + 1)) if log else s

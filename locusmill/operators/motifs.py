@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locusmill.operators.intervals import overlap_join
-from locusmill.operators.stats import log_binom_sf, numpy_bh
+from locusmill.operators.stats import log_binom_sf, numpy_bh, rank_within, seeded
 
 BASES = "ACGT"
 
@@ -447,7 +447,7 @@ def gc_matched(target: DataFrame, pool: DataFrame, n: int, bins: int = 20, seed:
     total = t.agg(F.sum("k")).first()[0]
     bad = F.length(F.translate(F.upper("seq"), "ACGT", "")) * 2 > F.length("seq")
     p = pool.where(~bad).select("*", b).join(F.broadcast(t), "bin")
-    r = p.withColumn("_r", F.row_number().over(W.partitionBy("bin").orderBy(F.xxhash64("feature", F.lit(seed)))))
-    return r.where(F.col("_r") <= F.ceil(F.col("k") * n / total)).drop("_r", "k", "bin")
+    r = rank_within(p.withColumn("_h", seeded("feature", seed)), ["bin"], ["_h", "feature"], "_r")
+    return r.where(F.col("_r") <= F.ceil(F.col("k") * n / total)).drop("_r", "_h", "k", "bin")
 
 

@@ -145,17 +145,20 @@ def half_open_sum(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def window_sums(x: np.ndarray, foot: int, flank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(left flank, centre, right flank) sums around each place: a centre of 2 * foot and flanks of 2 * flank places next to it, zeros outside."""
-    f = half_open_sum(x, flank)
-    shift = foot + flank
-    left = np.r_[np.zeros(shift), f][: len(x)]
-    right = np.r_[f, np.zeros(shift)][shift : shift + len(x)]
+    """(left flank, centre, right flank) sums around each place: a centre of 2 * foot and flanks of 2 * (flank // 2) places next to it, zeros outside."""
+    half = flank // 2
+    shift, gap = foot + half, np.zeros(foot + half)
+    left = half_open_sum(np.r_[gap, x], half)[: len(x)]
+    right = half_open_sum(np.r_[x, gap], half)[shift : shift + len(x)]
     return left, half_open_sum(x, foot), right
 
 
 def footprint_pvalues(cuts: np.ndarray, bias: np.ndarray, foot: int, flank: int, smooth: int | None = None) -> np.ndarray:
-    """-log10 of the greater of both sides' probabilities that the centre has as few of the cuts as it has, given the shares of the bias; 0 where there are no cuts; optionally the greatest within
-    2 * smooth places, averaged over as many."""
+    """-log10 of the greater of both sides' probabilities that the centre has as few of the cuts as it has, given the shares of the bias; 0 where a side has no cuts.
+
+    Each place then takes the greatest of the 2 * smooth places from smooth - 1 before to smooth after it, and these are averaged over as many. smooth is foot // 2, at least 1, by
+    default; 0 leaves the scores as they are.
+    """
     left, mid, right = window_sums(cuts, foot, flank)
     bl, bm, br = window_sums(bias, foot, flank)
 
@@ -163,12 +166,13 @@ def footprint_pvalues(cuts: np.ndarray, bias: np.ndarray, foot: int, flank: int,
         total, share = n + mid, bm / np.maximum(b + bm, 1e-12)
         sd = np.sqrt(np.maximum(total * share * (1 - share), 1e-12))
         z = (mid - total * share) / sd
-        return np.where(total > 0, [0.5 * math.erfc(-v / math.sqrt(2)) for v in z], 1.0)
+        return np.where(total >= 1, [0.5 * math.erfc(-v / math.sqrt(2)) for v in z], 1.0)
 
-    s = -np.log10(np.maximum(np.maximum(side(left, bl), side(right, br)), 1e-20))
+    s = -np.log10(np.clip(np.maximum(side(left, bl), side(right, br)), 1e-20, 1.0))
+    smooth = max(foot // 2, 1) if smooth is None else smooth
     if smooth:
-        s = np.array([s[max(0, i - smooth - 1) : i + smooth].max() if len(s[max(0, i - smooth - 1) : i + smooth]) else 0.0 for i in range(len(s))])
-        s = half_open_sum(s, smooth) / (2 * smooth)
+        wide = np.pad(s, (smooth - 1, smooth), constant_values=-np.inf)
+        s = half_open_sum(np.lib.stride_tricks.sliding_window_view(wide, 2 * smooth).max(1), smooth) / (2 * smooth)
     return s
 
 

@@ -27,6 +27,20 @@ def global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFram
     return r.join(offs, "_pid").withColumn(name, F.col("_off") + F.row_number().over(W.partitionBy("_pid").orderBy(*order))).drop("_pid", "_off")
 
 
+def rank_within(df: DataFrame, by: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """df with the 1-based place of each row among the rows of the same `by`, in the order of columns. Groups may be of any size: rows are numbered by range partitions of all groups
+    together, and a group's places begin where its first row is."""
+    parts = shuffle_width(df.sparkSession)
+    r = materialize(df.repartitionByRange(parts, *by, *order).withColumn("_pid", F.spark_partition_id()), "ranked")
+    # a group's rows lie in neighbouring partitions: what earlier ones hold of it is the offset, one row for each group and partition
+    n = r.groupBy(*by, "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    n = n.withColumn("_off", F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    n = n.select(F.col("_pid").alias("_p"), "_off", *[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)])
+    on = [F.col("_pid") == F.col("_p"), *[F.col(b).eqNullSafe(F.col(f"_by{i}")) for i, b in enumerate(by)]]
+    inside = F.row_number().over(W.partitionBy("_pid", *by).orderBy(*order))
+    return r.withColumn("_in", inside).join(n, on).withColumn(name, F.col("_off") + F.col("_in")).select(*df.columns, name)
+
+
 def bh_fdr(df: DataFrame, p: str = "p_value", by: list[str] | None = None, name: str = "fdr") -> DataFrame:
     """Benjamini-Hochberg rates: the least p * n / rank among the rows with an equal or greater p, at most 1. Rows with NULL p get NULL and don't count.
 
@@ -122,6 +136,39 @@ def betainc(a: float, b: float, x: float) -> float:
     return front * f
 
 
+def betainc_all(a: float, b: float, x: np.ndarray) -> np.ndarray:
+    """betainc at all places of x at once."""
+    x = np.clip(np.asarray(x, float), 0, 1)
+    flip = x > (a + 1) / (a + b + 2)
+    out = np.zeros(len(x))
+    for p, q, at, y in ((a, b, ~flip, x), (b, a, flip, 1 - x)):
+        y = y[at]
+        with np.errstate(divide="ignore"):
+            front = np.exp(math.lgamma(p + q) - math.lgamma(p) - math.lgamma(q) + p * np.log(y) + q * np.log1p(-y)) / p
+        c, d = np.ones(len(y)), 1 / (1 - (p + q) * y / (p + 1))
+        f = d
+        for m in range(1, 400):
+            for num in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
+                d = 1 + num * d
+                d = 1 / np.where(d == 0, 1e-300, d)
+                c = 1 + num / c
+                c = np.where(c == 0, 1e-300, c)
+                f = f * c * d
+            if (np.abs(1 - c * d) < 1e-15).all():
+                break
+        out[at] = front * f
+    return np.where(flip, 1 - out, out)
+
+
+def t_two_sided_all(t: np.ndarray, df: float) -> np.ndarray:
+    """t_two_sided at all places of t; NaN stays NaN."""
+    t = np.asarray(t, float)
+    p = np.where(np.isinf(t), 0.0, np.nan)
+    ok = np.isfinite(t)
+    p[ok] = betainc_all(df / 2, 0.5, df / (df + t[ok] ** 2))
+    return p
+
+
 def t_two_sided(t: float, df: float) -> float:
     """P(|T| >= |t|) of Student's distribution."""
     return betainc(df / 2, 0.5, df / (df + t * t)) if math.isfinite(t) else 0.0
@@ -130,7 +177,8 @@ def t_two_sided(t: float, df: float) -> float:
 def t_test_udf(df: int):
     @F.pandas_udf(T.DoubleType())
     def p(t: pd.Series) -> pd.Series:
-        return t.map(lambda v: None if v is None or v != v else t_two_sided(v, df))
+        out = t_two_sided_all(t.to_numpy(float, na_value=np.nan), df)
+        return pd.Series(out).where(~np.isnan(out), None)
 
     return p
 
@@ -182,16 +230,24 @@ def rank_sum(x: DataFrame, sides: DataFrame, eps: float = 1e-6, feature: str = "
     Result: feature, u, z, p_value, mean_fg, mean_bg, pct_fg, pct_bg, log2_fc. Ties share their average rank and correct the variance; no continuity correction.
     Distinct values of a feature, not its rows, are what is ordered, so zeros are one value with a count.
     """
-    n = {r.side: r["n"] for r in sides.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n2 = n.get("fg", 0), n.get("bg", 0)
+    return rank_sums(x, sides.withColumn("group", F.lit("")), eps, feature, cell).drop("group")
+
+
+def rank_sums(x: DataFrame, sides: DataFrame, eps: float = 1e-6, feature: str = "feature", cell: str = "cell") -> DataFrame:
+    """rank_sum for several groups in one pass over x: sides (group, cell, side), a cell in any number of groups. Result with `group`; groups are few, their sizes are collected."""
+    n = {}
+    for r in sides.groupBy("group", "side").agg(F.count(F.lit(1)).alias("n")).collect():
+        n.setdefault(r.group, {})[r.side] = r["n"]
+    size = F.broadcast(x.sparkSession.createDataFrame([(g, v.get("fg", 0), v.get("bg", 0)) for g, v in n.items()], "group string, n1 bigint, n2 bigint"))
     fg = (F.col("side") == "fg").cast("bigint")
-    v = x.where("value <> 0").join(sides, cell).groupBy(feature, "value").agg(F.sum(fg).alias("f"), F.count(F.lit(1)).alias("c"))
-    zero = v.groupBy(feature).agg(F.sum("f").alias("_f"), F.sum("c").alias("_c")).select(feature, F.lit(0).cast(x.schema["value"].dataType).alias("value"), (n1 - F.col("_f")).alias("f"), (n1 + n2 - F.col("_c")).alias("c"))
+    v = x.where("value <> 0").join(sides.select("group", cell, "side"), cell).groupBy("group", feature, "value").agg(F.sum(fg).alias("f"), F.count(F.lit(1)).alias("c"))
+    zero = v.groupBy("group", feature).agg(F.sum("f").alias("_f"), F.sum("c").alias("_c")).join(size, "group")
+    zero = zero.select("group", feature, F.lit(0).cast(x.schema["value"].dataType).alias("value"), (F.col("n1") - F.col("_f")).alias("f"), (F.col("n1") + F.col("n2") - F.col("_c")).alias("c"))
     v = v.unionByName(zero)
-    w = W.partitionBy(feature).orderBy("value").rowsBetween(W.unboundedPreceding, -1)
+    w = W.partitionBy("group", feature).orderBy("value").rowsBetween(W.unboundedPreceding, -1)
     v = v.withColumn("avg_rank", F.coalesce(F.sum("c").over(w), F.lit(0)) + (F.col("c") + 1) / 2)
     c = F.col("c").cast("double")
-    s = v.groupBy(feature).agg(
+    s = v.groupBy("group", feature).agg(
         F.sum(F.col("avg_rank") * F.col("f")).alias("r1"),
         F.sum(c * c * c - c).alias("ties"),
         F.sum(F.col("value") * F.col("f")).alias("s1"),
@@ -199,35 +255,48 @@ def rank_sum(x: DataFrame, sides: DataFrame, eps: float = 1e-6, feature: str = "
         F.sum(F.when(F.col("value") != 0, F.col("f")).otherwise(0)).alias("p1"),
         F.sum(F.when(F.col("value") != 0, F.col("c") - F.col("f")).otherwise(0)).alias("p2"),
     )
-    tot = float(n1 + n2)
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    tot = n1 + n2
     u = F.col("r1") - n1 * (n1 + 1) / 2
-    var = F.lit(n1 * n2 / 12.0) * (tot + 1 - F.col("ties") / (tot * (tot - 1) or 1))
+    var = n1 * n2 / 12.0 * (tot + 1 - F.col("ties") / F.greatest(tot * (tot - 1), F.lit(1.0)))
     z = F.when(var > 0, (u - n1 * n2 / 2) / F.sqrt(var)).otherwise(0.0)
-    s = s.select(
+    one, two = F.nullif(n1, F.lit(0.0)), F.nullif(n2, F.lit(0.0))
+    s = s.join(size, "group").select(
+        "group",
         feature,
         u.alias("u"),
         z.alias("z"),
-        (F.col("s1") / n1).alias("mean_fg"),
-        (F.col("s2") / n2).alias("mean_bg"),
-        (F.col("p1") / n1).alias("pct_fg"),
-        (F.col("p2") / n2).alias("pct_bg"),
+        (F.col("s1") / one).alias("mean_fg"),
+        (F.col("s2") / two).alias("mean_bg"),
+        (F.col("p1") / one).alias("pct_fg"),
+        (F.col("p2") / two).alias("pct_bg"),
     )
     return s.withColumn("p_value", normal_two_sided("z")).withColumn("log2_fc", F.log2((F.col("mean_fg") + eps) / (F.col("mean_bg") + eps)))
 
 
 def tmm_factors(x: DataFrame, logratio_trim: float = 0.3, sum_trim: float = 0.05) -> DataFrame:
-    """(sample, factor) by trimmed means of M values against the sample whose upper quartile per library size is closest to the mean, scaled to a geometric mean of 1."""
-    lib = x.groupBy("sample").agg(F.sum("value").alias("lib"), F.percentile("value", F.lit(0.75)).alias("q"))
-    lib = lib.withColumn("f75", F.col("q") / F.col("lib"))
-    ref = lib.crossJoin(lib.agg(F.avg("f75").alias("m"))).orderBy(F.abs(F.col("f75") - F.col("m")), "sample").first()["sample"]
-    size = {r["sample"]: r["lib"] for r in lib.collect()}
-    libs = lib.select("sample", "lib")
-    r = x.where(F.col("sample") == ref).select("feature", F.col("value").alias("rv"))
-    j = x.join(libs, "sample").join(r, "feature").where("value > 0 and rv > 0")
-    a, b = F.col("value") / F.col("lib"), F.col("rv") / F.lit(float(size[ref]))
-    j = j.select("sample", F.log2(a / b).alias("m"), ((F.log2(a) + F.log2(b)) / 2).alias("a"))
-    q = j.groupBy("sample").agg(*[F.percentile(c, F.lit(v)).alias(n) for c, n, v in (("m", "m0", logratio_trim), ("m", "m1", 1 - logratio_trim), ("a", "a0", sum_trim), ("a", "a1", 1 - sum_trim))])
-    kept = j.join(q, "sample").where("m >= m0 and m <= m1 and a >= a0 and a <= a1").groupBy("sample").agg(F.avg("m").alias("m"))
+    """(sample, factor) by trimmed means of M values against the sample whose upper quartile per library size is closest to the mean (the first by name of equals), scaled to a
+    geometric mean of 1.
+
+    x: (sample, feature, value); a feature that a sample lacks is 0 there and counts for its upper quartile. A sample that shares fewer than four features with the
+    reference, or without counts, has factor 1 before scaling (values within 1e-12 of a quantile count as on it); with fewer than two samples that have counts all factors are 1. Samples are few (a bulk design): each feature is unfolded over them.
+    """
+    lib = {r["sample"]: r["lib"] or 0 for r in x.groupBy("sample").agg(F.sum("value").alias("lib")).orderBy("sample").collect()}
+    spark = x.sparkSession
+    libs = F.broadcast(spark.createDataFrame([(k, float(v)) for k, v in lib.items()], "sample string, lib double"))
+    if sum(v > 0 for v in lib.values()) < 2:
+        return libs.select("sample", F.lit(1.0).alias("factor"))
+    grid = x.select("feature").distinct().select("feature", F.explode(F.array(*map(F.lit, lib))).alias("sample"))
+    full = grid.join(x.select("feature", "sample", F.col("value").cast("double").alias("value")), ["feature", "sample"], "left").fillna(0.0, ["value"]).join(libs, "sample")
+    full = materialize(full.withColumn("ratio", F.col("value") / F.greatest("lib", F.lit(1.0))), "ratios")
+    q = {r["sample"]: r.q for r in full.groupBy("sample").agg(F.percentile("ratio", F.lit(0.75)).alias("q")).collect()}
+    mean = sum(q.values()) / len(q)
+    ref = min(sorted(q), key=lambda k: abs(q[k] - mean))
+    r = full.where((F.col("sample") == ref) & (F.col("value") > 0)).select("feature", F.col("ratio").alias("rr"))
+    j = full.where((F.col("value") > 0) & (F.col("sample") != ref)).join(r, "feature")
+    j = j.select("sample", F.log2(F.col("ratio") / F.col("rr")).alias("m"), (F.log2(F.col("ratio") * F.col("rr")) / 2).alias("a"))
+    t = j.groupBy("sample").agg(F.count(F.lit(1)).alias("k"), *[F.percentile(c, F.lit(v)).alias(n) for c, n, v in (("m", "m0", logratio_trim), ("m", "m1", 1 - logratio_trim), ("a", "a0", sum_trim), ("a", "a1", 1 - sum_trim))])
+    kept = j.join(t.where("k >= 4"), "sample").where("m >= m0 - 1e-12 and m <= m1 + 1e-12 and a >= a0 - 1e-12 and a <= a1 + 1e-12").groupBy("sample").agg(F.avg("m").alias("m"))
     f = libs.join(kept, "sample", "left").select("sample", F.pow(F.lit(2.0), F.coalesce("m", F.lit(0.0))).alias("f"))
     geo = f.agg(F.exp(F.avg(F.log("f"))).alias("g"))
     return f.crossJoin(geo).select("sample", (F.col("f") / F.col("g")).alias("factor"))
@@ -241,9 +310,8 @@ def summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def quantile_normalise(x: DataFrame, column: str = "sample", item: str = "feature") -> DataFrame:
-    """Each column's k-th smallest value replaced by the mean of all columns' k-th smallest; columns are equally long."""
-    w = W.partitionBy(column).orderBy("value", item)
-    r = x.withColumn("_r", F.row_number().over(w))
+    """Each column's k-th smallest value (equal ones in the order of item) replaced by the mean of all columns' k-th smallest; columns are equally long. A column of any length is ranked by range partitions."""
+    r = rank_within(x, [column], ["value", item], "_r")
     return r.join(r.groupBy("_r").agg(F.avg("value").alias("_m")), "_r").withColumn("value", F.col("_m")).drop("_r", "_m")
 
 
@@ -316,36 +384,37 @@ def differential(x: DataFrame, meta: DataFrame, treated: str, control: str, min_
     return bh_fdr(a.select("feature", "baseMean", "log2FoldChange", "lfcSE", "stat", "pvalue"), "pvalue", name="padj")
 
 
+def seeded(key: Column | str, seed: int) -> Column:
+    """A number in [0, 2^60) from the digest of a key and a seed, the same in every engine that knows MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key)), 1, 15), 16, 10).cast("bigint")
+
+
 def matched_sample(target: DataFrame, pool: DataFrame, n_bins: int = 10, per_bin: int | None = None, log: bool = True, seed: int = 0) -> DataFrame:
-    """Rows of pool (id, value) whose values are distributed like target's: bins at the target's percentiles, in each as many as the target has (or per_bin), by a seeded hash."""
+    """Rows of pool (id, value) whose values are distributed like target's: bins at the target's percentiles, in each as many as the target has (or per_bin), by a seeded hash of the id."""
     f = (lambda c: F.log1p(c)) if log else (lambda c: c)
     t = target.select(f(F.col("value")).alias("v"))
     edges = t.agg(F.percentile("v", F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)])).alias("e")).first().e
     b = lambda c: sum(((c >= F.lit(float(e))).cast("int") for e in edges), F.lit(0))
     need = t.groupBy(b(F.col("v")).alias("bin")).agg(F.count(F.lit(1)).alias("need"))
     lo, hi = t.agg(F.min("v"), F.max("v")).first()
-    p = pool.withColumn("_v", f(F.col("value"))).where(F.col("_v").between(lo, hi)).withColumn("bin", b(F.col("_v")))
-    r = p.join(F.broadcast(need), "bin").withColumn("_r", F.row_number().over(W.partitionBy("bin").orderBy(F.xxhash64("id", F.lit(seed)))))
+    p = pool.withColumn("_v", f(F.col("value"))).where(F.col("_v").between(lo, hi)).withColumn("bin", b(F.col("_v"))).withColumn("_h", seeded(F.col("id").cast("string"), seed))
+    r = rank_within(p.join(F.broadcast(need), "bin"), ["bin"], ["_h", "id"], "_r")
     return r.where(F.col("_r") <= (F.lit(per_bin) if per_bin else F.col("need"))).select("id", "value", "bin")
 
 
 def down_sample(cells: DataFrame, by: str, key: str, seed: int = 0) -> DataFrame:
     """As many rows of each group as the smallest has, chosen by a seeded hash."""
     least = cells.groupBy(by).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("_n"))
-    r = cells.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)))
-    return r.join(F.broadcast(least), F.col("_r") <= F.col("_n")).drop("_r", "_n")
+    r = rank_within(cells.withColumn("_h", seeded(key, seed)), [by], ["_h", key], "_r")
+    return r.join(F.broadcast(least), F.col("_r") <= F.col("_n")).drop("_r", "_n", "_h")
 
 
 def pseudo_replicates(cells: DataFrame, n: int, ratio: float, key: str, seed: int = 0) -> DataFrame:
     """n subsets of round(ratio * rows) rows each, by seeded hashes, with `replicate`."""
     total = cells.count()
     reps = cells.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    r = global_rank_by(reps, "replicate", F.xxhash64(F.col(key), F.col("replicate"), F.lit(seed)), key)
-    return r.where(F.col("_r") <= round(ratio * total)).drop("_r")
-
-
-def global_rank_by(df: DataFrame, by: str, order: Column, key: str) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(W.partitionBy(by).orderBy(order, key)))
+    r = rank_within(reps.withColumn("_h", seeded(F.concat_ws(":", "replicate", key), seed)), ["replicate"], ["_h", key], "_r")
+    return r.where(F.col("_r") <= round(ratio * total)).drop("_r", "_h")
 
 
 def closed_form_doublet(nd: Column, n: Column, rho: float = 0.1, r: float = 2.0, se_rho: float = 0.03) -> tuple[Column, Column]:

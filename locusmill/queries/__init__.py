@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from locusmill.queries import cell_queries, found, interval_queries, matrix_queries, read_queries, sequence_queries, signal_queries  # noqa: F401
+from locusmill.queries import cell_queries, found, interval_queries, matrix_queries, read_queries, sequence_queries, signal_queries, source_queries  # noqa: F401
 from locusmill.queries.registry import QUERIES, SQL
 
 

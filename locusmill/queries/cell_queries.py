@@ -8,7 +8,7 @@ from locusmill.operators import embed as E
 from locusmill.operators import linkage as L
 from locusmill.operators import matrices as M
 from locusmill.queries import views as V
-from locusmill.queries.matrix_queries import _G, _X, _genes, _x
+from locusmill.queries.matrix_queries import _G, _NM, _PEAKS, _X, _genes, _x
 from locusmill.queries.registry import query
 from locusmill.util import materialize, table
 
@@ -94,26 +94,76 @@ def sampled(spark, d):
     return L.sampled_deviations(_x(spark, d), m, peers).select("motif", "cell", F.round("mean", 5).alias("mean"), F.round("sd", 5).alias("sd"))
 
 
-@query("add_background_peaks")
+@query(
+    "add_background_peaks",
+    _X
+    + """, sq as (select feature, translate(md5(feature) || md5(feature || 'x'), '0123456789abcdef', 'ACGTACGTACGTACGT') as seq from p), st as (select x.feature, cast(sum(value) as bigint) as total, any_value(length(regexp_replace(seq, '[AT]', '', 'g')) / length(seq)) as gc from x join sq on x.feature = sq.feature group by 1),
+lm as (select min(gc) as a, max(gc) as b, min(ln(1 + total)) as c, max(ln(1 + total)) as d from st), gd as (select feature, least(24, floor((gc - a) / (b - a) * 25)) as gx, least(24, floor((ln(1 + total) - c) / (d - c) * 25)) as gy from st, lm),
+nr as (select *, row_number() over (partition by gx, gy order by feature) - 1 as no, count(*) over (partition by gx, gy) as size from gd), dr as (select feature, i as iteration, gx, gy, ('0x' || substr(md5('0:' || feature || ':' || i), 1, 15))::bigint % size as pick from nr, range(0, 10) t(i))
+select dr.feature, cast(iteration as int) as iteration, nr.feature as peer from dr join nr on dr.gx = nr.gx and dr.gy = nr.gy and dr.pick = nr.no""",
+)
 def background(spark, d):
-    t = _x(spark, d).groupBy("feature").agg(F.sum("value").alias("total"), (F.pmod(F.xxhash64("feature"), F.lit(1000)) / 1000).alias("gc"))
-    return L.background_peaks(t, 10)
+    """Ten peers of similar GC share and total for every peak with counts."""
+    from locusmill.operators.motifs import gc_share
+    from locusmill.queries.sequence_queries import _seqs
+
+    gc = _seqs(spark, d).select("feature", gc_share("seq").alias("gc"))
+    return L.background_peaks(_x(spark, d).groupBy("feature").agg(F.sum("value").alias("total")).join(gc, "feature"), 10)
+
+
+def _depths(spark, d):
+    from locusmill.operators.qc import import_fragments
+
+    c = import_fragments(V.frags(spark, d), min_fragments=1).select("cell", F.log("n_fragment").alias("depth"))
+    return materialize(c.join(V.groups(spark, d), "cell"), "depths")
 
 
 @query("find_marker_features")
 def markers(spark, d):
-    return L.marker_features(_x(spark, d), materialize(V.groups(spark, d), "groups"))
+    """Markers of every group over all its cells, against others matched by depth."""
+    c = _depths(spark, d)
+    return L.marker_features(_x(spark, d), c.select("cell", "group"), c.select("cell", "depth"), max_cells=None)
 
 
-@query("match_background")
-def match(spark, d):
-    from locusmill.operators.qc import import_fragments
+_DEPTHS = _NM + """, dp as (select fm.cell, any_value("group") as "group", ln(count(*)) as depth from fm join gr on fm.cell = gr.cell group by 1)"""
+_MATCHED = _DEPTHS + """, one as (select min("group") as g from dp), zs as (select cell, "group", (depth - avg(depth) over ()) / stddev_samp(depth) over () as z from dp),
+nb as (select a.cell, b.cell as bg, row_number() over (partition by a.cell order by (a.z - b.z) ** 2, b.cell) as r from zs a, zs b, one where a."group" = g and b."group" <> g), nn as (select cell, bg from nb where r = 1)
+"""
+
 
-    c = materialize(import_fragments(V.frags(spark, d), min_fragments=1).select("cell", F.log("n_fragment").alias("depth")).join(V.groups(spark, d), "cell"), "depths")
+@query("match_background", _MATCHED + "select cell, bg, 1 as rank from nn")
+def match(spark, d):
+    """The nearest cell by depth of other groups for every cell of the first group."""
+    c = _depths(spark, d)
     one = c.agg(F.min("group")).first()[0]
     return L.match_background(c.where(F.col("group") == one), c.where(F.col("group") != one), ["depth"])
 
 
+@query("match_background_unique", _MATCHED + "select min(cell) as cell, bg, 1 as rank from nn group by bg")
+def match_unique(spark, d):
+    """The same, each cell taken once."""
+    return L.match_unique(match(spark, d))
+
+
+@query(
+    "find_marker_ranks",
+    _DEPTHS
+    + _PEAKS
+    + """, ms as (select avg(depth) as m, stddev_samp(depth) as s from dp), zs as (select cell, "group", (depth - m) / s as z from dp, ms),
+nb as (select a."group" as g, a.cell, b.cell as bg, row_number() over (partition by a.cell order by (a.z - b.z) ** 2, b.cell) as r from zs a join zs b on a."group" <> b."group"), tk as (select distinct g, bg as cell from nb where r = 1),
+sd as (select "group" as g, cell, 'fg' as side from dp union all select g, cell, 'bg' from tk), ns as (select g, count(*) filter (side = 'fg') as n1, count(*) filter (side = 'bg') as n2 from sd group by 1),
+v1 as (select g, feature, value as v, count(*) filter (side = 'fg') as f, count(*) as c from x join sd on x.cell = sd.cell group by 1, 2, 3), v0 as (select v1.g, feature, 0 as v, any_value(n1) - sum(f) as f, any_value(n1 + n2) - sum(c) as c from v1 join ns on v1.g = ns.g group by 1, 2),
+vv as (select * from v1 union all select * from v0), rk as (select *, coalesce(sum(c) over (partition by g, feature order by v rows between unbounded preceding and 1 preceding), 0) + (c + 1) / 2.0 as r from vv),
+ag as (select rk.g, feature, any_value(n1) as n1, any_value(n2) as n2, sum(r * f) as r1, sum(c ** 3 - c) as ties, sum(v * f) as s1, sum(v * (c - f)) as s2, coalesce(sum(f) filter (v <> 0), 0) as p1, coalesce(sum(c - f) filter (v <> 0), 0) as p2 from rk join ns on rk.g = ns.g group by 1, 2),
+ob as (select *, r1 - n1 * (n1 + 1) / 2.0 as u, n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / greatest((n1 + n2) * (n1 + n2 - 1.0), 1)) as var from ag)
+select g as "group", feature, round(u, 4) as u, round(case when var > 0 then (u - n1 * n2 / 2.0) / sqrt(var) else 0 end, 5) + 0.0 as z, round(s1 / n1, 6) as mean_fg, round(s2 / n2, 6) as mean_bg, round(p1 / n1, 6) as pct_fg, round(p2 / n2, 6) as pct_bg, round(log2((s1 / n1 + 1e-6) / (s2 / n2 + 1e-6)), 5) + 0.0 as log2_fc from ob""",
+)
+def marker_ranks(spark, d):
+    """The rank sums behind find_marker_features, without the probabilities, which SQL here lacks."""
+    rd = {"u": 4, "mean_fg": 6, "mean_bg": 6, "pct_fg": 6, "pct_bg": 6}
+    return markers(spark, d).select("group", "feature", *[F.round(c, k).alias(c) for c, k in rd.items()], *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("z", "log2_fc")])
+
+
 @query("rank_sites_by_cut_density", _X + """, tg as (select cell from gr where "group" = (select min("group") from gr)), c as (select chrom, unnest(["start", "end" - 1]) as pos from f where cell in (select cell from tg)),
 n as (select feature, count(*) as cuts from c join p on c.chrom = p.chrom and pos >= (p."start" + p."end") // 2 - 200 and pos < (p."start" + p."end") // 2 + 200 group by 1) select p.feature, coalesce(cuts, 0) as cuts from p left join n on p.feature = n.feature""")
 def rank_sites(spark, d):
@@ -212,7 +262,8 @@ def scrublet(spark, d):
 @query("integrate")
 def integrate(spark, d):
     x = _x(spark, d)
-    return E.integrate(x.where(F.col("cell").startswith("lib00000")), x.where(~F.col("cell").startswith("lib00000")), 8)
+    first = x.agg(F.min(F.split("cell", "#")[0])).first()[0]
+    return E.integrate(x.where(F.split("cell", "#")[0] == first), x.where(F.split("cell", "#")[0] != first), 8)
 
 
 @query("joint_embedding", "select vec_id as id, label, cast(null as double) as value, 'query' as modality from embeddings union all select event_id, null, value, 'reference' from events")

@@ -8,7 +8,7 @@ from locusmill.operators import matrices as M
 from locusmill.operators import qc as Q
 from locusmill.operators import stats as S
 from locusmill.queries import views as V
-from locusmill.queries.registry import SQL, query
+from locusmill.queries.registry import query
 from locusmill.util import materialize, table
 
 _W = f"with {V.SQL_VIEWS}"
@@ -319,21 +319,27 @@ def wilcoxon(spark, d):
     return r.select("feature", *[F.round(c, k).alias(c) for c, k in rd.items()])
 
 
-@query("quantile_normalize", "with r as (select l_linenumber, l_orderkey, row_number() over (partition by l_linenumber order by l_extendedprice, l_orderkey, l_partkey) as r, l_extendedprice as v from lineitem where l_linenumber <= 3), m as (select r, avg(v) as m, count(*) as c from r group by 1) select l_linenumber, l_orderkey, round(m, 4) as value from r join m on r.r = m.r")
-def quantile_normalise(spark, d, some="l_linenumber <= 3"):
-    x = table(spark, d, "lineitem").where(some).select("l_linenumber", "l_orderkey", F.struct("l_orderkey", "l_partkey").alias("feature"), F.col("l_extendedprice").alias("value"))
+@query("quantile_normalize", "with r as (select l_linenumber, l_orderkey, row_number() over (partition by l_linenumber order by l_extendedprice, l_orderkey, l_partkey) as r, l_extendedprice as v from lineitem), m as (select r, avg(v) as m, count(*) as c from r group by 1) select l_linenumber, l_orderkey, round(m, 4) as value from r join m on r.r = m.r")
+def quantile_normalise(spark, d):
+    x = table(spark, d, "lineitem").select("l_linenumber", "l_orderkey", F.struct("l_orderkey", "l_partkey").alias("feature"), F.col("l_extendedprice").alias("value"))
     return S.quantile_normalise(x, "l_linenumber").select("l_linenumber", "l_orderkey", F.round("value", 4).alias("value"))
 
 
-@query("quantile_normalize_all", SQL["quantile_normalize"].replace(" where l_linenumber <= 3", ""))
-def quantile_normalise_all(spark, d):
-    return quantile_normalise(spark, d, "true")
+_TMM = """, pb0 as (select "group" as s, feature, sum(value) as v from x join gr on x.cell = gr.cell group by 1, 2), pb as (select s, feature, v / sum(v) over (partition by s) * 1000000 as v from pb0),
+lib as (select s, sum(v) as lib from pb group by 1), ft as (select distinct feature from pb),
+fl as (select lib.s, ft.feature, coalesce(pb.v, 0) as v, coalesce(pb.v, 0) / greatest(lib, 1) as r from lib cross join ft left join pb on pb.s = lib.s and pb.feature = ft.feature),
+qq as (select s, quantile_cont(r, 0.75) as q from fl group by 1), rf as (select s from qq order by abs(q - (select avg(q) from qq)), s limit 1),
+lr as (select a.s, log2(a.r / b.r) as m, log2(a.r * b.r) / 2 as a from fl a join fl b on a.feature = b.feature and b.s = (select s from rf) where a.v > 0 and b.v > 0 and a.s <> b.s),
+tq as (select s, count(*) as k, quantile_cont(m, 0.3) as m0, quantile_cont(m, 0.7) as m1, quantile_cont(a, 0.05) as a0, quantile_cont(a, 0.95) as a1 from lr group by 1),
+kp as (select lr.s, avg(m) as m from lr join tq on lr.s = tq.s where k >= 4 and m >= m0 - 1e-12 and m <= m1 + 1e-12 and a >= a0 - 1e-12 and a <= a1 + 1e-12 group by 1),
+nf as (select lib.s, pow(2, coalesce(m, 0)) as f from lib left join kp on lib.s = kp.s)
+"""
 
 
-@query("tmm_norm_factors")
+@query("tmm_norm_factors", _X + _TMM + "select s as sample, round(f / (select exp(avg(ln(f))) from nf), 6) as factor from nf")
 def tmm(spark, d):
     b = M.pseudobulk(_x(spark, d), V.groups(spark, d))
-    return S.tmm_factors(b.select(F.col("group").alias("sample"), "feature", "value"))
+    return S.tmm_factors(b.select(F.col("group").alias("sample"), "feature", "value")).withColumn("factor", F.round("factor", 6))
 
 
 @query("differential_peaks")
@@ -374,19 +380,32 @@ def closest(spark, d):
     return S.closest(table(spark, d, "part"), "p_retailprice", 1234.5)
 
 
-@query("expression_matched_sample")
+def _seeded(key: str, seed: int = 0) -> str:
+    return f"('0x' || substr(md5('{seed}:' || {key}), 1, 15))::bigint"
+
+
+@query(
+    "expression_matched_sample",
+    f"""with t as (select ln(1 + o_totalprice) as v from orders where o_orderpriority = '1-URGENT'), e as (select unnest(quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) as e from t),
+nd as (select bin, count(*) as need from (select (select count(*) from e where t.v >= e.e) as bin from t) group by 1),
+pl as (select o_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey || '/' || l_quantity as id, l_extendedprice as value, ln(1 + l_extendedprice) as v from (select *, l_orderkey as o_orderkey from lineitem)),
+pb as (select id, value, (select count(*) from e where pl.v >= e.e) as bin from pl where v between (select min(v) from t) and (select max(v) from t)),
+rk as (select *, row_number() over (partition by bin order by {_seeded("id")}, id, value) as r from pb)
+select id, round(value, 2) as value, cast(rk.bin as int) as bin from rk join nd on rk.bin = nd.bin where r <= need""",
+)
 def matched(spark, d):
+    """Prices of order lines distributed like the totals of urgent orders."""
     t = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_totalprice").alias("value"))
-    return S.matched_sample(t, table(spark, d, "lineitem").select(F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("id"), F.col("l_extendedprice").alias("value")))
+    key = F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    m = S.matched_sample(t, table(spark, d, "lineitem").select(key.alias("id"), F.col("l_extendedprice").alias("value")))
+    return m.select("id", F.round("value", 2).alias("value"), "bin")
 
 
-@query("balance_cluster_cells", _W + ', n as (select "group", count(*) as n from gr group by 1) select n."group", (select min(n) from n) as n from n')
+@query("balance_cluster_cells", _W + f', n as (select "group", count(*) as n from gr group by 1), r as (select *, row_number() over (partition by "group" order by {_seeded("cell")}, cell) as r from gr) select cell, "group" from r where r <= (select min(n) from n)')
 def balance(spark, d):
-    b = S.down_sample(V.groups(spark, d), "group", "cell")
-    return b.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    return S.down_sample(V.groups(spark, d), "group", "cell").select("cell", "group")
 
 
-@query("split_pseudo_replicates", _W + " select i as replicate, round(0.5 * (select count(*) from gr))::bigint as n from range(0, 3) t(i)")
+@query("split_pseudo_replicates", _W + f""", r as (select i as replicate, cell, row_number() over (partition by i order by {_seeded("i || ':' || cell")}, cell) as r from gr, range(0, 3) t(i)) select cast(replicate as int) as replicate, cell from r where r <= round(0.5 * (select count(*) from gr))""")
 def replicates(spark, d):
-    r = S.pseudo_replicates(V.groups(spark, d), 3, 0.5, "cell")
-    return r.groupBy(F.col("replicate").cast("bigint").alias("replicate")).agg(F.count(F.lit(1)).alias("n"))
+    return S.pseudo_replicates(V.groups(spark, d), 3, 0.5, "cell").select("replicate", "cell")

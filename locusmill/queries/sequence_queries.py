@@ -5,8 +5,6 @@ The tables have no genome, so a peak's sequence here is made of the digest of it
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from locusmill.operators import footprints as P
@@ -19,11 +17,6 @@ from locusmill.util import materialize, table
 _W = f"with {V.SQL_VIEWS}"
 
 
-def _whole(name):
-    """SQL of a query over the first places of sequences, over all places instead."""
-    return re.sub(r"range\(1, \d+\)", "range(1, length(seq) + 1)", SQL[name])
-
-
 _SEQ = _W + ", sq as (select feature, chrom, \"start\", \"end\", translate(md5(feature) || md5(feature || 'x'), '0123456789abcdef', 'ACGTACGTACGTACGT') as seq from p)"
 
 
@@ -64,11 +57,11 @@ def bias(spark, d):
     return P.kmer_bias(c, P.kmer_counts(s, 6)).withColumn("bias", F.round("bias", 6))
 
 
-_COUNTS = _SEQ + ", ct as (select 'm' || (peak_id % 20) as motif, i - 1 as pos, substr(seq, i, 1) as base, count(*) as n from (select peak_id, seq, unnest(range(1, 9)) as i from sq join peaks on peaks.label = sq.feature) group by 1, 2, 3), gd as (select distinct motif, pos, b as base from ct, (values ('A'), ('C'), ('G'), ('T')) t(b)), pp as (select gd.motif, gd.pos, gd.base, (coalesce(n, 0) + 1) / sum(coalesce(n, 0) + 1) over (partition by gd.motif, gd.pos) as p from gd left join ct on gd.motif = ct.motif and gd.pos = ct.pos and gd.base = ct.base)"
+_COUNTS = _SEQ + ", ct as (select 'm' || (peak_id % 20) as motif, i - 1 as pos, substr(seq, i, 1) as base, count(*) as n from (select peak_id, seq, unnest(range(1, length(seq) + 1)) as i from sq join peaks on peaks.label = sq.feature) group by 1, 2, 3), gd as (select distinct motif, pos, b as base from ct, (values ('A'), ('C'), ('G'), ('T')) t(b)), pp as (select gd.motif, gd.pos, gd.base, (coalesce(n, 0) + 1) / sum(coalesce(n, 0) + 1) over (partition by gd.motif, gd.pos) as p from gd left join ct on gd.motif = ct.motif and gd.pos = ct.pos and gd.base = ct.base)"
 
 
-def _probs(spark, d, length=8):
-    s = _seqs(spark, d).join(table(spark, d, "peaks").select(F.col("label").alias("feature"), "peak_id"), "feature").select(F.concat(F.lit("m"), F.col("peak_id") % 20).alias("motif"), F.posexplode(F.split(F.substring("seq", 1, length), "")).alias("pos", "base")).where("base <> ''")
+def _probs(spark, d):
+    s = _seqs(spark, d).join(table(spark, d, "peaks").select(F.col("label").alias("feature"), "peak_id"), "feature").select(F.concat(F.lit("m"), F.col("peak_id") % 20).alias("motif"), F.posexplode(F.split("seq", "")).alias("pos", "base")).where("base <> ''")
     return M.probabilities(s.groupBy("motif", "pos", "base").agg(F.count(F.lit(1)).alias("count")), ["motif"])
 
 
@@ -87,24 +80,6 @@ def consensus(spark, d):
     return M.consensus_table(_probs(spark, d), ["motif"], 0.3)
 
 
-_ALL = 1 << 30
-
-
-@query("motif_probabilities_all", _whole("motif_probabilities"))
-def all_probabilities(spark, d):
-    return _probs(spark, d, _ALL).select("motif", "pos", "base", F.round("p", 9).alias("p"), (F.round("log2_odds", 9) + F.lit(0.0)).alias("log2_odds"))
-
-
-@query("motif_information_content_all", _whole("motif_information_content"))
-def all_information(spark, d):
-    return M.information_table(_probs(spark, d, _ALL), ["motif"]).withColumn("bits", F.round("bits", 9))
-
-
-@query("motif_consensus_all", _whole("motif_consensus"))
-def all_consensus(spark, d):
-    return M.consensus_table(_probs(spark, d, _ALL), ["motif"], 0.3)
-
-
 def _library():
     import numpy as np
 
@@ -147,7 +122,7 @@ def clusters(spark, d):
     return spark.createDataFrame(rows, "cluster int, motif string, consensus string")
 
 
-@query("gc_matched_background")
+@query("gc_matched_background", _SEQ.replace('"end", translate', '"end", score as score_, translate') + ", gq as (select feature, score_, least(19, floor(length(regexp_replace(seq, '[AT]', '', 'g')) / length(seq) * 20)) as bin from sq), t as (select bin, count(*) as k from gq where score_ > 20 group by 1), r as (select feature, k, row_number() over (partition by gq.bin order by ('0x' || substr(md5('0:' || feature), 1, 15))::bigint, feature) as r from gq join t on gq.bin = t.bin where score_ <= 20) select feature from r where r <= ceil(k * 200 / (select sum(k) from t))")
 def gc_background(spark, d):
     s = _seqs(spark, d)
     return M.gc_matched(s.where("score > 20"), s.where("score <= 20"), 200).select("feature")
@@ -180,17 +155,32 @@ def normalised(spark, d):
     return P.normalise_profile(_profile(spark, d), 50, 10).select("motif", "group", "offset", F.round("norm", 5).alias("norm"))
 
 
-@query("multi_scale_footprint")
+_SCALES = (5, 9, 15, 21)
+_MULTI = _PROFILE + ", " + ", ".join(f"""w{k} as (select motif, "group", {k} as scale, "offset", c, e - c as e from (select motif, "group", "offset",
+  sum(signal * n_sites) over (partition by motif, "group" order by "offset" rows between {k // 2} preceding and {k // 2} following) as c, sum(signal * n_sites) over (partition by motif, "group" order by "offset" rows between {3 * k // 2} preceding and {3 * k // 2} following) as e from pf))""" for k in _SCALES) + ", ww as (" + " union all ".join(f"select * from w{k}" for k in _SCALES) + """),
+lo as (select *, -log2((c + 1) / (e + 1) * (2 * scale) / scale) as v from ww), fl as (select motif, "group", scale, avg(v) as m from lo where abs("offset") > 50 * 0.75 group by 1, 2, 3),
+ms as (select lo.motif, lo."group", lo.scale, "offset", case when e + c < 5 - 1e-9 then 0 else v - m end as value from lo join fl on lo.motif = fl.motif and lo."group" = fl."group" and lo.scale = fl.scale)
+"""
+
+
+@query("multi_scale_footprint", _MULTI + 'select motif, "group", scale, "offset", round(value, 5) + 0.0 as value from ms')
 def multi_scale(spark, d):
-    return P.multi_scale(_profile(spark, d), [5, 9, 15, 21])
+    return P.multi_scale(_profile(spark, d), list(_SCALES)).withColumn("value", F.round("value", 5) + F.lit(0.0))
 
 
-@query("footprint_score")
+@query("footprint_score", _MULTI + 'select motif, "group", round(avg(value), 5) + 0.0 as score from ms where abs("offset") <= 5 and scale between 9 and 21 group by 1, 2')
 def footprint_score(spark, d):
-    return P.footprint_score(P.multi_scale(_profile(spark, d), [5, 9, 15, 21]), 5, (9, 21))
+    return P.footprint_score(P.multi_scale(_profile(spark, d), list(_SCALES)), 5, (9, 21)).withColumn("score", F.round("score", 5) + F.lit(0.0))
 
 
-@query("atacorrect")
+@query(
+    "atacorrect",
+    _W
+    + """, ct as (select chrom, unnest(["start", "end" - 1]) as pos from f), n as (select feature as region, pos, count(*) as n from ct join p on ct.chrom = p.chrom and pos >= p."start" and pos < p."end" group by 1, 2),
+pl as (select feature as region, unnest(range("start", "end")) as pos from p), a as (select pl.region, pl.pos, coalesce(n, 0) as n, 1 + pl.pos % 7 as b from pl left join n on pl.region = n.region and pl.pos = n.pos),
+e as (select *, sum(n) over w * b / sum(b) over w as e from a window w as (partition by region order by pos rows between 50 preceding and 49 following)),
+c as (select *, greatest(n - e, 0) as c from e) select region, pos, cast(n as double) as n, round(e, 6) as expected, round(case when sum(c) over (partition by region) > 0 then c * sum(n) over (partition by region) / sum(c) over (partition by region) else 0 end, 5) + 0.0 as corrected from c""",
+)
 def corrected(spark, d):
     from locusmill.operators.intervals import point_join
     from locusmill.operators.qc import cuts
@@ -199,28 +189,19 @@ def corrected(spark, d):
     n = point_join(cuts(V.frags(spark, d)).select("chrom", "pos"), p).groupBy(F.col("r_feature").alias("region"), "pos").agg(F.count(F.lit(1)).cast("double").alias("n"))
     place = p.select(F.col("feature").alias("region"), F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
     counts = place.join(n, ["region", "pos"], "left").fillna(0.0, ["n"])
-    return P.corrected_signal(counts, place.withColumn("bias", 1.0 + F.col("pos") % 7))
+    c = P.corrected_signal(counts, place.withColumn("bias", 1.0 + F.col("pos") % 7))
+    return c.withColumns({"expected": F.round("expected", 6), "corrected": F.round("corrected", 5) + F.lit(0.0)})
 
 
-@query("position_weights", _SEQ.replace('"end", translate', '"end", score as score_, translate') + ", a as (select i - 1 as pos, substr(seq, i, 1) as base, count(*) as n from (select seq, unnest(range(1, 11)) as i from sq where score_ > 20) group by 1, 2), b as (select i - 1 as pos, substr(seq, i, 1) as base, count(*) as n from (select seq, unnest(range(1, 11)) as i from sq) group by 1, 2), ta as (select avg(t) as t from (select sum(n) as t from a group by pos)), tb as (select avg(t) as t from (select sum(n) as t from b group by pos)) select cast(a.pos as int) as pos, a.base, round(log2(((a.n + 1) / (ta.t + 4)) / ((b.n + 1) / (tb.t + 4))), 9) + 0.0 as weight from a join b on a.pos = b.pos and a.base = b.base, ta, tb")
-def weights(spark, d, length=10):
+@query("position_weights", _SEQ.replace('"end", translate', '"end", score as score_, translate') + ", a as (select i - 1 as pos, substr(seq, i, 1) as base, count(*) as n from (select seq, unnest(range(1, length(seq) + 1)) as i from sq where score_ > 20) group by 1, 2), b as (select i - 1 as pos, substr(seq, i, 1) as base, count(*) as n from (select seq, unnest(range(1, length(seq) + 1)) as i from sq) group by 1, 2), ta as (select avg(t) as t from (select sum(n) as t from a group by pos)), tb as (select avg(t) as t from (select sum(n) as t from b group by pos)) select cast(a.pos as int) as pos, a.base, round(log2(((a.n + 1) / (ta.t + 4)) / ((b.n + 1) / (tb.t + 4))), 9) + 0.0 as weight from a join b on a.pos = b.pos and a.base = b.base, ta, tb")
+def weights(spark, d):
     s = _seqs(spark, d)
-    c = lambda x: x.select(F.posexplode(F.split(F.substring("seq", 1, length), "")).alias("pos", "base")).where("base <> ''").groupBy("pos", "base").agg(F.count(F.lit(1)).alias("n"))
+    c = lambda x: x.select(F.posexplode(F.split("seq", "")).alias("pos", "base")).where("base <> ''").groupBy("pos", "base").agg(F.count(F.lit(1)).alias("n"))
     return P.base_weights(c(s.where("score > 20")), c(s)).withColumn("weight", F.round("weight", 9) + F.lit(0.0))
 
 
-@query("position_weights_all", _whole("position_weights"))
-def all_weights(spark, d):
-    return weights(spark, d, _ALL)
-
-
-@query("dinucleotide_counts", _SEQ + ", k as (select feature, i, substr(seq, i, 1) as b from (select feature, seq, unnest(range(1, 7)) as i from sq)) select cast(a.i as int) as m, cast(b.i as int) as n, a.b as base_m, b.b as base_n, count(*) as \"count\" from k a join k b on a.feature = b.feature and a.i < b.i group by 1, 2, 3, 4")
+@query("dinucleotide_counts", _SEQ + ", k as (select feature, i, substr(seq, i, 1) as b from (select feature, seq, unnest(range(1, length(seq) + 1)) as i from sq)) select cast(a.i as int) as m, cast(b.i as int) as n, a.b as base_m, b.b as base_n, count(*) as \"count\" from k a join k b on a.feature = b.feature and a.i < b.i group by 1, 2, 3, 4")
 def dinucleotides(spark, d):
-    return P.pair_counts(_seqs(spark, d).select(F.substring("seq", 1, 6).alias("seq")))
-
-
-@query("dinucleotide_counts_all", _whole("dinucleotide_counts"))
-def all_dinucleotides(spark, d):
     return P.pair_counts(_seqs(spark, d))
 
 
@@ -250,29 +231,41 @@ def network(spark, d):
     return _edges(spark, d).withColumn("correlation", F.round("correlation", 6))
 
 
-@query("network_degrees")
+_EDGES = SQL["create_network"].rsplit(" select a, b, shared", 1)[0] + ", ed as (select a, b, shared, r as correlation from r where abs(r) >= 0.01), bo as (select a, b, abs(correlation) as w from ed union all select b, a, abs(correlation) from ed) "
+_REACH = "with recursive " + _EDGES.removeprefix("with ") + ", rc as (select distinct a as id, a as o from bo union select rc.id, bo.b from rc join bo on rc.o = bo.a), cm as (select id, min(o) as component from rc group by 1) "
+
+
+@query("network_degrees", _EDGES + "select a as id, count(*) as degree, round(sum(w), 5) as strength from bo group by 1")
 def degrees(spark, d):
-    return N.degrees(_edges(spark, d).withColumn("w", F.abs("correlation")))
+    return N.degrees(_edges(spark, d).withColumn("w", F.abs("correlation"))).withColumn("strength", F.round("strength", 5))
 
 
-@query("network_components")
+@query("network_components", _REACH + "select * from cm")
 def comps(spark, d):
     return N.components(_edges(spark, d))
 
 
-@query("network_clustering")
+@query(
+    "network_clustering",
+    _EDGES
+    + """, dg as (select a as id, count(*) as degree from bo group by 1), tg as (select x.a as id, count(*) as triangles from bo x join bo y on x.a = y.a and x.b < y.b join bo z on z.a = x.b and z.b = y.b group by 1)
+select dg.id, degree, coalesce(triangles, 0) as triangles, round(case when degree > 1 then coalesce(triangles, 0) / (degree * (degree - 1) / 2) else 0 end, 9) as clustering from dg left join tg on dg.id = tg.id""",
+)
 def triangles(spark, d):
-    return N.triangles(_edges(spark, d))
+    return N.triangles(_edges(spark, d)).withColumn("clustering", F.round("clustering", 9))
 
 
-@query("network_metrics")
+@query("network_metrics", _REACH + "select count(*) as nodes, count(distinct component) as components, (select count(*) from ed) as links, round(2 * (select count(*) from ed) / nullif(count(*) * (count(*) - 1), 0), 9) as density from cm")
 def metrics(spark, d):
-    return N.network_summary(_edges(spark, d))
+    return N.network_summary(_edges(spark, d)).withColumn("density", F.round("density", 9))
+
 
+_RANKS = "".join(f", r{k + 1} as materialized (select bo.b as id, 0.15 / n + 0.85 * sum(rank / d) as rank from bo join r{k} on bo.a = r{k}.id join dg on bo.a = dg.a, nn group by bo.b, n)" for k in range(20))
 
-@query("network_centrality")
+
+@query("network_centrality", _EDGES + ", dg as (select a, count(*) as d from bo group by 1), nn as (select count(*) as n from dg), r0 as (select a as id, 1 / n as rank from dg, nn)" + _RANKS + " select id, round(rank, 9) as rank from r20")
 def centrality(spark, d):
-    return N.pagerank(_edges(spark, d))
+    return N.pagerank(_edges(spark, d)).withColumn("rank", F.round("rank", 9))
 
 
 # native relational coverage
@@ -293,9 +286,10 @@ def semi(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("anti_join", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("anti_join", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT' and o_totalprice > 100000)")
 def anti(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 100000")
+    return table(spark, d, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("rollup", "select l_returnflag, l_linestatus, sum(l_quantity) as q from lineitem group by rollup (l_returnflag, l_linestatus)")
@@ -352,16 +346,16 @@ def stream(spark, d):
     """Tile counts of the fragments read as a stream, each batch's sums added to the totals in a table."""
     import uuid
 
-    from locusmill.streaming import fragment_stream, upsert_totals
+    from locusmill.streaming import fragment_stream, latest_totals, upsert_totals
     from locusmill.util import shared_dir
 
     static = table(spark, d, "fragments")
     base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     src = fragment_stream(spark, f"{d}/fragments.parquet*", static.schema).where("loaded_at is not null and start is not null and count is not null")
     src = src.select("chrom", F.floor(F.col("start") / 5000).alias("tile"), F.col("count").cast("bigint").alias("reads"))
-    q = src.writeStream.foreachBatch(lambda b, _: upsert_totals(b, f"{base}/totals", ["chrom", "tile"], "reads")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q = src.writeStream.foreachBatch(lambda b, i: upsert_totals(b, f"{base}/totals", ["chrom", "tile"], "reads", i)).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/totals")
+    return latest_totals(spark, f"{base}/totals")
 
 
 @query("scalar_names", "select p_partkey, regexp_replace(p_name, '[^a-zA-Z0-9_.\\-]', '_', 'g') as file, case when p_size * 100000 >= 1000000 then (p_size * 100000 // 1000000) || 'Mb' else (p_size * 100000 // 1000) || 'kb' end as len, split_part(p_name || '___x', '___', 1) as bc from part")
@@ -371,7 +365,28 @@ def names(spark, d):
     return table(spark, d, "part").select("p_partkey", file_name("p_name").alias("file"), short_length(F.col("p_size") * 100000).alias("len"), cell_barcode(F.concat("p_name", F.lit("___x"))).alias("bc"))
 
 
-@query("annotate_peaks")
+_ZONE = """select gene, '{k}' as kind, chrom, greatest({a}, 0) as s, least({b}, mx) as e, mx from gz"""
+_ANNOTATED = (
+    _W
+    + """, gz as (select gene, g.chrom, "start", "end", coalesce(strand <> '-', true) as plus, tss as t, mx from g join (select chrom as c, max("end") as mx from g group by 1) on g.chrom = c), zn as ("""
+    + " union all ".join(
+        _ZONE.format(k=k, a=a, b=b)
+        for k, a, b in (
+            ("promoter", "case when plus then t - 1000 else t - 100 end", "case when plus then t + 100 else t + 1000 end"),
+            ("body", '"start"', '"end"'),
+            ("up_distal", "case when plus then t - 200000 else t + 1000 end", "case when plus then t - 1000 else t + 200000 end"),
+            ("down_distal", "case when plus then t + 1000 else t - 200000 end", "case when plus then t + 200000 else t - 1000 end"),
+        )
+    )
+    + """), hz as (select feature, kind, gene, abs(p."start" + p."end" - s - e) as far from p join zn on p.chrom = zn.chrom and p."start" < e and p."end" > s and s < e where least(p."end", e) - greatest(p."start", s) > 0.9 * (p."end" - p."start")),
+bz as (select feature, kind, arg_min(gene, struct_pack(a := far, b := gene)) as gene from hz group by 1, 2),
+wz as (select feature, max(gene) filter (kind = 'promoter') as promoter, max(gene) filter (kind = 'body') as body, max(gene) filter (kind = 'down_distal') as down_distal, max(gene) filter (kind = 'up_distal') as up_distal from bz group by 1)
+select p.feature, promoter, body, down_distal, up_distal, case when promoter is not null then 'promoter' when body is not null then 'body' when down_distal is not null then 'down_distal' when up_distal is not null then 'up_distal' else 'intergenic' end as kind,
+coalesce(promoter, body, down_distal, up_distal) as near_gene from p left join wz on p.feature = wz.feature"""
+)
+
+
+@query("annotate_peaks", _ANNOTATED)
 def annotate(spark, d):
     from locusmill.operators.annotate import annotate_peaks
 
@@ -394,10 +409,20 @@ def extract(spark, d):
     return M.extract_sequences(genome, r, key="peak_id").select("peak_id", "seq")
 
 
-@query("dinucleotide_weights")
+_DW = """, k as (select feature, score_, i, substr(seq, i, 1) as b from (select feature, score_, seq, unnest(range(1, length(seq) + 1)) as i from sq)),
+pr as (select a.feature, a.score_, a.i as m, b.i as n, a.b as base_m, b.b as base_n from k a join k b on a.feature = b.feature and a.i < b.i),
+"""
+
+
+def _shares(name, where):
+    return f"""{name}c as (select m, n, base_m, base_n, count(*) as c from pr {where} group by 1, 2, 3, 4), {name}t as (select *, sum(c) over (partition by m, n) as t, sum(c) over (partition by m, n, base_m) as a, sum(c) over (partition by m, n, base_n) as b from {name}c),
+{name} as (select m, n, base_m, base_n, (c + greatest(16, t) * a * b / (t * t)) / (t + greatest(16, t)) as v from {name}t)"""
+
+
+@query("dinucleotide_weights", _SEQ.replace('"end", translate', '"end", score as score_, translate') + _DW + _shares("xx", "where score_ > 20") + ", " + _shares("yy", "") + " select cast(xx.m as int) as m, cast(xx.n as int) as n, xx.base_m, xx.base_n, round(log2(xx.v / yy.v), 8) + 0.0 as weight from xx join yy on xx.m = yy.m and xx.n = yy.n and xx.base_m = yy.base_m and xx.base_n = yy.base_n")
 def pair_weights(spark, d):
     s = _seqs(spark, d)
-    return P.pair_weights(P.pair_counts(s.where("score > 20")), P.pair_counts(s))
+    return P.pair_weights(P.pair_counts(s.where("score > 20")), P.pair_counts(s)).withColumn("weight", F.round("weight", 8) + F.lit(0.0))
 
 
 @query("network_communities")
@@ -416,17 +441,20 @@ def symmetric(spark, d):
     return is_symmetric(m)
 
 
-@query("ks_test", "with g as (select o_orderpriority as g, floor(o_totalprice / 100) as v from orders where o_orderpriority in ('1-URGENT', '5-LOW')), n as (select count(*) filter (g = '1-URGENT') as a, count(*) filter (g = '5-LOW') as b from g), c as (select v, count(*) filter (g = '1-URGENT') as a, count(*) filter (g = '5-LOW') as b from g group by 1), s as (select sum(c.a) over (order by v) / n.a - sum(c.b) over (order by v) / n.b as d from c, n) select round(max(abs(d)), 9) as d from s")
+@query("ks_test", "with g as (select o_orderpriority as g, floor(o_totalprice / 100) as v from orders where o_orderpriority in ('1-URGENT', '5-LOW')), n as (select count(*) filter (g = '1-URGENT') as a, count(*) filter (g = '5-LOW') as b from g), c as (select v, count(*) filter (g = '1-URGENT') as a, count(*) filter (g = '5-LOW') as b from g group by 1), s as (select sum(c.a) over (order by v) / n.a - sum(c.b) over (order by v) / n.b as d from c, n), x as (select max(abs(d)) as d, (sqrt(any_value(a) * any_value(b) / (any_value(a) + any_value(b))) + 0.12 + 0.11 / sqrt(any_value(a) * any_value(b) / (any_value(a) + any_value(b)))) * max(abs(d)) as x from s, n) select round(d, 9) as d, round(case when x < 0.2 then 1 else greatest(0, least(1, (select sum(2 * (-1) ** (k - 1) * exp(-2 * k * k * x * x)) from range(1, 101) t(k)))) end, 9) as p_value from x")
 def ks(spark, d):
     from locusmill.operators.stats import ks_two_sample
 
     o = table(spark, d, "orders").withColumn("v", F.floor(F.col("o_totalprice") / 100))
-    return ks_two_sample(o, "v", "o_orderpriority", "1-URGENT", "5-LOW").select(F.round("d", 9).alias("d"))
+    return ks_two_sample(o, "v", "o_orderpriority", "1-URGENT", "5-LOW").select(F.round("d", 9).alias("d"), F.round("p_value", 9).alias("p_value"))
 
 
-@query("quantile_ratio_factors")
+@query(
+    "quantile_ratio_factors",
+    "with v as (select l_returnflag as sample, quantile_cont(l_extendedprice, [" + ", ".join(str(0.05 + 0.94 * i / 99) for i in range(100)) + "]) as v from lineitem where l_extendedprice > 0 group by 1), a as (select sample, unnest(range(0, 100)) as quantile, unnest(v) as value from v), t as (select *, avg(value) over (partition by quantile) as target from a) select sample, cast(quantile as int) as quantile, round(value, 5) as value, round(target, 5) as target, round(target / value, 8) as ratio from t",
+)
 def ratio_factors(spark, d):
     from locusmill.operators.stats import quantile_ratio_factors as op
 
     x = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("sample"), F.col("l_extendedprice").alias("value"))
-    return op(x, n=100)
+    return op(x, n=100).withColumns({"value": F.round("value", 5), "target": F.round("target", 5), "ratio": F.round("ratio", 8)})

@@ -41,12 +41,25 @@ def per_bin(spark, d):
     return S.score_per_bin(_track(spark, d), S.windows(_sizes(spark, d), 100_000)).withColumn("value", F.round("value", 6))
 
 
-@query("bigwig_correlation")
+_RUNS = """, {n}ev as (select chrom, pos, sum(x) as x from (select chrom, "start" as pos, 1 as x from {t} union all select chrom, "end", -1 from {t}) group by 1, 2),
+{n}r as (select chrom, pos as s, lead(pos) over w as e, sum(x) over w as v from {n}ev window w as (partition by chrom order by pos)),
+{n}m as (select b.chrom, b.s, sum(v * (least(b.e, {n}r.e) - greatest(b.s, {n}r.s))) / sum(least(b.e, {n}r.e) - greatest(b.s, {n}r.s)) as v from b join {n}r on b.chrom = {n}r.chrom and b.s < {n}r.e and b.e > {n}r.s where {n}r.e is not null and v <> 0 group by 1, 2)"""
+
+
+@query(
+    "bigwig_correlation",
+    _W
+    + """, s as (select chrom, max("end") as length from p group by 1), b as (select chrom, k as s, least(k + 1000000, length) as e from (select chrom, length, unnest(range(0, length, 1000000)) as k from s)),
+fo as (select * from f where starts_with(cell, (select min(split_part(cell, '#', 1)) from f)))"""
+    + _RUNS.format(n="o_", t="fo")
+    + _RUNS.format(n="a_", t="f")
+    + " select round(corr(coalesce(o_m.v, 0), coalesce(a_m.v, 0)), 6) as correlation from b left join o_m on b.chrom = o_m.chrom and b.s = o_m.s left join a_m on b.chrom = a_m.chrom and b.s = a_m.s",
+)
 def track_correlation(spark, d):
     f = V.frags(spark, d)
     first = f.agg(F.min(F.split("cell", "#")[0])).first()[0]
     t = {"one": coverage_runs(f.where(F.col("cell").startswith(first)), ["chrom"]), "all": _track(spark, d)}
-    return S.correlation(S.score_per_bin_wide(t, S.windows(_sizes(spark, d), 1_000_000)), "one", "all")
+    return S.correlation(S.score_per_bin_wide(t, S.windows(_sizes(spark, d), 1_000_000)), "one", "all").withColumn("correlation", F.round("correlation", 6))
 
 
 @query("gene_expression_from_tracks", _W + _TRACK + ', m as (select feature, sum(value * (least(p."end", tr."end") - greatest(p."start", tr."start"))) / sum(least(p."end", tr."end") - greatest(p."start", tr."start")) as v, max(value) as mx from p join tr on p.chrom = tr.chrom and p."start" < tr."end" and p."end" > tr."start" where p."end" - p."start" >= 200 group by 1) select p.feature, round(v, 6) as mean, cast(mx as bigint) as max from p left join m on p.feature = m.feature where p."end" - p."start" >= 200')
@@ -67,14 +80,30 @@ def region_matrix(spark, d):
     return S.region_matrix(_track(spark, d), _genes(spark, d), "gene", 20, "center", 1000, 1000).select("gene", "bin", F.round("value", 6).alias("value"))
 
 
-@query("compute_matrix_cis")
+@query(
+    "compute_matrix_cis",
+    _W
+    + _TRACK
+    + _G
+    + """, a as (select gene, chrom, strand, case when strand = '-' then "end" + 500 else "start" - 500 end as spot from gg), w as (select gene, chrom, strand, greatest(spot - 1000, 0) as s, spot + 1000 as e from a),
+b as (select gene, chrom, case when strand = '-' then 19 - k else k end as bin, s + k * ((e - s) // 20) as bs, s + (k + 1) * ((e - s) // 20) as be from (select *, unnest(range(0, 20)) as k from w where (e - s) // 20 > 0)),
+m as (select gene, bin, sum(value * (least(be, "end") - greatest(bs, "start")) / (be - bs)) as v from b join tr on b.chrom = tr.chrom and bs < "end" and be > "start" group by 1, 2)
+select b.gene, cast(b.bin as int) as bin, round(coalesce(v, 0), 6) as value from b left join m on b.gene = m.gene and b.bin = m.bin""",
+)
 def cis_matrix(spark, d):
-    return S.shifted_matrix(_track(spark, d), _genes(spark, d), "gene", 20, "5p", 500, 1000, 1000)
+    return S.shifted_matrix(_track(spark, d), _genes(spark, d), "gene", 20, "5p", 500, 1000, 1000).select("gene", "bin", F.round("value", 6).alias("value"))
+
+
+_BASES = _TRACK + """, pv as (select feature, unnest(range(greatest(p."start", tr."start"), least(p."end", tr."end"))) as spot, value from p join tr on p.chrom = tr.chrom and p."start" < tr."end" and p."end" > tr."start"),
+ba as (select p.feature, p."start" as s, p."end" as e, k as spot, cast(coalesce(pv.value, 0) as double) as value from (select *, unnest(range("start", "end")) as k from p) p left join pv on pv.feature = p.feature and pv.spot = k)
+"""
 
 
-@query("region_signal")
+@query("region_signal", _W + _BASES + " select feature, cast(e - 1 - spot as int) as pos, value from ba")
 def signal(spark, d):
-    return S.region_arrays(_track(spark, d), V.peaks(spark, d).withColumn("strand", F.lit("-")), "feature")
+    """Per-base values of every peak, read from the minus strand."""
+    a = S.region_arrays(_track(spark, d), V.peaks(spark, d).withColumn("strand", F.lit("-")), "feature")
+    return a.select("feature", F.posexplode("signal").alias("pos", "value"))
 
 
 @query("score_bigwig_footprints")
@@ -83,9 +112,11 @@ def footprints(spark, d):
     return S.score_regions(a, "feature", ("flank_depth", "fos"))
 
 
-@query("signal_filter_outliers")
+@query("signal_filter_outliers", _W + _BASES + ", mx as (select feature, max(value) as m from ba group by 1) select feature, cast(spot - s as int) as pos, value from ba where feature in (select feature from mx where m <= (select quantile_cont(m, 0.95) from mx))")
 def outliers(spark, d):
-    return S.filter_outliers(S.region_arrays(_track(spark, d), V.peaks(spark, d).withColumn("strand", F.lit("+")), "feature"), 0.95)
+    """Per-base values of the peaks whose greatest value is at most the 0.95 quantile of these."""
+    a = S.filter_outliers(S.region_arrays(_track(spark, d), V.peaks(spark, d).withColumn("strand", F.lit("+")), "feature"), 0.95)
+    return a.select("feature", F.posexplode("signal").alias("pos", "value"))
 
 
 @query("rolling_sum", "select o_custkey, o_orderkey, round(sum(o_totalprice) over (partition by o_custkey order by o_orderkey rows between 2 preceding and 1 following), 2) as rolled from orders")
@@ -146,11 +177,11 @@ def _n(spark, d, w=1_000_000):
     return V.frags(spark, d).groupBy("chrom").agg((F.floor(F.max("start") / w) + 1).alias("n"))
 
 
-@query("demux_pairs_by_barcode", _W + _PAIRS.format(w=1) + """, gg as (select split_part(cell, '#', 2) as barcode, min("group") as g from gr group by 1) select coalesce(gg.g, '_unassigned') as "group", count(*) as n from pr left join gg on split_part(pr.cell, '#', 2) = gg.barcode where pos2 is not null group by 1""")
+@query("demux_pairs_by_barcode", _W + _PAIRS.format(w=1) + """, gg as (select split_part(cell, '#', 2) as barcode, min("group") as g from gr group by 1) select cell, chrom as chrom1, pos1, pos2, coalesce(gg.g, '_unassigned') as "group" from pr left join gg on split_part(pr.cell, '#', 2) = gg.barcode where pos2 is not null""")
 def demux(spark, d):
     g = V.groups(spark, d).groupBy(F.split("cell", "#")[1].alias("barcode")).agg(F.min("group").alias("group"))
     p = _pairs(spark, d).withColumn("read_id", F.concat(F.lit("r1_"), F.split("cell", "#")[1]))
-    return C.demux(p, g, True).groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    return C.demux(p, g, True).select("cell", "chrom1", "pos1", "pos2", "group")
 
 
 _DECAY = _W + _PAIRS.format(w=1_000_000) + ', nb as (select chrom, max("start") // 1000000 + 1 as n from f group by 1), dc as (select px.chrom, bin2 - bin1 as "offset", sum("count") / (any_value(n) - (bin2 - bin1)) as mean from px join nb on px.chrom = nb.chrom where bin2 - bin1 < n group by 1, 2) '
@@ -176,30 +207,55 @@ def balance(spark, d):
     return C.balance(_cis(spark, d), 1, 4)
 
 
-@query("insulation", _W + _PAIRS.format(w=1_000_000) + ', s as (select chrom, unnest(range(greatest(bin1 + 1, bin2 - 5), least(bin2 - 1, bin1 + 5) + 1)) as bin, "count" from px where bin2 - bin1 between 2 and 10), t as (select chrom, bin, sum("count") / 25 as diamond from s group by 1, 2) select chrom, bin, round(diamond, 6) as diamond, round(log2(diamond / avg(diamond) over (partition by chrom)), 6) + 0.0 as log2_score from t')
+_INSULATION = _W + _PAIRS.format(w=1_000_000) + ', s as (select chrom, unnest(range(greatest(bin1 + 1, bin2 - 5), least(bin2 - 1, bin1 + 5) + 1)) as bin, "count" from px where bin2 - bin1 between 2 and 10), t as (select chrom, bin, sum("count") / 25 as diamond from s group by 1, 2)'
+
+
+@query("insulation", _INSULATION + ' select chrom, bin, round(diamond, 6) as diamond, round(log2(diamond / avg(diamond) over (partition by chrom)), 6) + 0.0 as log2_score from t')
 def insulation(spark, d):
     return C.insulation(_cis(spark, d), 5).select("chrom", "bin", F.round("diamond", 6).alias("diamond"), (F.round("log2_score", 6) + F.lit(0.0)).alias("log2_score"))
 
 
-@query("tad_boundaries")
+@query(
+    "tad_boundaries",
+    _INSULATION
+    + """, u as (select chrom, bin, log2(diamond / avg(diamond) over (partition by chrom)) as v from t), v as (select *, v < lag(v) over w and v <= lead(v) over w as low,
+  least(max(v) over (partition by chrom order by bin rows between 5 preceding and current row), max(v) over (partition by chrom order by bin rows between current row and 5 following)) - v as strength from u window w as (partition by chrom order by bin))
+select chrom, bin, round(strength, 6) as strength from v where low and strength >= 0.2""",
+)
 def tads(spark, d):
-    return C.tad_boundaries(C.insulation(_cis(spark, d), 5))
+    return C.tad_boundaries(C.insulation(_cis(spark, d), 5)).withColumn("strength", F.round("strength", 6))
 
 
 def _oe(spark, d):
     return materialize(C.observed_over_expected(_cis(spark, d), _n(spark, d)), "oe")
 
 
-@query("pileup")
+_OE = _DECAY.rstrip() + """, oe as (select px.chrom, bin1, bin2, "count", "count" / mean as oe from px join dc on px.chrom = dc.chrom and bin2 - bin1 = dc."offset"),
+sy as (select chrom, bin1, bin2, oe from oe union all select chrom, bin2, bin1, oe from oe where bin1 <> bin2)
+"""
+
+
+@query(
+    "pileup",
+    _OE
+    + """, ft as (select chrom, bin1 as f1, bin2 as f2 from oe where "count" >= 2 and bin2 - bin1 > 3), gd as (select ft.*, di, dj from ft, range(-3, 4) a(di), range(-3, 4) b(dj))
+select cast(di as int) as di, cast(dj as int) as dj, round(sum(coalesce(oe, 0)) / (select count(*) from ft), 6) as value from gd left join sy on gd.chrom = sy.chrom and f1 + di = bin1 and f2 + dj = bin2 group by 1, 2""",
+)
 def pileup(spark, d):
     o = _oe(spark, d)
-    return C.pile_up(o, o.where("count >= 20 and bin2 - bin1 > 3"), 3)
+    return C.pile_up(o, o.where("count >= 2 and bin2 - bin1 > 3"), 3).withColumn("value", F.round("value", 6))
 
 
-@query("saddle")
+@query(
+    "saddle",
+    _OE
+    + """, cv as (select chrom, bin, sum("count") as v from (select chrom, bin1 as bin, "count" from px union all select chrom, bin2, "count" from px where bin1 <> bin2) group by 1, 2), eg as (select unnest(quantile_cont(v, [0.2, 0.4, 0.6, 0.8])) as e from cv),
+tk as (select chrom, bin, 1 + (select count(*) from eg where v >= e) as q from cv)
+select cast(a.q as int) as q1, cast(b.q as int) as q2, round(avg(oe), 6) as value from sy join tk a on sy.chrom = a.chrom and bin1 = a.bin join tk b on sy.chrom = b.chrom and bin2 = b.bin group by 1, 2""",
+)
 def saddle(spark, d):
     c = _cis(spark, d)
-    return C.saddle(_oe(spark, d), C.bin_coverage(c).select("chrom", "bin", F.col("coverage").cast("double").alias("value")), 5)
+    return C.saddle(_oe(spark, d), C.bin_coverage(c).select("chrom", "bin", F.col("coverage").cast("double").alias("value")), 5).withColumn("value", F.round("value", 6))
 
 
 @query("compartments")
@@ -218,7 +274,7 @@ def _cell_cis(spark, d, w):
 
 @query("impute_cells")
 def impute(spark, d):
-    return C.impute(_cell_cis(spark, d, 5_000_000))
+    return C.impute(_cell_cis(spark, d, 5_000_000), _n(spark, d, 5_000_000))
 
 
 @query("hic_embedding")
@@ -235,10 +291,17 @@ def correlation(spark, d):
     return C.group_correlation(materialize(c, "groups")).withColumn("correlation", F.round("correlation", 6))
 
 
-@query("plot_aggregate")
+@query(
+    "plot_aggregate",
+    _W
+    + _TRACK
+    + """, st as (select feature, chrom, ("start" + "end") // 2 - 100 as s from p), sb as (select feature, chrom, s, s + k as spot, k from (select *, unnest(range(0, 200)) as k from st)),
+sv as (select sb.feature, k - 100 as "offset", coalesce(value, 0) as v from sb left join tr on sb.chrom = tr.chrom and spot >= tr."start" and spot < tr."end"), mx as (select feature, max(v) as m from sv group by 1)
+select cast("offset" as int) as "offset", round(avg(v), 6) as value, count(*) as n from sv where feature in (select feature from mx where m <= (select quantile_cont(m, 0.99) from mx)) group by 1""",
+)
 def aggregate(spark, d):
     p = V.peaks(spark, d).withColumn("strand", F.lit("+"))
-    return S.aggregate_profile(_track(spark, d), p, "feature", 100)
+    return S.aggregate_profile(_track(spark, d), p, "feature", 100).withColumn("value", F.round("value", 6))
 
 
 @query("pseudobulk_by_celltype")

@@ -41,7 +41,7 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
     g = lambda k: F.get("f", F.lit(k))
     s, e = g(1).cast("bigint"), g(2).cast("bigint")
     s = F.when(s < e, s).otherwise(F.raise_error(F.concat(F.lit("start isn't below end: "), F.array_join("f", " "))).cast("bigint"))
-    return f.select(g(0).alias("chrom"), s.alias("start"), e.alias("end"), g(3).alias("name"), g(4).try_cast("double").alias("score"), g(5).alias("strand"), F.slice("f", 7, 1000).alias("extra"))
+    return f.select(g(0).alias("chrom"), s.alias("start"), e.alias("end"), g(3).alias("name"), g(4).try_cast("double").alias("score"), g(5).alias("strand"), F.slice("f", 7, 1 << 30).alias("extra"))
 
 
 def read_narrow_peak(spark: SparkSession, path: str) -> DataFrame:

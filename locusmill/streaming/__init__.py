@@ -26,15 +26,30 @@ def distinct_stream(stream: DataFrame, keys: list[str], time: str, late: str = "
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def upsert_totals(batch: DataFrame, path: str, keys: list[str], value: str) -> None:
-    """foreachBatch target: adds a batch's sums to the totals at path, written beside and swapped in."""
+def upsert_totals(batch: DataFrame, path: str, keys: list[str], value: str, batch_id: int) -> None:
+    """foreachBatch target: adds a batch's sums to the totals under path, as a folder `v=<batch_id>` of its own; `latest_totals` reads them.
+
+    A batch that comes again after a failure is based on the same earlier version and replaces its own folder, so it counts once. A version counts once its write has
+    ended; until then, and if the job dies meanwhile, the one before holds. Versions before the last two are deleted.
+    """
     spark = batch.sparkSession
     new = batch.groupBy(*keys).agg(F.sum(value).alias(value))
-    jvm = spark._jvm.org.apache.hadoop.fs
-    now, nxt = jvm.Path(path), jvm.Path(path + ".next")
-    fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(now):
-        new = spark.read.parquet(path).unionByName(new).groupBy(*keys).agg(F.sum(value).alias(value))
-    new.write.mode("overwrite").parquet(path + ".next")
-    fs.delete(now, True)
-    fs.rename(nxt, now)
+    done = [v for v in _versions(spark, path) if v < batch_id]
+    if done:
+        new = spark.read.parquet(f"{path}/v={done[-1]}").unionByName(new).groupBy(*keys).agg(F.sum(value).alias(value))
+    new.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+    for v in done[:-1]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}")
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions whose write has ended, which leaves a file _SUCCESS."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted(int(x.getPath().getParent().getName()[2:]) for x in found or [])
+
+
+def latest_totals(spark: SparkSession, path: str) -> DataFrame:
+    """The totals of the last version written by `upsert_totals`."""
+    return spark.read.parquet(f"{path}/v={_versions(spark, path)[-1]}")

@@ -32,10 +32,14 @@ def test_window_kernels_brute_force():
     left, mid, right = S.window_sums(x, 5, 3)
     for p in range(60):
         assert mid[p] == sum(at(i) for i in range(p - 5, p + 5))
-        if p - 11 >= 0 and p + 11 <= 60:
-            assert left[p] == sum(at(i) for i in range(p - 11, p - 5)) and right[p] == sum(at(i) for i in range(p + 5, p + 11))
-    s = S.footprint_pvalues(np.r_[np.ones(20) * 9, np.zeros(10), np.ones(20) * 9], np.ones(50), 5, 5)
+        # a flank of 3 is 2 * (3 // 2) wide
+        assert left[p] == sum(at(i) for i in range(p - 7, p - 5)) and right[p] == sum(at(i) for i in range(p + 5, p + 7))
+    cuts = np.r_[np.ones(20) * 9, np.zeros(10), np.ones(20) * 9]
+    s = S.footprint_pvalues(cuts, np.ones(50), 5, 5)
     assert 22 <= s.argmax() <= 28 and s.max() > 3
+    raw = S.footprint_pvalues(cuts, np.ones(50), 5, 5, 0)
+    top = [max(raw[max(0, i - 1) : i + 3]) for i in range(50)]
+    assert s == pytest.approx([sum(top[j] for j in range(i - 2, i + 2) if 0 <= j < 50) / 4 for i in range(50)])
     assert S.footprint_pvalues(np.zeros(30), np.ones(30), 3, 3).max() == 0
 
 

@@ -1,5 +1,5 @@
 from locusmill import sources as S
-from locusmill.streaming import tile_counts, upsert_totals
+from locusmill.streaming import latest_totals, tile_counts, upsert_totals
 
 
 def put(tmp_path, name, text):
@@ -63,9 +63,11 @@ def test_stream(spark, tmp_path):
     q.awaitTermination()
     assert sorted((r.tile, r.reads) for r in spark.table("tiles_test").collect()) == [(0, 5), (1, 1)]
     b = spark.createDataFrame([("a", 1), ("a", 2)], "k string, v bigint")
-    for _ in range(2):
-        upsert_totals(b, str(tmp_path / "tot"), ["k"], "v")
-    assert spark.read.parquet(str(tmp_path / "tot")).first().v == 6
+    for i, want in ((0, 3), (1, 6), (1, 6), (2, 9), (2, 9), (3, 12)):  # a batch that comes again counts once
+        upsert_totals(b, str(tmp_path / "tot"), ["k"], "v", i)
+        assert latest_totals(spark, str(tmp_path / "tot")).first().v == want
+    (tmp_path / "tot" / "v=4").mkdir()  # a version whose write hasn't ended
+    assert latest_totals(spark, str(tmp_path / "tot")).first().v == 12
 
 
 def test_package_does_not_need_llm():

@@ -32,14 +32,14 @@ def same(a, b):
         assert [v for v in x if isinstance(v, float)] == pytest.approx([v for v in y if isinstance(v, float)], abs=2e-4)
 
 
-def test_quantile_normalize_all_takes_every_line(spark):
-    got = run(spark, "quantile_normalize_all")
+def test_quantile_normalize_takes_every_line(spark):
+    got = run(spark, "quantile_normalize")
     n = table(spark, D, "lineitem").groupBy("l_linenumber").count().collect()
     assert Counter(r[0] for r in got) == {r.l_linenumber: r["count"] for r in n} and len(n) == 7
-    same(got, sql("quantile_normalize_all"))
+    same(got, sql("quantile_normalize"))
 
 
-@pytest.mark.parametrize("name", ["motif_probabilities_all", "motif_information_content_all", "motif_consensus_all", "position_weights_all", "dinucleotide_counts_all"])
+@pytest.mark.parametrize("name", ["motif_probabilities", "motif_information_content", "motif_consensus", "position_weights", "dinucleotide_counts"])
 def test_sequence_queries_agree_with_sql(spark, name):
     same(run(spark, name), sql(name))
 
@@ -48,11 +48,11 @@ def test_dinucleotides_take_every_pair_of_places(spark):
     want = Counter()
     for r in _seqs(spark, D).select("seq").collect():
         want.update((m + 1, n + 1, r.seq[m], r.seq[n]) for m, n in combinations(range(64), 2))
-    assert {r[:4]: r[4] for r in run(spark, "dinucleotide_counts_all")} == want
+    assert {r[:4]: r[4] for r in run(spark, "dinucleotide_counts")} == want
     assert len({r[:2] for r in run(spark, "dinucleotide_weights")}) == 2016
 
 
 def test_motif_places(spark):
-    assert {r[1] for r in run(spark, "motif_probabilities_all")} == set(range(64))
-    assert {r[0] for r in run(spark, "position_weights_all")} == set(range(64))
-    assert {len(r[1]) for r in run(spark, "motif_consensus_all")} == {64}
+    assert {r[1] for r in run(spark, "motif_probabilities")} == set(range(64))
+    assert {r[0] for r in run(spark, "position_weights")} == set(range(64))
+    assert {len(r[1]) for r in run(spark, "motif_consensus")} == {64}
