@@ -1,29 +1,27 @@
 """Loading of delimited lines with the failing ones set apart, each with its reason.
 
-Blocks of lines go through a columnar parser as a whole. A block that isn't accepted is halved until the parts pass or only a few lines are left,
-which a strict parser then decides on one by one. The columnar path accepts a block only if every line of it is certain to be valid, so both
-paths agree; `parse_strict` alone defines the result.
+Every block of lines is parsed as a whole by columnar kernels, which accept it only if each of its lines is certain to be valid. A block that isn't accepted is
+halved again and again until the bad lines stand alone; these go to a strict parser, which gives the reason (or finds a line valid after all, as one with
+quoted fields). The columnar path accepts nothing that the strict parser wouldn't, so `parse_strict` alone defines the result.
 """
 
 from __future__ import annotations
 
-import io
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.csv as pcsv
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 1024
-#: A failing block of at most this many lines is diagnosed line by line: a columnar call costs as much as some forty strict ones.
-LEAF = 16
 BIGINT_MAX = (1 << 63) - 1
 _DIGITS = re.compile(r"[0-9]+", re.ASCII)
 _BARCODE = re.compile(r"[ACGT]{16}-[0-9]+", re.ASCII)
+#: What the columnar path takes for a valid line: no quotes, numbers that surely fit a BIGINT. `(?s)` lets fields hold line feeds.
+_SURE = r'(?s)\A(?P<chrom>[^\t"]*)\t(?P<start>[0-9]{1,18})\t(?P<end>[0-9]{1,18})\t(?P<barcode>[ACGT]{16}-[0-9]+)(?:\t(?P<count>[^\t"]*))?\z'
 
 
 def split_fields(line: str) -> list[str] | None:
@@ -58,6 +56,13 @@ def split_fields(line: str) -> list[str] | None:
         i += 1
 
 
+def _bigint(digits: str) -> int | None:
+    """The number that ASCII digits write, None beyond BIGINT. Digits may be more than Python would convert."""
+    digits = digits.lstrip("0") or "0"
+    n = int(digits) if len(digits) <= 19 else BIGINT_MAX + 1
+    return n if n <= BIGINT_MAX else None
+
+
 def parse_strict(line: str) -> tuple[str | None, tuple | None]:
     """(reason, None) for a failing line, (None, (chrom, start, end, barcode, count)) for a valid one."""
     f = split_fields(line)
@@ -67,80 +72,51 @@ def parse_strict(line: str) -> tuple[str | None, tuple | None]:
         return "columns", None
     if not (_DIGITS.fullmatch(f[1]) and _DIGITS.fullmatch(f[2]) and _BARCODE.fullmatch(f[3])):
         return "value", None
-    s, e = int(f[1]), int(f[2])
-    if s >= e or e > BIGINT_MAX:
+    s, e = _bigint(f[1]), _bigint(f[2])
+    if s is None or e is None or s >= e:
         return "value", None
-    count = int(f[4]) if len(f) == 5 and _DIGITS.fullmatch(f[4]) else 1
-    return None, (f[0], s, e, f[3], count if count <= BIGINT_MAX else 1)
-
-
-def _columnar(lines: pa.Array, tabs: int) -> list[pa.Array] | None:
-    """Columns of a block of lines with `tabs` tabs each; None if any of them may be invalid."""
-    text = "\n".join(lines.to_pylist())
-    if '"' in text or "\r" in text or text.count("\n") != len(lines) - 1:
-        return None
-    names = ["chrom", "start", "end", "barcode", "count"][: tabs + 1]
-    try:
-        t = pcsv.read_csv(
-            io.BytesIO(text.encode() + b"\n"),
-            pcsv.ReadOptions(column_names=names, use_threads=False, block_size=max(1 << 20, 8 * len(text))),
-            pcsv.ParseOptions(delimiter="\t", quote_char=False, ignore_empty_lines=False),
-            pcsv.ConvertOptions(column_types={n: pa.string() for n in names}, strings_can_be_null=False),
-        ).combine_chunks()
-        if t.num_rows != len(lines):
-            return None
-        ok = pc.match_substring_regex(t["barcode"], r"^[ACGT]{16}-[0-9]+\z")
-        for c in ("start", "end"):
-            ok = pc.and_(ok, pc.match_substring_regex(t[c], r"^[0-9]+\z"))
-        if not pc.all(ok).as_py():
-            return None
-        start, end = (pc.cast(t[c], pa.int64()) for c in ("start", "end"))
-        if not pc.all(pc.less(start, end)).as_py():
-            return None
-        if tabs == 4:
-            n = t["count"]
-            n = pc.if_else(pc.match_substring_regex(n, r"^[0-9]{1,18}\z"), n, "1") if pc.max(pc.utf8_length(n)).as_py() < 19 else None
-            if n is None:
-                return None
-            count = pc.cast(n, pa.int64())
-        else:
-            count = pa.chunked_array([pa.array(np.ones(len(lines), np.int64))])
-    except (pa.ArrowInvalid, UnicodeError):
-        return None
-    return [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (t["chrom"], start, end, t["barcode"], count)]
-
-
-def _flat(x):
-    return pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x
+    count = _bigint(f[4]) if len(f) == 5 and _DIGITS.fullmatch(f[4]) else 1
+    return None, (f[0], s, e, f[3], 1 if count is None else count)
+
+
+def _columnar(lines: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+    """(whether each line is surely valid, the columns of those that are) by columnar kernels over all lines at once."""
+    got = pc.extract_regex(lines, _SURE)
+    ok = pc.is_valid(got)
+    cols = got.filter(ok)
+    chrom, start, end, barcode, count = (pc.struct_field(cols, n) for n in ("chrom", "start", "end", "barcode", "count"))
+    start, end = pc.cast(start, pa.int64()), pc.cast(end, pa.int64())
+    # an absent count gives an empty group, which is no number either; longer numbers are left to the strict parser
+    number = pc.match_substring_regex(count, r"^[0-9]{1,18}\z")
+    count = pc.cast(pc.if_else(number, count, "1"), pa.int64())
+    good = pc.and_(pc.less(start, end), pc.or_(number, pc.invert(pc.match_substring_regex(pc.struct_field(cols, "count"), r"^[0-9]+\z"))))
+    flags = ok.to_numpy(zero_copy_only=False).copy()
+    flags[flags] = good.to_numpy(zero_copy_only=False)
+    return flags, [x.filter(good) for x in (chrom, start, end, barcode, count)]
+
+
+def _bad_lines(ok: np.ndarray, block: int) -> list[int]:
+    """Lines that stand alone after halving each block that isn't accepted as a whole."""
+    out = []
+    for lo in range(0, len(ok), block):
+        todo = [(lo, min(lo + block, len(ok)))]
+        while todo:
+            i, j = todo.pop()
+            if ok[i:j].all():
+                continue
+            if j - i == 1:
+                out.append(i)
+            else:
+                mid = (i + j) // 2
+                todo += [(mid, j), (i, mid)]
+    return out
 
 
 def parse_lines(lines: pa.Array, block: int = BLOCK) -> tuple[pa.Array, list[pa.Array], list[tuple[int, str | None, tuple | None]]]:
-    """Parse record lines. (positions of the lines that columnar blocks accepted, their columns, the strict results of the others)."""
-    at, cols, single = [], [[], [], [], [], []], []
-    tabs = pc.count_substring(lines, "\t").to_numpy(zero_copy_only=False)
-    other = np.flatnonzero((tabs != 3) & (tabs != 4))
-    single += [(int(i), *parse_strict(lines[int(i)].as_py())) for i in other]
-    for width in (3, 4):
-        where = np.flatnonzero(tabs == width)
-        todo = [where[i : i + block] for i in range(0, len(where), block)][::-1]
-        while todo:
-            part = todo.pop()
-            got = _columnar(lines.take(pa.array(part)), width)
-            if got is not None:
-                at.append(part)
-                for c, x in zip(cols, got, strict=True):
-                    c.append(_flat(x))
-            elif len(part) <= LEAF:
-                single += [(int(i), *parse_strict(x)) for i, x in zip(part, lines.take(pa.array(part)).to_pylist(), strict=True)]
-            else:
-                half = len(part) // 2
-                todo += [part[half:], part[:half]]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
-    return (
-        pa.array(np.concatenate(at) if at else np.zeros(0, np.int64)),
-        [pa.concat_arrays(c) if c else pa.array([], t) for c, t in zip(cols, types, strict=True)],
-        single,
-    )
+    """Parse record lines. (positions of the lines that the columnar path accepted, their columns, the strict results of the others)."""
+    ok, cols = _columnar(lines)
+    single = [(i, *parse_strict(lines[i].as_py())) for i in _bad_lines(ok, block)]
+    return pa.array(np.flatnonzero(ok)), cols, single
 
 
 def parse_fragments(df: DataFrame, line: str = "line", keep: list[str] | None = None, block: int = BLOCK) -> DataFrame:

@@ -45,6 +45,8 @@ def lines():
         (good, None), (good + "\t3", None), (good + "\tx", None), (good + "\r", None), (f'"chr1"\t"5"\t9\t"{BC}"', None), (f'"c\th""r"\t5\t9\t{BC}', None), (f"\t5\t9\t{BC}", None),
         (good + "\t", None), (f"chr1\t9223372036854775806\t9223372036854775807\t{BC}", None), (good + "\t99999999999999999999999", None), ("chré" + good[4:], None),
         (f'"chr1\t5\t9\t{BC}', "quoting"), (f'"chr1"x\t5\t9\t{BC}', "quoting"), (f'ch"r1\t5\t9\t{BC}', "quoting"), (good + '\t"', "quoting"), ('"', "quoting"),
+        (f"chr1\t{'0' * 5000}5\t9\t{BC}", None), (good + "\t" + "7" * 5000, None), (f"chr1\t5\t{'9' * 5000}\t{BC}", "value"), (f"chr1\t{'1' * 5000}\t{'9' * 5000}\t{BC}", "value"),
+        (f"chr1\t1234567890123456789\t1234567890123456790\t{BC}\t1234567890123456789", None), (good + "\t000000000000000000000002", None),
         ("chr1\t5\t9", "columns"), (good + "\t1\t2", "columns"), ("x", "columns"), (" ", "columns"), ("\r\r", "columns"),
         (f"chr1\t5\t5\t{BC}", "value"), (f"chr1\t-5\t9\t{BC}", "value"), (f"chr1\t+5\t9\t{BC}", "value"), (f"chr1\t 5\t9\t{BC}", "value"), (f"chr1\t٥\t9\t{BC}", "value"), (f"chr1\t\t9\t{BC}", "value"),
         (f"chr1\t5\t9223372036854775808\t{BC}", "value"), ("chr1\t5\t9\tACGT-1", "value"), (good[:-1], "value"), (good + "\n", "value"), (f"chr1\t5\n\t9\t{BC}", "value"), (good.lower(), "value"), (good + "\r\r", "value"),
@@ -106,7 +108,10 @@ def check_tree(spark, pairs):
     for r in pos.values():
         below = {x for x, (_, d, p) in want.items() if d >= 0 and r.node_id in p}
         assert {x.node_id for x in pos.values() if x.root_id == r.root_id and r.pre <= x.pre < r.pre + r.size} == below
-    assert descendants(h).count() == sum(d for _, d, _ in want.values() if d > 0)
+    pairs_below = {(a, x): d - i for x, (_, d, p) in want.items() if d > 0 for i, a in enumerate(p[:-1])}
+    assert {(r.node_id, r.descendant_id): r.steps for r in descendants(h, 3).collect()} == pairs_below
+    bare = hierarchy(df, F.col("id"), F.col("p"), paths=False, places=False)
+    assert {r.node_id: (r.root_id, r.depth) for r in bare.collect()} == {k: v[:2] for k, v in want.items()}
 
 
 def test_hierarchy_random_with_loops(spark):
@@ -120,6 +125,7 @@ def test_hierarchy_chain_star_and_empty(spark):
     check_tree(spark, [(f"c{i:03}", f"c{i - 1:03}" if i else None) for i in range(70)])
     check_tree(spark, [("root", None)] + [(f"k{i}", "root") for i in range(80)])
     check_tree(spark, [("x", "y"), ("y", "x")])
+    check_tree(spark, [(f"l{i:02}", f"l{(i + 1) % 37:02}") for i in range(37)] + [(f"b{i:02}", f"b{i + 1:02}" if i < 29 else "l05") for i in range(30)])
     assert hierarchy(spark.createDataFrame([], "id string, p string"), F.col("id"), F.col("p")).count() == 0
 
 
