@@ -352,6 +352,11 @@ def _finer(placed: DataFrame, big: dict[int, int], most: int) -> np.ndarray:
     return matrix(some.groupBy("cell").applyInArrow(fit, "c array<float>").toArrow().column("c"))
 
 
+def copies(asked: dict[int, int], shard_rows: int) -> dict[int, int]:
+    """Copies of each asked shard's graph: one for each ASKED_SHARDS * shard_rows rows or part of that, so at most one for each shard and one for each so many rows asked."""
+    return {shard: -(-n // (ASKED_SHARDS * shard_rows)) for shard, n in asked.items() if n > 0}
+
+
 def knn(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, ef: int = EF_SEARCH, sample_rows: int = SAMPLE_ROWS, reach: float | None = None, most_cells: int = MOST_CELLS) -> DataFrame:
     """(id, neighbour, distance): the k nearest other vectors (Euclidean) of every row of (id, vec), nearest first within an id; ids are unique, vectors equally long.
 
@@ -467,12 +472,12 @@ def knn(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, ef: int = EF_S
         asked = home.select("id", "vec", "cell", "shard", kth.cast("double").alias("kth")).mapInArrow(route, f"id {kind}, shard int")
         asked = materialize(asked, "asked")
         # what is asked of a shard comes in parts of bounded size, each with its own copy of that shard's graph; a shard that nobody asks isn't copied
-        parts = [(r.shard, -(-r["count"] // (ASKED_SHARDS * shard_rows))) for r in asked.groupBy("shard").count().collect()]
-        parts = F.broadcast(spark.createDataFrame(parts, "shard int, _parts int"))
+        parts = copies({r.shard: r["count"] for r in asked.groupBy("shard").count().collect()}, shard_rows)
+        parts = F.broadcast(spark.createDataFrame(list(parts.items()), "shard int, _parts int"))
         asked = asked.join(parts, "shard").select("id", "shard", F.pmod(F.xxhash64("id", F.lit(3)), F.col("_parts")).cast("int").alias("part"))
         asked = asked.join(home.select("id", "vec", "cell"), "id")
-        copies = graphs.join(parts, "shard").select("shard", "graph", "ids", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"))
-        away = asked.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(look, found)
+        sent = graphs.join(parts, "shard").select("shard", "graph", "ids", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"))
+        away = asked.groupBy("shard", "part").cogroup(sent.groupBy("shard", "part")).applyInArrow(look, found)
         merged = home.select("id", "near").unionByName(away.select("id", others)).groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near"))
     best = F.slice(F.array_sort(F.array_distinct("near")), 1, k)
     return merged.select("id", F.explode(best).alias("x")).select("id", F.col("x.id").alias("neighbour"), F.col("x.d").alias("distance"))

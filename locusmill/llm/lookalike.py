@@ -22,10 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Letters of Latin, Cyrillic and Greek with the same shape.
+# Letters of Latin, Cyrillic, Greek and Armenian with the same shape.
 SAME_SHAPE = (
-    "aа", "cсϲ", "dԁ", "eе", "gɡ", "hһ", "iі", "jјϳ", "oоο", "pр", "qԛ", "sѕ", "wԝ", "xх", "yу",
-    "AАΑ", "BВΒ", "CСϹ", "EЕΕ", "HНΗ", "IІΙ", "JЈ", "KКΚ", "MМΜ", "NΝ", "OОΟ", "PРΡ", "QԚ", "SЅ", "TТΤ", "WԜ", "XХΧ", "YΥ", "ZΖ", "ГΓ", "ПΠ", "ФΦ",
+    "aа", "cсϲ", "dԁ", "eе", "gɡ", "hһհ", "iі", "jјϳ", "lӏ", "nո", "oоοօ", "pрρ", "qԛ", "sѕ", "uս", "vνѵ", "wԝ", "xх", "yу",
+    "AАΑ", "BВΒ", "CСϹ", "EЕΕ", "FϜ", "GԌ", "HНΗ", "IІΙӀ", "JЈͿ", "KКΚ", "MМΜϺ", "NΝ", "OОΟՕ", "PРΡ", "QԚ", "SЅՏ", "TТΤ", "UՍ", "VѴ", "WԜ", "XХΧ", "YΥҮ", "ZΖ", "ГΓ", "ПΠ", "ФΦ",
 )
 # Hyphens of various kinds, beside hyphen-minus.
 HYPHENS = "˗‐‑‒–⁃−﹣"

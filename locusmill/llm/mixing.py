@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locusmill.util import small
+from locusmill.util import materialize, small
 
-BLOCKS = 4096
+#: Blocks of a pass over part of a source, or more, so that a block has about BLOCK_DOCS documents at most.
+BLOCKS, BLOCK_DOCS = 4096, 1024
 
 
 def _normal(w: dict[str, float]) -> dict[str, float]:
@@ -100,7 +101,7 @@ def draw_plan(sized: DataFrame, targets: DataFrame, budget: int | None = None) -
     return plan, {"tokens": tokens, "budget": total, "exponent": x, "weights": w, "rows": rows}
 
 
-def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", budget: int | None = None, seed: int = 11, blocks: int = BLOCKS) -> DataFrame:
+def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", budget: int | None = None, seed: int = 11, blocks: int | None = None) -> DataFrame:
     """The documents chosen: key, source, n_tokens, repeats. sized: key, source, n_tokens (unique key); targets: source, target_share, max_repeats.
 
     A source's budget is as many full passes over it as fit, and one pass over a part of it. For that pass documents fall into blocks by a hash,
@@ -111,6 +112,8 @@ def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", budget: int |
     plan, _ = draw_plan(sized, targets, budget)
     if not plan:
         return sized.where(F.lit(False)).select(key, "source", "n_tokens", F.lit(1).alias("repeats"))
+    if blocks is None:
+        blocks = max(BLOCKS, -(-sized.count() // BLOCK_DOCS))
     plans = F.broadcast(spark.createDataFrame([(k, a, b) for k, (a, b) in plan.items()], "source string, passes bigint, part bigint"))
     docs = sized.where(F.col("n_tokens") > 0).select(key, "source", "n_tokens").join(plans, "source")
     docs = docs.withColumn("_block", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(blocks)))
@@ -123,7 +126,7 @@ def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", budget: int |
     edge = docs.where(~F.col("_whole"))
     in_edge = W.partitionBy("source").orderBy(F.xxhash64(F.col(key), F.lit(seed + 2)), key).rowsBetween(W.unboundedPreceding, 0)
     edge = edge.withColumn("_upto", F.col("_before") + F.sum("n_tokens").over(in_edge)).select(key, "source", "n_tokens", (F.col("passes") + (F.col("_upto") <= F.col("part")).cast("int")).alias("repeats"))
-    drawn = whole.unionByName(edge)
+    drawn = materialize(whole.unionByName(edge), "drawn")
     # what is still missing of each source's last pass is made up by the one document left whose size comes closest, if that helps
     short = drawn.join(plans, "source").groupBy("source", "passes").agg((F.first("part") - F.sum(F.col("n_tokens") * (F.col("repeats") - F.col("passes")))).alias("_miss"))
     left = drawn.join(F.broadcast(short), "source").where(F.col("repeats") == F.col("passes"))
@@ -133,6 +136,32 @@ def mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", budget: int |
     return drawn.where("repeats > 0").select(key, "source", "n_tokens", F.col("repeats").cast("int").alias("repeats"))
 
 
+def weight_report(sized: DataFrame, targets: DataFrame, wider: float = 2.0) -> DataFrame:
+    """Per setting and source: natural and target share, weight, and the setting's exponent, entropy and budget in tokens.
+
+    The settings: `targets` (the default budget, which the targets themselves fit), `wide` (`wider` times that budget: the exponent is bisected until every repetition limit holds),
+    `entropy` (no targets: natural shares tempered until their entropy is halfway to that of equal shares) and `limits` (no targets, the budget of `wide`: the least tempering that keeps
+    the repetition limits). Sources without tokens or without a row in targets have no row.
+    """
+    _, base = draw_plan(sized, targets)
+    tokens, rows = base["tokens"], base["rows"]
+    have = {k: n for k, n in tokens.items() if n > 0}
+    natural = _normal({k: float(n) for k, n in have.items()})
+    most = {k: int(rows[k].max_repeats or 0) for k in have}
+    target = {k: rows[k].target_share for k in have}
+    budget = round(base["budget"] * wider)
+    half = (entropy(natural) + math.log(max(1, len(have)))) / 2
+    settings = {
+        "targets": (base["weights"], base["budget"], base["exponent"]),
+        "wide": temperature_weights(tokens, target, most, budget),
+        "entropy": temperature_weights(tokens, target_entropy=half),
+        "limits": temperature_weights(tokens, max_repeats=most, budget=budget),
+    }
+    out = [(s, k, natural[k], float(target[k] or 0), float(w.get(k, 0.0)), float(x), entropy(w), int(b)) for s, (w, b, x) in settings.items() for k in sorted(have)]
+    kinds = "setting string, source string, natural_share double, target_share double, weight double, exponent double, entropy double, budget bigint"
+    return sized.sparkSession.createDataFrame(out, kinds)
+
+
 def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target source: target_share, documents, tokens drawn, greatest number of repeats, and actual_share of all tokens drawn."""
     got = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats"))

@@ -57,11 +57,17 @@ def p1_scores(spark, d):
     return _peak_terms(spark, d).select(*cols, F.round("score", 6).alias("score"), F.round("tf_score", 6).alias("tf_score"))
 
 
-@query("p1_words")
+@query(
+    "p1_words",
+    r"""with t as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w from documents), u as (select doc_id, unnest(w) as term, unnest(range(0, len(w))) as at from t),
+f as (select doc_id, term, count(*) as frequency from u group by 1, 2), e as (select distinct a.doc_id, a.term, b.term as other from u a join u b on a.doc_id = b.doc_id and b.at - a.at between 1 and 3 and a.term <> b.term),
+g as (select doc_id, term, count(distinct other) as degree from (select * from e union all select doc_id, other, term from e) group by 1, 2), d as (select term, count(*) as n from f group by 1)
+select f.doc_id, f.term, frequency, coalesce(degree, 0) as degree, round(coalesce(degree, 0) * ln((select count(*) from documents) / d.n), 6) as score from f join d on f.term = d.term left join g on f.doc_id = g.doc_id and f.term = g.term""",
+)
 def p1_words(spark, d):
     """Graph-of-words score of every word of every document."""
     t = distinct.text_terms(table(spark, d, "documents"))
-    return distinct.distinctive(t, ["doc_id"], "term").select("doc_id", "term", "frequency", "degree", "score")
+    return distinct.distinctive(t, ["doc_id"], "term").select("doc_id", "term", "frequency", "degree", F.round("score", 6).alias("score"))
 
 
 def _run(spark, d, name):
@@ -71,10 +77,21 @@ def _run(spark, d, name):
 def _nearest(spark, d):
     p = _run(spark, d, "knn")
     rows = table(spark, d, "cell_vectors").where(F.col("use_rep") == p.use_rep)
+    if p.metric not in ("euclidean", "cosine"):
+        raise ValueError(f"the index knows the metrics euclidean and cosine, not {p.metric!r}")
     return hnsw.knn(hnsw.usable_vectors(rows, unit=p.metric == "cosine"), p.n_neighbors)
 
 
-@query("p4_found")
+_USABLE = """with v as (select cell_id, any_value(vec)::double[] as vec from cell_vectors where use_rep = '{rep}' and vec is not null and list_sum(list_transform(vec, lambda x: abs(x))) > 0
+  and not list_bool_or(list_transform(vec, lambda x: isnan(x))) group by 1)"""
+
+
+@query(
+    "p4_found",
+    _USABLE.format(rep="X_pca")
+    + """, n as (select a.cell_id as a, b.cell_id as b, row_number() over (partition by a.cell_id order by list_distance(a.vec, b.vec), b.cell_id) as r from v a join v b on a.cell_id <> b.cell_id)
+select distinct least(a, b) as cell_a, greatest(a, b) as cell_b from n where r <= 10""",
+)
 def p4_found(spark, d):
     return hnsw.neighbour_pairs(_nearest(spark, d))
 
@@ -91,7 +108,7 @@ def _clusters(spark, d):
     return mcl.cell_clusters(rows, 0.8, p.n_neighbors)
 
 
-@query("p5_found")
+@query("p5_found", _USABLE.format(rep="X_iterative_lsi") + " select a.cell_id as cell_a, b.cell_id as cell_b from v a join v b on a.cell_id < b.cell_id and list_cosine_similarity(a.vec, b.vec) >= 0.8")
 def p5_found(spark, d):
     c = materialize(_clusters(spark, d).select("id", "cluster"), "clusters")
     other = c.select(F.col("id").alias("cell_b"), "cluster")
@@ -134,6 +151,30 @@ def p9_shares(spark, d):
     return mixing.share_report(p9_mix(spark, d), table(spark, d, "source_targets"))
 
 
+def _wide(spark, d):
+    """Twice the budget that the targets fit, so that the exponent has to be bisected."""
+    sized, targets = _sized(spark, d), table(spark, d, "source_targets")
+    _, base = mixing.draw_plan(sized, targets)
+    return mixing.mix(sized, targets, budget=2 * base["budget"])
+
+
+@query("p9_mix_wide")
+def p9_mix_wide(spark, d):
+    """The documents chosen for twice that budget: small sources are at their repetition limits, and tempered weights make up for them."""
+    return _wide(spark, d)
+
+
+@query("p9_shares_wide")
+def p9_shares_wide(spark, d):
+    return mixing.share_report(_wide(spark, d), table(spark, d, "source_targets"))
+
+
+@query("p9_weights")
+def p9_weights(spark, d):
+    """Natural and target shares, tempered weights, exponents and entropies for four settings of the mixture."""
+    return mixing.weight_report(_sized(spark, d), table(spark, d, "source_targets"))
+
+
 @query("p10_found")
 def p10_found(spark, d):
     return lookalike.look_alike_pairs(table(spark, d, "documents"))

@@ -16,6 +16,7 @@ def form(counts=None):
     [
         ("ﬁne", "fine"), ("oﬃce", "office"), ("Ａｂｃ１２！", "Abc12!"), ("é", "é"), ("é", "е́"), ("è", "ѐ"), ("ё", "ë"), ("pаypаl", "paypal"),
         ("Αθ", "Aθ"), ("a​b‌c‍d⁠e﻿f­g", "abcdefg"), ("a b c d　e f", "a b c d e f"), ("a‑b‐c－d", "a-b-c-d"), ("e​́", "é"), ("f​i", "ﬁ"), ("K", "K"), ("Å", "Å"), ("ặ", "ặ"), ("ặ", "ặ"), ("ｅ́", "é"),
+        ("\u0475\u03bd", "vv"), ("\u04cf", "l"), ("\u04c0", "I"), ("\u03c1", "p"), ("\u0585\u057d\u0578\u0570", "ounh"), ("\u054f\u0555\u054d", "SOU"), ("\u03dc\u0474\u04ae", "FVY"), ("a\U000e0100\U000e0041b\U0001d173c", "abc"),
     ],
 )
 def test_same_look(a, b):

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import defaultdict
 
@@ -97,3 +98,30 @@ def test_mix_reaches_shares(spark):
     assert rep["gone"].tokens == 0 and rep["a"].actual_share == pytest.approx(got["a"] / total, abs=1e-5)
     assert X.mix(df.limit(0), t).count() == 0
     assert sorted(map(tuple, X.mix(df, t).collect())) == sorted(map(tuple, X.mix(df.repartition(7), t).collect()))
+
+
+def test_wider_budgets_and_weights(spark):
+    r = random.Random(3)
+    rows = [(i, r.choice(["a"] * 8 + ["b"] * 2 + ["c"]), r.randrange(5, 60)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+    t = spark.createDataFrame([("a", 0.4, 2), ("b", 0.3, 3), ("c", 0.3, 4), ("gone", 0.0, 1)], "source string, target_share double, max_repeats int")
+    have = defaultdict(int)
+    for _, s, n in rows:
+        have[s] += n
+    _, base = X.draw_plan(df, t)
+    got = defaultdict(int)
+    for x in X.mix(df, t, budget=2 * base["budget"]).collect():
+        got[x.source] += x.repeats * x.n_tokens
+    most = {"a": 2, "b": 3, "c": 4}
+    assert all(got[k] <= most[k] * have[k] for k in got)
+    w = {(x.setting, x.source): x for x in X.weight_report(df, t).collect()}
+    assert w["targets", "a"].exponent == 1 and 0 <= w["wide", "a"].exponent < 1 and 0 < w["entropy", "a"].exponent < 1
+    for s in ("targets", "wide", "entropy", "limits"):
+        own = {k: x for (q, k), x in w.items() if q == s}
+        assert sum(x.weight for x in own.values()) == pytest.approx(1)
+        assert own["a"].entropy == pytest.approx(X.entropy({k: x.weight for k, x in own.items()}))
+    total = sum(got.values())
+    assert all(got[k] / total == pytest.approx(w["wide", k].weight, abs=0.003) for k in most)
+    natural = X.entropy({k: n / sum(have.values()) for k, n in have.items()})
+    assert w["entropy", "a"].entropy == pytest.approx((natural + math.log(3)) / 2, abs=1e-6)
+    assert sorted(map(tuple, X.mix(df, t, blocks=7).collect())) == sorted(map(tuple, X.mix(df.repartition(5), t, blocks=7).collect()))

@@ -98,3 +98,57 @@ def test_usable_row_beside_unusable_ones(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(1, [1.0, 2.0], "a"), (1, [nan, 1.0], "a"), (2, [inf, 1.0], "b"), (2, [-3.0, 1.0], "b"), (3, [0.0, 0.0], "c"), (3, [-1.0, 0.0], "c"), (3, None, "c"), (4, [nan, 0.0], "d"), (5, [9.0, None], "e"), (5, [4.0, 1.0], "e"), (5, [], "e")]
     assert {r.id: r.vec for r in H.usable_vectors(spark.createDataFrame(rows, VEC)).collect()} == {1: [1.0, 2.0], 2: [-3.0, 1.0], 3: [-1.0, 0.0], 5: [4.0, 1.0]}
+
+
+def test_copies_grow_with_what_is_asked():
+    for shards, per in ((10, 1), (10, 40_000), (1000, 3), (500, 100_000)):
+        asked = {i: per + i % 7 for i in range(shards)} | {-1: 0}
+        got = H.copies(asked, 4096)
+        assert set(got) == set(range(shards)) and min(got.values()) >= 1
+        assert sum(got.values()) <= shards + sum(asked.values()) / (H.ASKED_SHARDS * 4096)
+        assert all(asked[i] <= n * H.ASKED_SHARDS * 4096 for i, n in got.items())
+
+
+def test_divide_bounds_shards():
+    rng = np.random.default_rng(2)
+    cen, size = rng.normal(size=(300, 5)).astype(np.float32), rng.integers(0, 40, 300)
+    size[7] = 500
+    shard = H._divide(cen, size, [np.arange(200), np.arange(200, 300)], 100)
+    assert all(size[shard == g].sum() <= 100 or (shard == g).sum() == 1 for g in np.unique(shard))
+    assert not set(shard[:200]) & set(shard[200:])
+
+
+def test_knn_with_cells_larger_than_shards(spark):
+    """Few cells of many vectors, a third of them equal: large cells are refined, equal vectors split by a hash."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(600, 8)), np.repeat(rng.normal(size=(1, 8)), 300, 0)]).astype(np.float32)
+    got = {}
+    for r in H.knn(frame(spark, x), 6, shard_rows=60, most_cells=3).collect():
+        got.setdefault(r.id, []).append((r.neighbour, r.distance))
+    d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T, 0))
+    np.fill_diagonal(d, np.inf)
+    want = np.sort(d, axis=1)[:, 5]
+    assert len(got) == 900 and all(len(v) == 6 for v in got.values())
+    assert np.mean([t <= want[i] + 1e-3 for i, v in got.items() for _, t in v]) > 0.97
+
+
+def test_ends_of_attractor_pointers(spark):
+    p = [(1, 2), (2, 3), (3, 3), (4, 5), (5, 4), (6, 7), (7, 8), (8, 6), (9, 4), (10, 1)]
+    got = {r.id: r.attractor for r in M._ends(spark.createDataFrame([(a, b, 1.0) for a, b in p], "id bigint, attractor bigint, flow double")).collect()}
+    assert {got[i] for i in (1, 2, 3, 10)} == {3} and {got[i] for i in (4, 5, 9)} == {4} and [got[i] for i in (6, 7, 8)] == [6, 7, 8]
+
+
+def test_typical_members_receive_the_most_flow(spark):
+    rows = [(1, 1, 1.0, 1.0, 0.5), (2, 1, 0.99, 1.0, 2.0), (3, 1, 0.9, 1.0, 3.0), (4, 1, 0.95, 1.0, 2.0), (9, 9, 1.0, 1.0, 0.0)]
+    m = spark.createDataFrame(rows, "id bigint, cluster bigint, similarity double, flow double, inflow double")
+    assert {r.cluster: r.typical for r in M.cluster_report(m).collect()} == {1: [1, 3, 2], 9: [9]}
+
+
+def test_inflow_and_whole_columns(spark):
+    e = spark.createDataFrame([(0, i, 1.0) for i in range(1, 6)] + [(1, 2, 0.9)], "a bigint, b bigint, w double")
+    got = {r.id: r for r in M.markov_clusters(e).collect()}
+    assert {r.attractor for r in got.values()} == {0} and max(got.values(), key=lambda r: r.inflow).id == 0
+    whole = {r.id: r.attractor for r in M.markov_clusters(e, entries=None, prune=0.0).collect()}
+    assert set(whole.values()) == {0}
+    one = {r.id: r.attractor for r in M.markov_clusters(e, rounds=0, loops=False).collect()}
+    assert set(one.values()) == {0}
