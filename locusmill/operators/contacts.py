@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -213,17 +214,17 @@ def impute(c: DataFrame, n_bins: DataFrame | None = None, pad: int = 1, restart:
     default up to the last bin of each cell that has contacts. One dense matrix per cell and chromosome."""
     n = c.groupBy("cell", "chrom").agg((F.max(F.greatest("bin1", "bin2")) + 1).alias("_n")) if n_bins is None else n_bins.select("chrom", F.col("n").alias("_n"))
 
-    def one(p):
-        m = np.zeros((int(p["_n"].iloc[0]),) * 2)
-        i, j = p["bin1"].to_numpy(), p["bin2"].to_numpy()
-        m[i, j] = p["count"]
-        m[j, i] = p["count"]
+    def one(t):
+        m = np.zeros((t.column("_n")[0].as_py(),) * 2)
+        i, j = t.column("bin1").to_numpy(), t.column("bin2").to_numpy()
+        m[i, j] = m[j, i] = t.column("count").to_numpy()
         m = impute_matrix(m, pad, restart, top, log)
         i, j = np.nonzero(np.triu(m) > 0)
-        return pd.DataFrame({"cell": p["cell"].iloc[0], "chrom": p["chrom"].iloc[0], "bin1": i, "bin2": j, "value": m[i, j]})
+        same = pa.array(np.zeros(len(i), np.int64))
+        return pa.table({"cell": t.column("cell").take(same), "chrom": t.column("chrom").take(same), "bin1": i, "bin2": j, "value": m[i, j]})
 
     c = c.select("cell", "chrom", "bin1", "bin2", "count").join(n, ["cell", "chrom"] if n_bins is None else "chrom")
-    return c.groupBy("cell", "chrom").applyInPandas(one, "cell string, chrom string, bin1 bigint, bin2 bigint, value double")
+    return c.groupBy("cell", "chrom").applyInArrow(one, "cell string, chrom string, bin1 bigint, bin2 bigint, value double")
 
 
 def contact_features(c: DataFrame, value: str = "count") -> DataFrame:

@@ -193,6 +193,11 @@ def periods(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, tile_bits:
         same = c if same is None else same & c
     cold = keyed(src.join(marks, same, "left_anti"), keys).mapInArrow(whole, out_schema)
 
+    # tiles are so wide that cutting at their borders gives at most 8 pieces a row on the average, however long single intervals are
+    widths = range(tile_bits, 62, 4)
+    cuts = src.join(marks, same, "left_semi").agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.shiftright(F.col("end") - 1, b) - F.shiftright("start", b)).cast("double")).alias(f"b{b}") for b in widths]).first()
+    tile_bits = next((b for b in widths if (cuts[f"b{b}"] or 0) <= 8 * cuts.n), 62)
+
     # hot entities, level 1: the rows of each map task, cut at tile borders and combined where they are read
     size = 1 << tile_bits
     mid = ", ".join([f"`{k}` {fields[k]}" for k in keys] + ["tile bigint", "start bigint", "end bigint", "hi_start bigint", "lo_end bigint"])

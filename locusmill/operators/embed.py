@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -186,6 +186,81 @@ def exact_knn(query: DataFrame, reference: DataFrame, k: int, metric: str = "euc
     return r.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def all_knn(vectors: DataFrame, k: int, metric: str = "euclidean", query: Column | None = None, cell_rows: int = 2000, probes: int = 8, sample_rows: int = 20_000) -> DataFrame:
+    """(id, neighbour, distance, rank): the k nearest others of every row of (id, vec) for which `query` holds, among all rows. metric: euclidean or cosine.
+
+    Rows lie in the cell of their nearest centroid (fitted on a bounded sample; every row is indexed), and each is compared with the rows of the `probes` cells nearest to it: exact up to
+    `probes` cells of `cell_rows` rows, nearly all neighbours beyond that. A cell of very many rows (equal vectors, say) is cut into pieces by a hash, and what is asked of a piece
+    into parts, so that a task never multiplies more than some cell_rows by 8 * cell_rows. The driver holds the centroids, one for each cell_rows rows.
+    """
+    if metric not in ("euclidean", "cosine"):
+        raise ValueError(f"all_knn knows the metrics euclidean and cosine, not {metric!r}")
+    spark = vectors.sparkSession
+    kind = vectors.schema["id"].dataType.simpleString()
+    base = materialize(vectors.select("id", F.col("vec").cast("array<double>").alias("vec"), (F.lit(True) if query is None else query).alias("q")), "vectors")
+    n = base.count()
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        size = np.linalg.norm(x, axis=1)[:, None]
+        return x / np.where(size > 0, size, 1) if metric == "cosine" else x
+
+    def rows(p: pd.DataFrame) -> np.ndarray:
+        return unit(np.array(p["vec"].tolist(), np.float64).reshape(len(p), -1))
+
+    m = -(-n // sample_rows) or 1
+    some = base.where(F.pmod(F.xxhash64("id"), F.lit(m)) == 0).limit(2 * sample_rows).select("vec").toPandas()
+    some = some if len(some) else base.limit(1).select("vec").toPandas()
+    if not len(some):
+        return spark.createDataFrame([], f"id {kind}, neighbour {kind}, distance double, rank int")
+    x = rows(some)
+    cen = x[np.random.default_rng(7).choice(len(x), min(len(x), -(-n // cell_rows)), replace=False)]
+    for _ in range(4 if len(cen) > 1 else 0):
+        total, count = np.zeros(cen.shape), np.zeros(len(cen))
+        for lo in range(0, len(x), 2000):
+            near = ((cen * cen).sum(1)[None] - 2 * x[lo : lo + 2000] @ cen.T).argmin(1)
+            np.add.at(total, near, x[lo : lo + 2000])
+            np.add.at(count, near, 1)
+        cen = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], cen)
+    reach = min(probes, len(cen))
+
+    def assign(parts):
+        for p in parts:
+            if not len(p):
+                continue
+            v, near = rows(p), []
+            for lo in range(0, len(v), max(1, 4_000_000 // len(cen))):
+                d = (cen * cen).sum(1)[None] - 2 * v[lo : lo + max(1, 4_000_000 // len(cen))] @ cen.T
+                near.append(np.argsort(d, axis=1, kind="stable")[:, :reach])
+            yield pd.DataFrame({"id": p["id"], "vec": list(v), "q": p["q"], "cells": list(np.concatenate(near).astype(np.int32))})
+
+    placed = materialize(base.mapInPandas(assign, f"id {kind}, vec array<double>, q boolean, cells array<int>"), "placed")
+    size = {r.c: r["n"] for r in placed.groupBy(F.col("cells")[0].alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    asked = {r.c: r["n"] for r in placed.where("q").select(F.explode("cells").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    split = [(c, max(1, -(-s // (2 * cell_rows))), max(1, -(-asked.get(c, 0) // (8 * cell_rows)))) for c, s in size.items()]
+    split = F.broadcast(spark.createDataFrame(split, "cell int, pieces int, parts int"))
+    own = placed.select("id", "vec", F.col("cells")[0].alias("cell")).join(split, "cell")
+    own = own.select(F.col("id").alias("n_id"), F.col("vec").alias("n_vec"), F.col("cell").alias("n_cell"), F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int").alias("n_piece"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("n_part"))
+    ask = placed.where("q").select("id", "vec", F.explode("cells").alias("cell")).join(split, "cell")
+    ask = ask.select("id", "vec", "cell", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int").alias("part"))
+
+    def compare(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(p) and len(q):
+            b, ids = np.array(q["n_vec"].tolist()), q["n_id"].to_numpy()
+            for lo in range(0, len(p), 1000):
+                mine = p.iloc[lo : lo + 1000]
+                a = np.array(mine["vec"].tolist())
+                d = 1 - a @ b.T if metric == "cosine" else np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
+                o = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
+                out.append(pd.DataFrame({"id": np.repeat(mine["id"].to_numpy(), o.shape[1]), "neighbour": ids[o].ravel(), "distance": np.take_along_axis(d, o, 1).ravel()}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "neighbour": [], "distance": []})
+
+    keys = ["cell", "piece", "part"]
+    r = ask.groupBy(*keys).cogroup(own.groupBy(*(f"n_{c}" for c in keys))).applyInPandas(compare, f"id {kind}, neighbour {kind}, distance double").where(F.col("id") != F.col("neighbour"))
+    w = W.partitionBy("id").orderBy("distance", "neighbour")
+    return r.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def gauss_connectivities(near: DataFrame) -> DataFrame:
     """(a, b, w): exp(-d^2 / 2 s^2) of each neighbour with s the distance of the farthest one, averaged over both directions, absent ones being 0."""
     s = near.groupBy("id").agg(F.max("distance").alias("s"))
@@ -303,7 +378,7 @@ def doublet_scores(x: DataFrame, k: int = 15, ratio: int = 2, dims: int = 15, ra
     u, _, _ = gram_svd(t, dims)
     u = materialize(u.withColumnRenamed("cell", "id"), "space")
     kk = round(k * (1 + ratio))
-    near = exact_knn(u.where(~F.col("id").startswith("sim")), u, kk, drop_self=True)
+    near = all_knn(u, kk, query=~F.col("id").startswith("sim"))
     nd = near.groupBy("id").agg(F.count_if(F.col("neighbour").startswith("sim")).alias("nd"))
     score, se = closed_form_doublet(F.col("nd"), F.lit(float(kk)), rate, float(ratio))
     return nd.select(F.col("id").alias("cell"), score.alias("score"), se.alias("se"))

@@ -10,7 +10,7 @@ from locusmill.operators.dyadic import periods
 from locusmill.operators.forest import hierarchy, parent_of
 from locusmill.operators.rejects import parse_fragments
 from locusmill.operators.skewagg import heavy_keys, key_totals
-from locusmill.queries.registry import CLEAN_SQL, query
+from locusmill.queries.registry import CLEAN_SQL, SQL, query
 from locusmill.util import table
 
 CELL = ["sample_id", "barcode", "chrom"]
@@ -49,6 +49,12 @@ def p2_periods(spark, d):
     return cell_periods(spark, d)
 
 
+@query("p2_periods_tiled", SQL["p2_periods"])
+def p2_periods_tiled(spark, d):
+    """The same as p2_periods with a low bound for entities that are cut into tiles, so that the way for very large ones runs on every input."""
+    return periods(valid_fragments(table(spark, d, "fragments"), ()), CELL, hot_rows=200)
+
+
 _PARSED = r"""with l as (select line_id, sample_id, case when right(line, 1) = chr(13) then left(line, length(line) - 1) else line end as t from raw_fragments),
 r as (select *, regexp_extract_all(chr(9) || t, '\t("(?:[^"]|"")*"|[^"\t]*)', 1) as q,
   regexp_full_match(t, '(?:"(?:[^"]|"")*"|[^"\t]*)(?:\t(?:"(?:[^"]|"")*"|[^"\t]*))*') as quoted
@@ -95,7 +101,7 @@ def _own():
 
 @query("p6_found", _TREE + "select node_id, root_id, depth from t union all select id, root_id, -1 from lo")
 def p6_found(spark, d):
-    return hierarchy(table(spark, d, "annotation"), _own(), parent_of("parents"), paths=False).select("node_id", "root_id", "depth")
+    return hierarchy(table(spark, d, "annotation"), _own(), parent_of("parents"), paths=False, places=False).select("node_id", "root_id", "depth")
 
 
 @query(
@@ -106,7 +112,7 @@ select t.node_id, root_id, depth, array_to_string(path, '/') as path, size from
 )
 def p6_paths(spark, d):
     """Path and number of descendants (itself included) of every feature outside of loops."""
-    h = hierarchy(table(spark, d, "annotation"), _own(), parent_of("parents"))
+    h = hierarchy(table(spark, d, "annotation"), _own(), parent_of("parents"), places=False)
     return h.where("depth >= 0").select("node_id", "root_id", "depth", F.array_join("path", "/").alias("path"), "size")
 
 
@@ -115,10 +121,10 @@ def p6_paths(spark, d):
     _TREE + "select path[i] as node_id, node_id as descendant_id, cast(depth + 1 - i as int) as steps from (select *, unnest(range(1, depth + 1)) as i from t)",
 )
 def p6_descendants(spark, d):
-    """Every feature with each of its descendants, by unfolding every node's path; the preorder intervals aren't used for it."""
+    """Every feature with each of its descendants, looked up by its interval of preorder places."""
     from locusmill.operators.forest import descendants
 
-    return descendants(hierarchy(table(spark, d, "annotation"), _own(), parent_of("parents")))
+    return descendants(hierarchy(table(spark, d, "annotation"), _own(), parent_of("parents"), paths=False))
 
 
 _TOTALS = f"""with {CLEAN_SQL},

@@ -44,3 +44,50 @@ def test_match_background_ties_go_by_name(spark):
     fg, bg = [("a", 0.0), ("b", 0.0)], [(n, 0.0) for n in "qpor"] + [("far", 5.0)]
     got = L.match_background(*[spark.createDataFrame(x, "cell string, x double") for x in (fg, bg)], ["x"], 2).collect()
     assert sorted(map(tuple, got)) == [("a", "o", 1), ("a", "p", 2), ("b", "o", 1), ("b", "p", 2)]
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_match_unique_takes_turns(spark, k):
+    r = random.Random(k)
+    near = [(f"c{i:02}", b, j + 1) for i in range(40) for j, b in enumerate(r.sample([f"b{x}" for x in range(25)], k))]
+    used, want = set(), {}
+    for c in sorted({x[0] for x in near}):
+        for _, b, _ in sorted((x for x in near if x[0] == c), key=lambda x: x[2]):
+            if b not in used:
+                used.add(b)
+                want[c] = b
+                break
+    got = L.match_unique(spark.createDataFrame(near, "cell string, bg string, rank int")).collect()
+    assert {x.cell: x.bg for x in got} == want and len(got) == len(want)
+    both = spark.createDataFrame([(g, *x) for g in "uv" for x in near], "g string, cell string, bg string, rank int")
+    assert sorted((x.g, x.cell, x.bg) for x in L.match_unique(both, ["g"]).collect()) == sorted((g, c, b) for g in "uv" for c, b in want.items())
+
+
+def test_match_apart(spark):
+    rows = [("a", "g", 0.0), ("b", "g", 0.1), ("c", "h", 5.0), ("d", "h", 0.2), ("e", "i", 9.0)]
+    d = spark.createDataFrame(rows, "cell string, group string, x double")
+    got = {x.cell: x.bg for x in L.match_background(d, d, ["x"], apart="group", block=2).collect()}
+    assert got == {"a": "d", "b": "d", "c": "e", "d": "b", "e": "c"}
+
+
+def test_near_correlations(spark):
+    r = np.random.default_rng(1)
+    x = r.normal(size=(30, 12)) * (r.random((30, 12)) < 0.7)
+    x[3] = 2.0
+    names = [(f"f{i:02}", "chr1" if i % 3 else "chr2", int(i * 40)) for i in range(30)]
+    values = spark.createDataFrame([(f"f{i:02}", f"s{j}", float(x[i, j])) for i in range(30) for j in range(12) if x[i, j]], "feature string, sample string, value double")
+    at = spark.createDataFrame(names, "a string, chrom string, pos bigint")
+    got = {(q.a, q.b): q.correlation for q in L.near_correlations(values, values, at, at.withColumnRenamed("a", "b"), 12, 200).collect()}
+    want = {(a, b): np.corrcoef(x[i], x[j])[0, 1] for i, (a, c, p) in enumerate(names) for j, (b, e, q) in enumerate(names) if c == e and abs(p - q) <= 200 and 3 not in (i, j)}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
+
+
+def test_marker_features_of_all_cells(spark):
+    r = random.Random(0)
+    cells = [(f"c{i}", "ab"[i % 2]) for i in range(60)]
+    x = [(c, "up", 3) for c, g in cells if g == "a"] + [(c, f"n{k}", 1) for c, _ in cells for k in range(5) if r.random() < 0.5]
+    bias = spark.createDataFrame([(c, float(r.random())) for c, _ in cells], "cell string, depth double")
+    args = spark.createDataFrame(x, "cell string, feature string, value int"), spark.createDataFrame(cells, "cell string, group string")
+    for got in (L.marker_features(*args, max_cells=None), L.marker_features(*args, bias, max_cells=None), L.marker_features(*args, bias, replace=True)):
+        rows = {(q.group, q.feature): q for q in got.collect()}
+        assert rows["a", "up"].fdr < 1e-6 and rows["a", "up"].pct_fg == 1 and rows["a", "up"].pct_bg == 0 and rows["a", "n0"].fdr > 0.01
