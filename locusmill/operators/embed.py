@@ -11,19 +11,17 @@ from pyspark.sql import types as T
 
 from locusmill.operators.matrices import top_features, variable_features
 from locusmill.operators.stats import tf_idf, tf_logidf
-from locusmill.util import materialize, shuffle_width
+from locusmill.util import materialize, shuffle_width, small
 
-#: Features that a Gram matrix may have: it is summed by partitions and decomposed on the driver.
+#: Features that a Gram matrix may have: it is summed by partitions and decomposed on the driver. Wider matrices go by power iterations on a block of vectors.
 MOST_DIMS = 4000
 
 
 def _matrix_rows(x: DataFrame, row: str, col: str) -> tuple[DataFrame, list]:
-    """(rows (row, i, v) with column numbers and values, written; the columns in order) of a long matrix with at most MOST_DIMS columns."""
+    """(rows (row, i, v) with column numbers and values, written; the columns in order) of a long matrix."""
     spark = x.sparkSession
-    cols = [r[0] for r in x.select(col).distinct().orderBy(col).limit(MOST_DIMS + 1).collect()]
-    if len(cols) > MOST_DIMS:
-        raise ValueError(f"more than {MOST_DIMS} columns: select features first")
-    at = F.broadcast(spark.createDataFrame([(c, i) for i, c in enumerate(cols)], T.StructType([x.schema[col], T.StructField("_i", T.IntegerType())])))
+    cols = [r[0] for r in x.select(col).distinct().orderBy(col).collect()]
+    at = small(spark.createDataFrame([(c, i) for i, c in enumerate(cols)], T.StructType([x.schema[col], T.StructField("_i", T.IntegerType())])))
     rows = x.join(at, col).groupBy(row).agg(F.collect_list("_i").alias("i"), F.collect_list(F.col("value").cast("double")).alias("v"))
     return materialize(rows, "rows"), cols
 
@@ -62,15 +60,47 @@ def _gram(rows: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray, int]:
     return g, t, n
 
 
-def gram_svd(x: DataFrame, k: int, row: str = "cell", col: str = "feature") -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """Rank-k singular values of a long matrix with at most MOST_DIMS columns: (rows (row, vec = U), columns (col, v), s).
+def _power(rows: DataFrame, v: np.ndarray, block: int = 512) -> np.ndarray:
+    """The Gram matrix of the rows times v, without the matrix: each partition sums its rows' share, blocks of columns are added by tasks of their own."""
+    d, k = v.shape
 
-    The columns' Gram matrix is summed on the executors; the driver gets one matrix of columns by columns. Signs: the entry of greatest size of each column vector is positive.
+    def run(parts):
+        out, seen = np.zeros((d, k)), False
+        for p in parts:
+            for i, x in zip(p["i"], p["v"], strict=True):
+                x = np.asarray(x)
+                out[i] += np.outer(x, x @ v[i])
+                seen = True
+        if seen:
+            yield pd.DataFrame({"b": np.arange(0, d, block) // block, "g": [out[lo : lo + block].ravel() for lo in range(0, d, block)]})
+
+    def add(p):
+        return pd.DataFrame({"b": p["b"].iloc[:1], "g": [np.sum(p["g"].to_list(), axis=0)]})
+
+    kind, out = "b int, g array<double>", np.zeros((d, k))
+    for r in rows.select("i", "v").coalesce(shuffle_width(rows.sparkSession)).mapInPandas(run, kind).groupBy("b").applyInPandas(add, kind).toLocalIterator():
+        out[r.b * block : r.b * block + block] = np.reshape(r.g, (-1, k))
+    return out
+
+
+def gram_svd(x: DataFrame, k: int, row: str = "cell", col: str = "feature", most_dims: int = MOST_DIMS, rounds: int = 6, seed: int = 1) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Rank-k singular values of a long matrix: (rows (row, vec = U), columns (col, v), s).
+
+    Up to most_dims columns the columns' Gram matrix is summed on the executors, and the driver gets one matrix of columns by columns. A wider matrix goes through `rounds` power
+    iterations of k + 10 seeded vectors, of which the driver holds one value for each column; singular values that lie close together are then less exact. Signs: the entry of greatest
+    size of each column vector is positive.
     """
     spark = x.sparkSession
     rows, cols = _matrix_rows(x, row, col)
     d = len(cols)
-    w, v = np.linalg.eigh(_gram(rows, d)[0])
+    if d <= most_dims:
+        w, v = np.linalg.eigh(_gram(rows, d)[0])
+    else:
+        v = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, min(d, k + 10))))[0]
+        for _ in range(rounds):
+            v = np.linalg.qr(_power(rows, v))[0]
+        w, e = np.linalg.eigh(v.T @ _power(rows, v))
+        v = v @ e
     o = np.argsort(-w)[: min(k, d)]
     s = np.sqrt(np.maximum(w[o], 0))
     v = v[:, o]

@@ -62,10 +62,16 @@ def point_join(points: DataFrame, right: DataFrame, pos: str = "pos", prefix: st
     return points.join(small(r), on).drop("_rb")
 
 
-def last_started(right: DataFrame) -> DataFrame:
-    """Intervals trimmed to where they are the last to have started on their chromosome: a point lies in at most one of them, its as-of partner if that still covers it."""
-    nxt = F.lead("start").over(W.partitionBy("chrom").orderBy("start", "end"))
-    return right.withColumn("end", F.least("end", F.coalesce(nxt, F.col("end")))).where(F.col("start") < F.col("end"))
+def last_started(right: DataFrame, bits: int = 20) -> DataFrame:
+    """Intervals trimmed to where they are the last to have started on their chromosome: a point lies in at most one of them, its as-of partner if that still covers it.
+
+    The next start is looked for within bins of starts first, then among the bins' first ones, so no task sees a chromosome's intervals.
+    """
+    r = right.withColumn("_sb", F.shiftright("start", bits))
+    inside = F.lead("start").over(W.partitionBy("chrom", "_sb").orderBy("start", "end"))
+    heads = r.groupBy("chrom", "_sb").agg(F.min("start").alias("_next")).withColumn("_next", F.lead("_next").over(W.partitionBy("chrom").orderBy("_sb")))
+    r = r.withColumn("_in", inside).join(heads, ["chrom", "_sb"]).withColumn("end", F.least("end", F.coalesce("_in", "_next", "end")))
+    return r.select(*right.columns).where(F.col("start") < F.col("end"))
 
 
 def asof_join(points: DataFrame, right: DataFrame, pos: str = "pos", prefix: str = "r_") -> DataFrame:

@@ -225,19 +225,81 @@ def background_peaks(stats: DataFrame, n: int = 50, bins: int = 25, seed: int =
     return d.join(g.withColumnRenamed("feature", "peer"), ["x", "y", "no"]).select("feature", "iteration", "peer")
 
 
-def deviations(x: DataFrame, motifs: DataFrame, peers: DataFrame) -> DataFrame:
+#: Rows of (feature, iteration, peer) and of (motif, feature) up to which every task gets them as index arrays.
+INDEX_ROWS = 5_000_000
+
+
+def deviations(x: DataFrame, motifs: DataFrame, peers: DataFrame, index_rows: int = INDEX_ROWS) -> DataFrame:
     """(cell, motif, dev, z): a cell's counts in a motif's peaks against what its depth and the peaks' shares predict, and that scaled by the same of peer peaks.
 
     x: (cell, feature, value); motifs: (motif, feature); peers: (feature, iteration, peer). Expected E = sum of the peaks' shares of all counts times the cell's
     total; dev = (observed - E) / E; z uses the mean and sample deviation of the peers' summed counts, peak by peak, taken as independent. z is NULL where E or the deviation is 0.
+
+    With up to index_rows rows of peers and of motifs (counted), a cell's counts are gathered once and go through index arrays; beyond that everything is joined by shuffles. Both give the same.
     """
     x = materialize(x.select("cell", "feature", "value"), "x")
+    n = peers.agg(F.count_distinct("iteration")).first()[0]
+    few = lambda d: d.limit(index_rows + 1).count() <= index_rows
+    return (_indexed_deviations if few(peers) and few(motifs) else _joined_deviations)(x, motifs, peers, n)
+
+
+def _indexed_deviations(x: DataFrame, motifs: DataFrame, peers: DataFrame, n: int) -> DataFrame:
+    """Each cell's row is one array; sums over peers go from each peer that has counts to the features that it stands for, and sums over a motif's features follow."""
+    kind = x.schema["cell"].dataType.simpleString()
+    total = x.agg(F.sum("value").alias("t")).first().t
+    named = motifs.join(x.select("feature").distinct(), "feature", "left_semi").select("motif").distinct()
+    m, p = motifs.join(named, "motif").select("motif", "feature").toPandas(), peers.select("feature", "peer").toPandas()
+    names = pd.unique(pd.concat([m["feature"], p["feature"], p["peer"]]))
+    at = pd.Series(np.arange(len(names)), names)
+    motif_names, motif_of = np.unique(m["motif"].to_numpy(), return_inverse=True) if len(m) else (np.zeros(0, object), np.zeros(0, np.int64))
+    order = np.argsort(motif_of, kind="stable")
+    member = at[m["feature"]].to_numpy()[order]
+    first = np.searchsorted(motif_of[order], np.arange(len(motif_names)))
+    stands = np.argsort(at[p["peer"]].to_numpy(), kind="stable")
+    stands_for, of_peer = at[p["feature"]].to_numpy()[stands].astype(np.int32), at[p["peer"]].to_numpy()[stands]
+    lo, hi = np.searchsorted(of_peer, np.arange(len(names))), np.searchsorted(of_peer, np.arange(len(names)), side="right")
+    # places of the features in the index, as a table that is joined, so that names aren't looked up row by row in Python
+    place = x.sparkSession.createDataFrame(pd.DataFrame({"feature": names, "_i": np.arange(len(names), dtype=np.int32)}), f"feature {x.schema['feature'].dataType.simpleString()}, _i int")
+    cells = x.join(F.broadcast(place), "feature", "left").groupBy("cell").agg(F.sum("value").cast("double").alias("depth"), F.collect_list(F.when(F.col("_i").isNotNull(), F.struct("_i", F.col("value").cast("double").alias("v")))).alias("x"))
+    share = np.zeros(len(names))
+    for r in x.join(F.broadcast(place), "feature").groupBy("_i").agg((F.sum("value") / total).alias("share")).toLocalIterator():
+        share[r._i] = r.share
+    size = len(names)
+    expected = np.add.reduceat(share[member], first) if len(first) else np.zeros(0)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows or not len(first):
+                continue
+            col = b.column(2)
+            cuts, flat = col.offsets.to_numpy(), col.flatten()
+            idx, val = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            depth = b.column(1).to_numpy()
+            dev, z = np.empty((b.num_rows, len(first))), np.empty((b.num_rows, len(first)))
+            for i in range(b.num_rows):
+                k, v = idx[cuts[i] - cuts[0] : cuts[i + 1] - cuts[0]], val[cuts[i] - cuts[0] : cuts[i + 1] - cuts[0]]
+                own = np.bincount(k, v, size)
+                count = hi[k] - lo[k]
+                to = stands_for[np.repeat(lo[k] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+                w = np.repeat(v, count)
+                s, ss = np.bincount(to, w, size), np.bincount(to, w * w, size)
+                obs, mu, var = (np.add.reduceat(a[member], first) for a in (own, s / n, (ss - s * s / n) / max(1, n - 1)))
+                e = expected * depth[i]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    dev[i] = np.where(e > 0, (obs - e) / e, np.nan)
+                    z[i] = np.where((e > 0) & (var > 0), (obs - mu) / np.sqrt(var), np.nan)
+            rows = pa.array(np.repeat(np.arange(b.num_rows), len(first)))
+            yield pa.RecordBatch.from_pydict({"cell": b.column(0).take(rows), "motif": pa.array(np.tile(motif_names, b.num_rows), pa.string()), "dev": pa.array(dev.ravel(), from_pandas=True), "z": pa.array(z.ravel(), from_pandas=True)})
+
+    return cells.mapInArrow(run, f"cell {kind}, motif string, dev double, z double")
+
+
+def _joined_deviations(x: DataFrame, motifs: DataFrame, peers: DataFrame, n: int) -> DataFrame:
     total = x.agg(F.sum("value").alias("t")).first().t
     share = x.groupBy("feature").agg((F.sum("value") / total).alias("share"))
     depth = x.groupBy("cell").agg(F.sum("value").alias("depth"))
     per_motif = motifs.join(share, "feature").groupBy("motif").agg(F.sum("share").alias("share"))
     obs = motifs.join(x, "feature").groupBy("motif", "cell").agg(F.sum("value").alias("obs"))
-    n = peers.agg(F.count_distinct("iteration")).first()[0]
     # peers' counts per (peak, cell); peers without counts are zeros
     p = peers.join(x.withColumnRenamed("feature", "peer"), "peer").groupBy("feature", "cell").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
     p = p.select("feature", "cell", (F.col("s") / n).alias("mu"), ((F.col("ss") - F.col("s") * F.col("s") / n) / max(1, n - 1)).alias("var"))

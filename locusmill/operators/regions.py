@@ -10,6 +10,9 @@ from locusmill.operators.dyadic import periods
 from locusmill.operators.intervals import overlap_join
 
 
+#: Distances between sets that `cluster_names` takes to the driver.
+MOST_PAIRS = 1_000_000
+
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -161,8 +164,10 @@ def overlap_distance(totals: DataFrame) -> DataFrame:
 
 
 def cluster_names(distances: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(name, cluster, representative): average-linkage clusters of names (a few hundred sets, on the driver), cut at the threshold."""
-    rows = distances.collect()
+    """(name, cluster, representative): average-linkage clusters of names, cut at the threshold. It runs on the driver and is meant for a few hundred sets; more than MOST_PAIRS distances are refused."""
+    rows = distances.limit(MOST_PAIRS + 1).collect()
+    if len(rows) > MOST_PAIRS:
+        raise ValueError(f"more than {MOST_PAIRS} distances between sets: linkage on the driver is for a few hundred sets")
     names = sorted({x for r in rows for x in (r.name, r.other)})
     d = {(r.name, r.other): r.distance for r in rows}
     groups = [[n] for n in names]

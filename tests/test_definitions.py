@@ -59,6 +59,23 @@ def test_rank_within_large_groups(spark):
     assert ST.rank_within(d.limit(0), ["g"], ["v"]).count() == 0
 
 
+def test_singular_values_of_wide_matrices(spark):
+    r = np.random.default_rng(8)
+    # four blocks of columns, each with one direction, so that the singular values lie apart
+    own = np.kron(np.eye(4), r.normal(size=(1, 175)))
+    m = (r.normal(size=(60, 4)) * [20, 9, 5, 1] * (r.random((60, 4)) < 0.6)) @ own
+    m[m != 0] += r.normal(size=(m != 0).sum()) * 0.01
+    x = spark.createDataFrame([(f"c{i}", f"f{j:03}", float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "cell string, feature string, value double")
+    u, s, vt = np.linalg.svd(m, full_matrices=False)
+    for most in (4000, 100):
+        gu, gv, gs = E.gram_svd(x, 3, most_dims=most)
+        assert gs == pytest.approx(s[:3], rel=1e-6)
+        rows, cols = {q.cell: q.vec for q in gu.collect()}, {q.feature: q.v for q in gv.collect()}
+        a, b = np.array([rows[f"c{i}"] for i in range(60)]), np.array([cols[f"f{j:03}"] for j in range(700)])
+        assert np.abs(np.sum(a * u[:, :3], 0)) == pytest.approx(1, abs=1e-5) and np.abs(np.sum(b * vt[:3].T, 0)) == pytest.approx(1, abs=1e-5)
+        assert (a * gs) @ b.T == pytest.approx((u[:, :3] * s[:3]) @ vt[:3], abs=1e-2)
+
+
 def test_student_probabilities_at_once():
     t = np.array([0.0, 0.3, -1.2, 2.5, 9.0, -40.0, np.inf, np.nan])
     for df in (1, 3, 10, 250):

@@ -91,3 +91,15 @@ def test_marker_features_of_all_cells(spark):
     for got in (L.marker_features(*args, max_cells=None), L.marker_features(*args, bias, max_cells=None), L.marker_features(*args, bias, replace=True)):
         rows = {(q.group, q.feature): q for q in got.collect()}
         assert rows["a", "up"].fdr < 1e-6 and rows["a", "up"].pct_fg == 1 and rows["a", "up"].pct_bg == 0 and rows["a", "n0"].fdr > 0.01
+
+
+def test_deviations_by_index_and_by_joins_agree(spark):
+    r = random.Random(5)
+    x = [(f"c{i}", f"f{k}", r.randrange(1, 4)) for i in range(15) for k in range(30) if r.random() < 0.3] + [("lone", "outside", 2)]
+    motifs = [(f"m{k % 4}", f"f{k}") for k in range(30)] + [("m0", "f1"), ("absent", "never")]
+    peers = [(f"f{k}", i, f"f{r.randrange(30)}") for k in range(30) for i in range(6)]
+    args = [spark.createDataFrame(d, t) for d, t in ((x, "cell string, feature string, value int"), (motifs, "motif string, feature string"), (peers, "feature string, iteration int, peer string"))]
+    one, two = ({(q.cell, q.motif): (q.dev, q.z) for q in L.deviations(*args, index_rows=k).collect()} for k in (1000, 10))
+    assert set(one) == set(two) and len(one) == 16 * 4
+    for k, v in one.items():
+        assert [a is None for a in v] == [a is None for a in two[k]] and [a for a in v if a is not None] == pytest.approx([a for a in two[k] if a is not None])
