@@ -283,7 +283,7 @@ def tmm_factors(x: DataFrame, logratio_trim: float = 0.3, sum_trim: float = 0.05
     """
     lib = {r["sample"]: r["lib"] or 0 for r in x.groupBy("sample").agg(F.sum("value").alias("lib")).orderBy("sample").collect()}
     spark = x.sparkSession
-    libs = F.broadcast(spark.createDataFrame([(k, float(v)) for k, v in lib.items()], "sample string, lib double"))
+    libs = F.broadcast(spark.createDataFrame([(k, float(v)) for k, v in lib.items()], f"sample {x.schema['sample'].dataType.simpleString()}, lib double"))
     if sum(v > 0 for v in lib.values()) < 2:
         return libs.select("sample", F.lit(1.0).alias("factor"))
     grid = x.select("feature").distinct().select("feature", F.explode(F.array(*map(F.lit, lib))).alias("sample"))
