@@ -1,12 +1,13 @@
-"""Nearest neighbours of every vector: a navigable small-world graph with layers for each shard, shard results merged.
+"""Nearest neighbours of every vector: vectors in shards, each searched by a scan or by a navigable small-world graph with layers, shard results merged.
 
 Vectors belong to the cell of their nearest centroid (fitted on a bounded sample; every vector is indexed), neighbouring cells make a shard of bounded size. A cell
 of more vectors than a shard takes gets finer centroids, and what these can't divide (equal vectors) is split by a hash. What other cells ask of a shard is counted,
-and the shard's graph is copied once for each bounded part of that, so the bytes moved grow with the vectors and not with their square.
-A shard's graph is built in growing batches: candidates come from a beam search over the graph so far and from within the batch, and each node keeps
-neighbours in different directions. Layers are flat int32 arrays, -1 where a node has fewer neighbours. All queries of a batch advance through the graph
-in lock-step, as array operations. Each vector is searched in its own shard first; other shards follow only where the distance between
-the query and one of the shard's cells can be below that of its k-th neighbour so far.
+and the shard is copied once for each bounded part of that, so the bytes moved grow with the vectors and not with their square.
+Each vector gets its neighbours in its own shard first; other shards follow only where the distance between the query and one of the shard's cells can be below that
+of its k-th neighbour so far, and of these the ASKED_MOST most likely ones, so the work for a vector doesn't grow with the number of shards.
+A shard of up to SCAN_ROWS vectors is scanned by matrix products, which is exact and takes less time there than walking a graph. Beyond that a graph is built in
+growing batches: candidates come from a beam search over the graph so far and from within the batch, and each node keeps neighbours in different directions.
+Layers are flat int32 arrays, -1 where a node has fewer neighbours. All queries of a batch advance through the graph in lock-step, as array operations.
 """
 
 from __future__ import annotations
@@ -24,9 +25,13 @@ from locusmill.util import free as free_tables
 
 #: Vectors of a shard (twice as many at most), vectors of a cell, most cells before large ones are refined, vectors in the sample that the cells' centroids are fitted on.
 SHARD_ROWS, CELL_ROWS, MOST_CELLS, SAMPLE_ROWS = 4096, 16, 4096, 20_000
-#: Vectors in the sample of each centroid of a refined cell, times that large cells are refined, and rows asked of one copy of a shard's graph, in shards.
+#: Vectors in the sample of each centroid of a refined cell, times that large cells are refined, and rows asked of one copy of a shard, in shards.
 FINE_ROWS, REFINED, ASKED_SHARDS = 64, 2, 8
 LINKS, EF_BUILD, EF_SEARCH = 16, 64, 48
+#: Other shards that a vector asks at most, and vectors up to which a shard is scanned.
+ASKED_MOST, SCAN_ROWS = 8, 16_384
+#: The share of neighbours across a cell's border that the looked-for distance to that border covers, and how many have to be known for that.
+CROSSED, CROSSED_ROWS = 0.998, 20_000
 
 
 def _sq(x: np.ndarray, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -85,23 +90,70 @@ def _exact(x: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
     ids, ds = np.full((len(at), max(k, 0)), -1, np.int64), np.full((len(at), max(k, 0)), np.inf, np.float32)
     if k < 1:
         return ids, ds
-    for lo in range(0, len(at), 1024):
-        b = y[lo : lo + 1024]
-        d = nn[lo : lo + 1024, None] + nn[None] - 2 * b @ y.T
+    step = max(64, min(1024, 1_000_000 // len(at)))  # small blocks stay in the processor's cache
+    for lo in range(0, len(at), step):
+        b = y[lo : lo + step]
+        d = b @ (-2 * y.T)
+        d += nn[None]
+        d += nn[lo : lo + step, None]
         d[np.arange(len(b)), np.arange(lo, lo + len(b))] = np.inf
         o = np.argpartition(d, k - 1, axis=1)[:, :k]
         v = np.take_along_axis(d, o, 1)
         o2 = np.argsort(v, axis=1, kind="stable")
-        ids[lo : lo + 1024] = at[np.take_along_axis(o, o2, 1)]
-        ds[lo : lo + 1024] = np.maximum(np.take_along_axis(v, o2, 1), 0)
+        ids[lo : lo + step] = at[np.take_along_axis(o, o2, 1)]
+        ds[lo : lo + step] = np.maximum(np.take_along_axis(v, o2, 1), 0)
     return ids, ds
 
 
+def _neighbours(x: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of x its k nearest others: (row numbers, squared distances), -1 and inf where there are fewer."""
+    n = len(x)
+    at, d = np.full((n, k), -1, np.int64), np.full((n, k), np.inf, np.float32)
+    if n > SCAN_ROWS:
+        ids, dd = Graph.build(x).search(x, k + 1, ef)
+        dd[ids == np.arange(n)[:, None]] = np.inf
+    else:
+        ids, dd = _exact(x, np.arange(n), k + 4)
+    for lo in range(0, n, 512):  # distances from differences, since those from products are inexact for nearly equal vectors
+        i = np.where(np.isinf(dd[lo : lo + 512]), -1, ids[lo : lo + 512])
+        v = _sq(x, i, x[lo : lo + 512])
+        o = np.argsort(v, axis=1, kind="stable")[:, :k]
+        v, i = np.take_along_axis(v, o, 1), np.take_along_axis(i, o, 1)
+        at[lo : lo + 512, : o.shape[1]], d[lo : lo + 512, : o.shape[1]] = np.where(np.isinf(v), -1, i), v
+    return at, d
+
+
+def _nearer(x: np.ndarray, q: np.ndarray, k: int, kth: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of q, row numbers, squared distances): the rows of x at most kth from each row of q, the k nearest of them; rows of q without any are left out."""
+    upto = np.square(kth) * (1 + 1e-5) + 1e-12
+    if len(x) > SCAN_ROWS:
+        at, d = Graph.build(x).search(q, k, ef)
+        some = np.flatnonzero((d <= upto[:, None]).any(1))
+        return some, np.where(d[some] <= upto[some, None], at[some], -1), d[some]
+    xx, minus, step = np.square(x).sum(1), -2 * x.T, max(64, 1_000_000 // len(x))
+    k, out = min(k, len(x)), []
+    for lo in range(0, len(q), step):
+        y = q[lo : lo + step]
+        d = y @ minus
+        d += xx[None]
+        yy = np.square(y).sum(1)
+        # a little more than upto, since products are inexact
+        some = np.flatnonzero(d.min(1) <= upto[lo : lo + step] * 1.001 + 1e-4 * yy - yy)
+        i = np.argpartition(d[some], min(k + 3, len(x) - 1), axis=1)[:, : k + 4]
+        v = _sq(x, i, y[some])
+        o = np.argsort(v, axis=1, kind="stable")[:, :k]
+        i, v = np.take_along_axis(i, o, 1), np.take_along_axis(v, o, 1)
+        ok = v <= upto[lo + some, None]
+        any_ = ok.any(1)
+        out.append((lo + some[any_], np.where(ok, i, -1)[any_], v[any_]))
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True))
+
+
 def _beam(x: np.ndarray, nbr: np.ndarray, q: np.ndarray, entry: np.ndarray, ef: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Lock-step beam search of a layer: (ids, squared distances), each (queries, ef), sorted. entry: ids (queries, e), -1 padded."""
     n, total = len(q), len(nbr)
     ids_out, d_out = np.full((n, ef), -1, np.int64), np.full((n, ef), np.inf, np.float32)
-    step = max(64, min(2048, 48_000_000 // max(total, 1)))
+    step = max(64, min(256, 48_000_000 // max(total, 1)))  # small steps stay in the processor's cache
     for lo in range(0, n, step):
         qq = q[lo : lo + step]
         m = len(qq)
@@ -331,14 +383,64 @@ def _divide(cen: np.ndarray, size: np.ndarray, groups: list[np.ndarray], most: i
 def _nearest_cell(x: np.ndarray, cen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(cell, distance to its centroid) of each row of x."""
     cell, off, cc = np.zeros(len(x), np.int32), np.zeros(len(x)), (cen * cen).sum(1)
-    step = max(16, 4_000_000 // len(cen))
+    step, minus = max(16, 1_000_000 // len(cen)), -2 * cen.T
     for lo in range(0, len(x), step):
         y = x[lo : lo + step]
-        c = (cc[None] - 2 * y @ cen.T).argmin(1)
+        d = y @ minus
+        d += cc[None]
+        c = d.argmin(1)
         cell[lo : lo + step], off[lo : lo + step] = c, np.linalg.norm(y - cen[c], axis=1)
     return cell, off
 
 
+def _apart(cen: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances between the centroids a (rows) and b (columns)."""
+    cc = (cen * cen).sum(1)
+    return np.sqrt(np.maximum(cc[a][:, None] + cc[b][None] - 2 * cen[a] @ cen[b].T, 1e-12))
+
+
+def _crossings(x: np.ndarray, cell: np.ndarray, at: np.ndarray, kth: np.ndarray, cen: np.ndarray) -> np.ndarray:
+    """Of the neighbours (rows of x, -1 padded) that lie in other cells: how many have the plane between the two cells at each hundredth of kth from the vector."""
+    cells, of = np.unique(cell, return_inverse=True)
+    d2 = np.square(x).sum(1)[:, None] + np.square(cen[cells]).sum(1)[None] - 2 * x @ cen[cells].T
+    row, j = np.nonzero((at >= 0) & (of[at] != of[:, None]) & ((kth > 0) & np.isfinite(kth))[:, None])
+    other = of[at[row, j]]
+    part = (d2[row, other] - d2[row, of[row]]) / (2 * _apart(cen, cells, cells)[of[row], other] * kth[row])
+    return np.bincount(np.clip(np.ceil(part * 100), 0, 100).astype(np.int64), minlength=101)
+
+
+def _within(x: np.ndarray, cell: np.ndarray, kth: np.ndarray, cen: np.ndarray, radius: np.ndarray, group: np.ndarray, most: int, slack: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """(row of x, group): of each row's groups of cells that may have a vector nearer than kth, its own left out, the `most` most likely ones.
+
+    A vector of another cell is behind the plane between the two centroids and within its cell's radius. The smaller that plane's distance in parts of kth, the
+    likelier; beyond `slack` parts nothing is looked for. A row without k neighbours so far (infinite kth) asks as many groups as there are.
+    """
+    o = np.argsort(group, kind="stable")  # the cells of a group stand together
+    cen_o, radius_o, first = cen[o], radius[o].astype(np.float32), np.searchsorted(group[o], np.arange(int(group.max()) + 1))
+    cc, minus, out = (cen_o * cen_o).sum(1), -2 * cen_o.T, [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    step = max(16, 500_000 // len(cen))
+    for lo in range(0, len(x), step):
+        y, c, far = x[lo : lo + step], cell[lo : lo + step], kth[lo : lo + step].astype(np.float32)
+        yy = np.square(y).sum(1)
+        cells, of = np.unique(c, return_inverse=True)
+        half = 0.5 / _apart(cen, cells, o)
+        plane = y @ minus
+        plane += cc[None]
+        beyond = plane >= np.square((radius_o[None] + far[:, None]) * np.float32(1 + 1e-5)) - yy[:, None]
+        plane -= (np.square(y - cen[c]).sum(1) - yy)[:, None]
+        plane *= half[of]
+        plane[beyond] = np.inf
+        near = np.minimum.reduceat(plane, first, axis=1)
+        near[np.arange(len(y)), group[c]] = np.inf
+        ok = near < np.float32(slack) * far[:, None]
+        many = np.flatnonzero((ok.sum(1) > most) & np.isfinite(far))
+        if len(many):
+            ok[many] &= near[many] <= np.partition(near[many], most - 1, axis=1)[:, most - 1 : most]
+        row, to = np.nonzero(ok)
+        out.append((row + lo, to))
+    return np.concatenate([r for r, _ in out]), np.concatenate([t for _, t in out])
+
+
 def _finer(placed: DataFrame, big: dict[int, int], most: int) -> np.ndarray:
     """Centroids for the cells `big` (cell -> vectors), two for each shard that a cell will make, fitted within each cell on FINE_ROWS vectors a centroid."""
     share = F.broadcast(placed.sparkSession.createDataFrame([(c, -(-2 * n // most), max(1, most // (2 * FINE_ROWS))) for c, n in big.items()], "cell int, _c int, _m int"))
@@ -353,16 +455,17 @@ def _finer(placed: DataFrame, big: dict[int, int], most: int) -> np.ndarray:
 
 
 def copies(asked: dict[int, int], shard_rows: int) -> dict[int, int]:
-    """Copies of each asked shard's graph: one for each ASKED_SHARDS * shard_rows rows or part of that, so at most one for each shard and one for each so many rows asked."""
+    """Copies of each asked shard: one for each ASKED_SHARDS * shard_rows rows or part of that, so at most one for each shard and one for each so many rows asked."""
     return {shard: -(-n // (ASKED_SHARDS * shard_rows)) for shard, n in asked.items() if n > 0}
 
 
-def knn(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, ef: int = EF_SEARCH, sample_rows: int = SAMPLE_ROWS, reach: float | None = None, most_cells: int = MOST_CELLS) -> DataFrame:
+def knn(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, ef: int = EF_SEARCH, sample_rows: int = SAMPLE_ROWS, reach: float | None = None, most_cells: int = MOST_CELLS, most_asked: int = ASKED_MOST) -> DataFrame:
     """(id, neighbour, distance): the k nearest other vectors (Euclidean) of every row of (id, vec), nearest first within an id; ids are unique, vectors equally long.
 
-    Approximate: the graphs find nearly all neighbours, see the README for the recall measured. Equal distances are ordered by id. With no more than k other vectors
+    Approximate: nearly all neighbours are found, see the README for the recall measured. Equal distances are ordered by id. With no more than k other vectors
     all come out; an empty table gives no rows. Equal vectors, however many, are split into shards of bounded size. With `reach` only neighbours at most that far
-    away are wanted. The driver holds the cells' centroids: some thousand, and beyond that two for each 2 * shard_rows vectors.
+    away are wanted. A vector with k neighbours in its shard (or with `reach`) asks at most `most_asked` other shards. The driver holds the cells' centroids: up to
+    most_cells, and beyond that two for each 2 * shard_rows vectors.
     """
     spark = vectors.sparkSession
     kind = vectors.schema["id"].dataType.simpleString()
@@ -388,8 +491,9 @@ def knn(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, ef: int = EF_S
         placed = vectors.mapInArrow(assign, f"id {kind}, vec array<float>, cell int, off double")
         placed = materialize(placed, "placed") if len(cen) > 1 else placed
         radius, size = np.zeros(len(cen), np.float32), np.zeros(len(cen), np.int64)
-        for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("off").alias("r")).collect():
-            radius[r.cell], size[r.cell] = r.r, r["n"]
+        t = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("off").alias("r")).toArrow()
+        at = t.column("cell").to_numpy()
+        radius[at], size[at] = t.column("r").to_numpy(), t.column("n").to_numpy()
         return placed, radius, size
 
     placed, radius, size = place(cen)
@@ -405,81 +509,77 @@ def knn(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, ef: int = EF_S
     groups = int(group.max()) + 1
     pieces = np.maximum(1, -(-np.bincount(group, size, groups).astype(np.int64) // most))
     first = np.r_[0, np.cumsum(pieces)[:-1]]
-    split = F.broadcast(spark.createDataFrame([(i, int(first[g]), int(pieces[g])) for i, g in enumerate(group)], "cell int, _first int, _pieces int"))
+    split = pa.table({"cell": np.arange(len(group), dtype=np.int32), "_first": first[group].astype(np.int32), "_pieces": pieces[group].astype(np.int32)})
+    split = F.broadcast(spark.createDataFrame(split))
     placed = placed.join(split, "cell").select("id", "vec", "cell", (F.col("_first") + F.pmod(F.xxhash64("id"), F.col("_pieces"))).cast("int").alias("shard"))
     placed = materialize(placed, "placed")
     free_tables(since, placed)
     shards = int(pieces.sum())
 
-    def build(t: pa.Table) -> pa.Table:
-        g = Graph.build(matrix(t.column("vec")))
-        f = io.BytesIO()
-        with pa.ipc.new_stream(f, pa.schema([t.schema.field("id")])) as w:
-            w.write_table(t.select(["id"]))
-        return pa.table({"shard": t.column("shard").slice(0, 1), "graph": pa.array([g.dump()], pa.binary()), "ids": pa.array([f.getvalue()], pa.binary())})
-
-    graphs = materialize(placed.repartition(shards, "shard").groupBy("shard").applyInArrow(build, "shard int, graph binary, ids binary"), "graphs")
-
-    def look(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = left.select(["id", "vec", "cell", "shard"])
-        q = matrix(left.column("vec"))
-        if not len(q) or not right.num_rows:
-            return own.slice(0, 0).append_column("near", pa.array([], near))
-        g = Graph.load(right.column("graph")[0].as_py())
-        ids = pa.ipc.open_stream(right.column("ids")[0].as_py()).read_all().column("id").combine_chunks()
-        at, d = g.search(q, k + 1, ef)
-        ok = at >= 0
-        if reach is not None:
-            ok &= d <= reach * reach * 1.0001
-        flat = ids.take(pa.array(at[ok]))
-        offsets = np.r_[0, np.cumsum(ok.sum(1))].astype(np.int32)
-        items = pa.StructArray.from_arrays([pa.array(np.sqrt(d[ok]).astype(np.float64)), flat], names=["d", "id"])
-        return own.append_column("near", pa.ListArray.from_arrays(pa.array(offsets), items))
-
     near = pa.list_(pa.struct([("d", pa.float64()), ("id", _arrow(kind))]))
-    found = f"id {kind}, vec array<float>, cell int, shard int, near array<struct<d: double, id: {kind}>>"
-    others = F.filter("near", lambda x: x["id"] != F.col("id")).alias("near")
-    home = placed.groupBy("shard").cogroup(graphs.groupBy("shard")).applyInArrow(look, found).select("id", "vec", "cell", "shard", others)
+    found = f"id {kind}, near array<struct<d: double, id: {kind}>>"
+
+    def lists(at: np.ndarray, d: np.ndarray, ok: np.ndarray, ids: pa.Array) -> pa.Array:
+        items = pa.StructArray.from_arrays([pa.array(np.sqrt(d[ok]).astype(np.float64)), ids.take(pa.array(at[ok]))], names=["d", "id"])
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(ok.sum(1))].astype(np.int32)), items)
+
+    def near_enough(at: np.ndarray, d: np.ndarray) -> np.ndarray:
+        return at >= 0 if reach is None else (at >= 0) & (d <= reach * reach * 1.0001)
+
+    def build(t: pa.Table) -> pa.Table:
+        """The shard's rows with their neighbours in it, and one row without an id that has the crossings as its vector."""
+        x, cell = matrix(t.column("vec")), t.column("cell").to_numpy()
+        at, d = _neighbours(x, k, ef)
+        rows = t.select(["id", "vec", "cell", "shard"]).append_column("near", lists(at, d, near_enough(at, d), t.column("id").combine_chunks()))
+        if shards == 1:
+            return rows
+        crossed = _crossings(x, cell, at, np.sqrt(d[:, -1]), cen).astype(np.float32)
+        last = [pa.array([crossed], pa.list_(pa.float32())).cast(c.type) if c.name == "vec" else pa.nulls(1, c.type) for c in rows.schema]
+        return pa.concat_tables([rows, pa.table(last, schema=rows.schema)])
+
+    built = placed.repartition(shards, "shard").groupBy("shard").applyInArrow(build, f"id {kind}, vec array<float>, cell int, shard int, near array<struct<d: double, id: {kind}>>")
     if shards == 1:
-        merged = home.select("id", "near")
+        merged = built.select("id", "near")
     else:
-        home = materialize(home, "home")
+        built = materialize(built, "built")
+        free_tables(since, built)
+        crossed = np.cumsum(matrix(built.where(F.col("id").isNull()).select("vec").toArrow().column("vec")).sum(0, dtype=np.float64))
+        # neighbours that the shards hold in other cells show how far beyond a plane neighbours lie: in many dimensions hardly any is near the end of its reach
+        slack = min(1.0, float(np.searchsorted(crossed, CROSSED * crossed[-1])) / 100) if crossed[-1] >= CROSSED_ROWS else 1.0
         farthest = float("inf") if reach is None else float(reach)
+        kth = F.when(F.size("near") >= k, F.least(F.element_at("near", k)["d"], F.lit(farthest))).otherwise(F.lit(farthest)).cast("double").alias("kth")
+        home = built.where(F.col("id").isNotNull()).select("id", "vec", "cell", "shard", "near", kth)
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cc = (cen * cen).sum(1)
-            step = max(16, 4_000_000 // len(cen))
             for b in batches:
-                for lo in range(0, b.num_rows, step):
-                    p = b.slice(lo, step)
-                    x, cell, shard = matrix(p.column(1)), p.column(2).to_numpy(), p.column(3).to_numpy()
-                    kth = p.column(4).to_numpy(zero_copy_only=False)[:, None]
-                    d2 = np.maximum((x * x).sum(1)[:, None] + cc[None] - 2 * x @ cen.T, 0)
-                    cells, of = np.unique(cell, return_inverse=True)
-                    between = np.sqrt(np.maximum(cc[cells][:, None] + cc[None] - 2 * cen[cells] @ cen.T, 1e-12))
-                    # a vector of another cell is behind the plane between the two centroids and within its cell's radius
-                    may = (d2 - d2[np.arange(len(x)), cell][:, None]) < 2 * kth * between[of]
-                    may &= np.sqrt(d2) - radius[None] < kth
-                    row, to = np.nonzero(may)
-                    pair = np.unique(row * groups + group[to])
-                    row, to = pair // groups, pair % groups
-                    rep = pieces[to]
-                    row, to = np.repeat(row, rep), np.repeat(first[to], rep) + (np.arange(rep.sum()) - np.repeat(np.cumsum(rep) - rep, rep))
-                    other = to != shard[row]
-                    yield pa.RecordBatch.from_pydict({"id": p.column(0).take(pa.array(row[other])), "shard": pa.array(to[other].astype(np.int32))})
-
-        kth = F.when(F.size("near") >= k, F.least(F.element_at("near", k)["d"], F.lit(farthest))).otherwise(F.lit(farthest))
-        asked = home.select("id", "vec", "cell", "shard", kth.cast("double").alias("kth")).mapInArrow(route, f"id {kind}, shard int")
+                x, cell, shard = matrix(b.column(1)), b.column(2).to_numpy(), b.column(3).to_numpy()
+                far = b.column(4).to_numpy(zero_copy_only=False)
+                row, to = _within(x, cell, far, cen, radius, group, most_asked, slack)
+                split = np.flatnonzero((pieces[group[cell]] > 1) & (far > 0))  # the other pieces of the own cells
+                row, to = np.r_[row, split], np.r_[to, group[cell[split]]]
+                rep = pieces[to]
+                row, to = np.repeat(row, rep), np.repeat(first[to], rep) + (np.arange(rep.sum()) - np.repeat(np.cumsum(rep) - rep, rep))
+                other = to != shard[row]
+                yield pa.RecordBatch.from_pydict({"id": b.column(0).take(pa.array(row[other])), "shard": pa.array(to[other].astype(np.int32))})
+
+        def look(left: pa.Table, right: pa.Table) -> pa.Table:
+            """Of each asking row the neighbours in this shard that are nearer than the ones it has; rows without any are left out."""
+            if not left.num_rows or not right.num_rows:
+                return pa.table({"id": left.column("id").slice(0, 0), "near": pa.array([], near)})
+            some, at, d = _nearer(matrix(right.column("_vec")), matrix(left.column("vec")), k, left.column("kth").to_numpy(), ef)
+            return pa.table({"id": left.column("id").take(pa.array(some)), "near": lists(at, d, near_enough(at, d), right.column("_id").combine_chunks())})
+
+        asked = home.select("id", "vec", "cell", "shard", "kth").mapInArrow(route, f"id {kind}, shard int")
         asked = materialize(asked, "asked")
-        # what is asked of a shard comes in parts of bounded size, each with its own copy of that shard's graph; a shard that nobody asks isn't copied
+        # what is asked of a shard comes in parts of bounded size, each with its own copy of that shard; a shard that nobody asks isn't copied
         parts = copies({r.shard: r["count"] for r in asked.groupBy("shard").count().collect()}, shard_rows)
         parts = F.broadcast(spark.createDataFrame(list(parts.items()), "shard int, _parts int"))
         asked = asked.join(parts, "shard").select("id", "shard", F.pmod(F.xxhash64("id", F.lit(3)), F.col("_parts")).cast("int").alias("part"))
-        asked = asked.join(home.select("id", "vec", "cell"), "id")
-        sent = graphs.join(parts, "shard").select("shard", "graph", "ids", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"))
+        asked = asked.join(home.select("id", "vec", "kth"), "id")
+        sent = home.select(F.col("id").alias("_id"), F.col("vec").alias("_vec"), "shard").join(parts, "shard").select("_id", "_vec", "shard", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"))
         away = asked.groupBy("shard", "part").cogroup(sent.groupBy("shard", "part")).applyInArrow(look, found)
-        merged = home.select("id", "near").unionByName(away.select("id", others)).groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near"))
-    best = F.slice(F.array_sort(F.array_distinct("near")), 1, k)
+        merged = home.select("id", "near").unionByName(away).groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near"))
+    best = F.slice(F.array_sort("near"), 1, k)
     return merged.select("id", F.explode(best).alias("x")).select("id", F.col("x.id").alias("neighbour"), F.col("x.d").alias("distance"))
 
 

@@ -152,3 +152,44 @@ def test_inflow_and_whole_columns(spark):
     assert set(whole.values()) == {0}
     one = {r.id: r.attractor for r in M.markov_clusters(e, rounds=0, loops=False).collect()}
     assert set(one.values()) == {0}
+
+
+def test_asked_shards_do_not_grow_with_shards():
+    """Over 400 groups of cells a vector asks no more than the most likely ones, and these hold nearly all its neighbours; one without k neighbours so far asks all within reach."""
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(2000, 30)).repeat(10, 0) + rng.normal(size=(20_000, 30)) * 0.25).astype(np.float32)
+    cen = H._fit(x[::5], 800)
+    cell, off = H._nearest_cell(x, cen)
+    radius = np.zeros(len(cen), np.float32)
+    np.maximum.at(radius, cell, off)
+    group = np.arange(800) // 2
+    q = x[:400]
+    d = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T, 0))
+    near = np.argsort(d, axis=1)[:, 1:9]
+    kth = d[np.arange(400), near[:, -1]].astype(np.float64)
+    kth[0] = np.inf
+    row, to = H._within(q, cell[:400], kth, cen, radius, group, 6)
+    asked = np.bincount(row, minlength=400)
+    assert asked[1:].max() <= 6 and asked[0] == 399 and (to != group[cell[row]]).all()
+    got = set(zip(row.tolist(), to.tolist(), strict=True))
+    held = [(group[cell[j]] == group[cell[i]]) or (i, group[cell[j]]) in got for i in range(400) for j in near[i]]
+    assert np.mean(held) > 0.97
+
+
+def test_nearer_than_what_is_known():
+    """A scanned shard and one searched by its graph give the rows that are nearer than the k-th known ones, also nearly equal ones."""
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(50, 12)).repeat(20, 0) * 3 + rng.normal(size=(1000, 12)) * 0.3).astype(np.float32)
+    q = np.concatenate([x[:40] + np.float32(1e-4), x[40:60] + np.float32(90)])
+    d = np.sqrt(((q[:, None].astype(np.float64) - x[None]) ** 2).sum(2))
+    kth = np.where(np.arange(60) < 40, np.sort(d, axis=1)[:, 4] + 1e-3, 1.0)
+    for scan in (16_384, 100):
+        H.SCAN_ROWS, before = scan, H.SCAN_ROWS
+        try:
+            some, at, dd = H._nearer(x, q, 5, kth, 48)
+        finally:
+            H.SCAN_ROWS = before
+        assert some.tolist() == list(range(40))
+        want = [set(np.argsort(r)[:5].tolist()) for r in d[:40]]
+        assert np.mean([len(w & set(a.tolist())) for w, a in zip(want, at, strict=True)]) > 4.8
+        assert (np.sqrt(dd[:, 0]) < 1e-3).all()
