@@ -193,3 +193,21 @@ def test_nearer_than_what_is_known():
         want = [set(np.argsort(r)[:5].tolist()) for r in d[:40]]
         assert np.mean([len(w & set(a.tolist())) for w, a in zip(want, at, strict=True)]) > 4.8
         assert (np.sqrt(dd[:, 0]) < 1e-3).all()
+
+
+def test_vectors_of_small_clusters_ask_few_shards():
+    """With a reach, as for clusters, also a vector that has fewer than k neighbours asks no more than the most likely groups."""
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(1500, 24)).repeat(3, 0) + rng.normal(size=(4500, 24)) * 0.05).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    cen = H._fit(x, 300)
+    cell, off = H._nearest_cell(x, cen)
+    radius = np.zeros(len(cen), np.float32)
+    np.maximum.at(radius, cell, off)
+    kth = np.full(len(x), 0.4**0.5)
+    every, _ = H._within(x, cell, kth, cen, radius, np.arange(300), 300)
+    row, to = H._within(x, cell, kth, cen, radius, np.arange(300), 8)
+    assert np.bincount(every).max() > 8 >= np.bincount(row).max()
+    got = set(zip(row.tolist(), to.tolist(), strict=True))
+    held = [cell[i] == cell[j] or (i, int(cell[j])) in got for i in range(len(x)) for j in range(i - i % 3, i - i % 3 + 3)]
+    assert np.mean(held) > 0.99
