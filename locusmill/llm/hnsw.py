@@ -467,14 +467,22 @@ def knn(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, ef: int = EF_S
     away are wanted. A vector with k neighbours in its shard (or with `reach`) asks at most `most_asked` other shards. The driver holds the cells' centroids: up to
     most_cells, and beyond that two for each 2 * shard_rows vectors.
     """
+    lists = neighbour_lists(vectors, k, shard_rows, ef, sample_rows, reach, most_cells, most_asked)
+    merged = lists.groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near"))
+    best = F.slice(F.array_sort("near"), 1, k)
+    return merged.select("id", F.explode(best).alias("x")).select("id", F.col("x.id").alias("neighbour"), F.col("x.d").alias("distance"))
+
+
+def neighbour_lists(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, ef: int = EF_SEARCH, sample_rows: int = SAMPLE_ROWS, reach: float | None = None, most_cells: int = MOST_CELLS, most_asked: int = ASKED_MOST) -> DataFrame:
+    """(id, shard, near): what `knn` merges. A row of each vector with its neighbours in its own shard, and one for each other shard that has nearer ones; shard is the vector's own in all of them."""
     spark = vectors.sparkSession
     kind = vectors.schema["id"].dataType.simpleString()
-    out_schema = f"id {kind}, neighbour {kind}, distance double"
+    found = f"id {kind}, shard int, near array<struct<d: double, id: {kind}>>"
     since = mark()
-    vectors = materialize(vectors.select("id", "vec"), "vectors")
+    vectors = vectors if getattr(vectors, "_path", None) and vectors.columns == ["id", "vec"] else materialize(vectors.select("id", "vec"), "vectors")
     n = vectors.count()
     if n < 2:
-        return spark.createDataFrame([], out_schema)
+        return spark.createDataFrame([], found)
     m = -(-n // sample_rows)
     some = vectors.where(F.pmod(F.xxhash64("id"), F.lit(m)) == 0).limit(2 * sample_rows).select("vec").toArrow()
     sample = matrix((some if some.num_rows else vectors.limit(1).select("vec").toArrow()).column("vec"))
@@ -517,7 +525,6 @@ def knn(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, ef: int = EF_S
     shards = int(pieces.sum())
 
     near = pa.list_(pa.struct([("d", pa.float64()), ("id", _arrow(kind))]))
-    found = f"id {kind}, near array<struct<d: double, id: {kind}>>"
 
     def lists(at: np.ndarray, d: np.ndarray, ok: np.ndarray, ids: pa.Array) -> pa.Array:
         items = pa.StructArray.from_arrays([pa.array(np.sqrt(d[ok]).astype(np.float64)), ids.take(pa.array(at[ok]))], names=["d", "id"])
@@ -539,48 +546,45 @@ def knn(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS, ef: int = EF_S
 
     built = placed.repartition(shards, "shard").groupBy("shard").applyInArrow(build, f"id {kind}, vec array<float>, cell int, shard int, near array<struct<d: double, id: {kind}>>")
     if shards == 1:
-        merged = built.select("id", "near")
-    else:
-        built = materialize(built, "built")
-        free_tables(since, built)
-        crossed = np.cumsum(matrix(built.where(F.col("id").isNull()).select("vec").toArrow().column("vec")).sum(0, dtype=np.float64))
-        # neighbours that the shards hold in other cells show how far beyond a plane neighbours lie: in many dimensions hardly any is near the end of its reach
-        slack = min(1.0, float(np.searchsorted(crossed, CROSSED * crossed[-1])) / 100) if crossed[-1] >= CROSSED_ROWS else 1.0
-        farthest = float("inf") if reach is None else float(reach)
-        kth = F.when(F.size("near") >= k, F.least(F.element_at("near", k)["d"], F.lit(farthest))).otherwise(F.lit(farthest)).cast("double").alias("kth")
-        home = built.where(F.col("id").isNotNull()).select("id", "vec", "cell", "shard", "near", kth)
-
-        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x, cell, shard = matrix(b.column(1)), b.column(2).to_numpy(), b.column(3).to_numpy()
-                far = b.column(4).to_numpy(zero_copy_only=False)
-                row, to = _within(x, cell, far, cen, radius, group, most_asked, slack)
-                split = np.flatnonzero((pieces[group[cell]] > 1) & (far > 0))  # the other pieces of the own cells
-                row, to = np.r_[row, split], np.r_[to, group[cell[split]]]
-                rep = pieces[to]
-                row, to = np.repeat(row, rep), np.repeat(first[to], rep) + (np.arange(rep.sum()) - np.repeat(np.cumsum(rep) - rep, rep))
-                other = to != shard[row]
-                yield pa.RecordBatch.from_pydict({"id": b.column(0).take(pa.array(row[other])), "shard": pa.array(to[other].astype(np.int32))})
-
-        def look(left: pa.Table, right: pa.Table) -> pa.Table:
-            """Of each asking row the neighbours in this shard that are nearer than the ones it has; rows without any are left out."""
-            if not left.num_rows or not right.num_rows:
-                return pa.table({"id": left.column("id").slice(0, 0), "near": pa.array([], near)})
-            some, at, d = _nearer(matrix(right.column("_vec")), matrix(left.column("vec")), k, left.column("kth").to_numpy(), ef)
-            return pa.table({"id": left.column("id").take(pa.array(some)), "near": lists(at, d, near_enough(at, d), right.column("_id").combine_chunks())})
-
-        asked = home.select("id", "vec", "cell", "shard", "kth").mapInArrow(route, f"id {kind}, shard int")
-        asked = materialize(asked, "asked")
-        # what is asked of a shard comes in parts of bounded size, each with its own copy of that shard; a shard that nobody asks isn't copied
-        parts = copies({r.shard: r["count"] for r in asked.groupBy("shard").count().collect()}, shard_rows)
-        parts = F.broadcast(spark.createDataFrame(list(parts.items()), "shard int, _parts int"))
-        asked = asked.join(parts, "shard").select("id", "shard", F.pmod(F.xxhash64("id", F.lit(3)), F.col("_parts")).cast("int").alias("part"))
-        asked = asked.join(home.select("id", "vec", "kth"), "id")
-        sent = home.select(F.col("id").alias("_id"), F.col("vec").alias("_vec"), "shard").join(parts, "shard").select("_id", "_vec", "shard", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"))
-        away = asked.groupBy("shard", "part").cogroup(sent.groupBy("shard", "part")).applyInArrow(look, found)
-        merged = home.select("id", "near").unionByName(away).groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near"))
-    best = F.slice(F.array_sort("near"), 1, k)
-    return merged.select("id", F.explode(best).alias("x")).select("id", F.col("x.id").alias("neighbour"), F.col("x.d").alias("distance"))
+        return built.select("id", "shard", "near")
+    built = materialize(built, "built")
+    free_tables(since, built)
+    crossed = np.cumsum(matrix(built.where(F.col("id").isNull()).select("vec").toArrow().column("vec")).sum(0, dtype=np.float64))
+    # neighbours that the shards hold in other cells show how far beyond a plane neighbours lie: in many dimensions hardly any is near the end of its reach
+    slack = min(1.0, float(np.searchsorted(crossed, CROSSED * crossed[-1])) / 100) if crossed[-1] >= CROSSED_ROWS else 1.0
+    farthest = float("inf") if reach is None else float(reach)
+    kth = F.when(F.size("near") >= k, F.least(F.element_at("near", k)["d"], F.lit(farthest))).otherwise(F.lit(farthest)).cast("double").alias("kth")
+    home = built.where(F.col("id").isNotNull()).select("id", "vec", "cell", "shard", "near", kth)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, cell, shard = matrix(b.column(1)), b.column(2).to_numpy(), b.column(3).to_numpy()
+            far = b.column(4).to_numpy(zero_copy_only=False)
+            row, to = _within(x, cell, far, cen, radius, group, most_asked, slack)
+            split = np.flatnonzero((pieces[group[cell]] > 1) & (far > 0))  # the other pieces of the own cells
+            row, to = np.r_[row, split], np.r_[to, group[cell[split]]]
+            rep = pieces[to]
+            row, to = np.repeat(row, rep), np.repeat(first[to], rep) + (np.arange(rep.sum()) - np.repeat(np.cumsum(rep) - rep, rep))
+            other = to != shard[row]
+            yield pa.RecordBatch.from_pydict({"id": b.column(0).take(pa.array(row[other])), "shard": pa.array(to[other].astype(np.int32))})
+
+    def look(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Of each asking row the neighbours in this shard that are nearer than the ones it has; rows without any are left out."""
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"id": left.column("id").slice(0, 0), "shard": pa.array([], pa.int32()), "near": pa.array([], near)})
+        some, at, d = _nearer(matrix(right.column("_vec")), matrix(left.column("vec")), k, left.column("kth").to_numpy(), ef)
+        return pa.table({"id": left.column("id").take(pa.array(some)), "shard": left.column("_own").take(pa.array(some)), "near": lists(at, d, near_enough(at, d), right.column("_id").combine_chunks())})
+
+    asked = home.select("id", "vec", "cell", "shard", "kth").mapInArrow(route, f"id {kind}, shard int")
+    asked = materialize(asked, "asked")
+    # what is asked of a shard comes in parts of bounded size, each with its own copy of that shard; a shard that nobody asks isn't copied
+    parts = copies({r.shard: r["count"] for r in asked.groupBy("shard").count().collect()}, shard_rows)
+    parts = F.broadcast(spark.createDataFrame(list(parts.items()), "shard int, _parts int"))
+    asked = asked.join(parts, "shard").select("id", "shard", F.pmod(F.xxhash64("id", F.lit(3)), F.col("_parts")).cast("int").alias("part"))
+    asked = asked.join(home.select("id", "vec", "kth", F.col("shard").alias("_own")), "id")
+    sent = home.select(F.col("id").alias("_id"), F.col("vec").alias("_vec"), "shard").join(parts, "shard").select("_id", "_vec", "shard", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"))
+    away = asked.groupBy("shard", "part").cogroup(sent.groupBy("shard", "part")).applyInArrow(look, found)
+    return home.select("id", "shard", "near").unionByName(away)
 
 
 def _arrow(kind: str) -> pa.DataType:

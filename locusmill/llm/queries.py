@@ -102,15 +102,15 @@ def p4_neighbours(spark, d):
     return _nearest(spark, d).select(F.col("id").alias("cell_id"), "neighbour", "distance")
 
 
-def _clusters(spark, d):
+def _clusters(spark, d, find=mcl.cluster_vectors):
     p = _run(spark, d, "clusters")
     rows = table(spark, d, "cell_vectors").where(F.col("use_rep") == p.use_rep)
-    return mcl.cell_clusters(rows, 0.8, p.n_neighbors)
+    return find(hnsw.usable_vectors(rows, unit=True), 0.8, p.n_neighbors)
 
 
 @query("p5_found", _USABLE.format(rep="X_iterative_lsi") + " select a.cell_id as cell_a, b.cell_id as cell_b from v a join v b on a.cell_id < b.cell_id and list_cosine_similarity(a.vec, b.vec) >= 0.8")
 def p5_found(spark, d):
-    c = materialize(_clusters(spark, d).select("id", "cluster"), "clusters")
+    c = _clusters(spark, d, mcl.cluster_members).select("id", "cluster")
     other = c.select(F.col("id").alias("cell_b"), "cluster")
     return c.select(F.col("id").alias("cell_a"), "cluster").join(other, "cluster").where(F.col("cell_a") < F.col("cell_b")).select("cell_a", "cell_b")
 

@@ -211,3 +211,63 @@ def test_vectors_of_small_clusters_ask_few_shards():
     got = set(zip(row.tolist(), to.tolist(), strict=True))
     held = [cell[i] == cell[j] or (i, int(cell[j])) in got for i in range(len(x)) for j in range(i - i % 3, i - i % 3 + 3)]
     assert np.mean(held) > 0.99
+
+
+def test_flow_writes_no_table_for_a_round(spark, monkeypatch):
+    """Rounds and levels of flow run within tasks: the tables written for a search of neighbours and the flow on it are few, however many rounds the flow takes."""
+    rng = np.random.default_rng(12)
+    c = np.linalg.qr(rng.normal(size=(16, 16)))[0][:6]
+    x = np.concatenate([c.repeat(60, 0) + rng.normal(size=(360, 16)) * 0.07])
+    df = spark.createDataFrame([(int(i), [float(a) for a in v]) for i, v in enumerate(x)], "cell_id bigint, vec array<float>")
+    written, write = [], M.materialize
+    monkeypatch.setattr(M, "materialize", lambda df, name="t": written.append(name) or write(df, name))
+    got = {r.id: r.cluster for r in M.cell_clusters(df).collect()}
+    assert len(got) == 360 and all(len({got[i] for i in range(k, k + 60)}) == 1 for k in range(0, 360, 60)) and len(set(got.values())) == 6
+    assert len(written) <= 1 + 2 * 8
+
+
+def test_flow_in_parts_is_that_of_rounds(spark, monkeypatch):
+    """Dense, sparse and distributed flow lead every node to the same attractor, with the same flow."""
+    rng = np.random.default_rng(13)
+    size = np.array([2, 3, 7, 30, 90, 200])
+    part = np.repeat(np.arange(len(size)), size)
+    start = np.cumsum(size) - size
+    links = {}
+    for p, (s, n) in enumerate(zip(start, size, strict=True)):
+        group = rng.integers(0, max(1, n // 12), n)
+        for i in range(1, n):
+            links[s + i, s + rng.integers(0, i)] = 0.05 + 0.1 * rng.random()  # a part hangs together
+        for i, j in rng.integers(0, n, (8 * n, 2)).tolist():
+            if i != j and (group[i] == group[j] or rng.random() < 0.05):
+                links[s + i, s + j] = 0.2 + 0.8 * rng.random()
+    a, b, w = np.array([i for i, _ in links]), np.array([j for _, j in links]), np.array(list(links.values()))
+    cluster, flow, inflow = M.flow_in_parts(a, b, w, part)
+    assert all(len(set(cluster[part == p])) == 1 for p in range(len(size)))
+    monkeypatch.setattr(M, "DENSE_ROWS", 5)
+    sparse = M.flow_in_parts(a, b, w, part)
+    assert (sparse[0] == cluster).all() and np.allclose(sparse[1], flow, rtol=1e-4) and np.allclose(sparse[2], inflow, rtol=1e-4)
+    whole = M.flow_in_parts(a, b, w, part * 0)
+    assert (whole[0] == cluster).all()
+    e = spark.createDataFrame([(int(i), int(j), float(x)) for i, j, x in zip(a, b, w, strict=True)], "a bigint, b bigint, w double")
+    got = {r.cluster: r for r in M._flow_by_rounds(e).collect()}
+    assert [got[i].attractor for i in range(len(part))] == cluster.tolist()
+    assert np.allclose([got[i]._in for i in range(len(part))], inflow, rtol=1e-3)
+
+
+@pytest.mark.parametrize("ways", [{}, {"local_rows": 20, "driver_links": 0}])
+def test_parts_over_shards(spark, monkeypatch, ways):
+    """Clusters whose links cross the shards, some named only by other shards, come out whole, once for each vector."""
+    near = [(1, 0, [(0.1, 3)]), (2, 0, []), (5, 0, [(0.2, 6)]), (3, 1, []), (4, 1, [(0.3, 3)]), (1, 0, [(0.05, 6)]), (6, 2, []), (7, 2, [(0.4, 8), (0.9, 1)]), (8, 2, [(0.4, 7)]), (9, 3, [(0.1, 2)])]
+    lists = spark.createDataFrame(near, "id bigint, shard int, near array<struct<d: double, id: bigint>>")
+    rows = M._flowed(lists, 15, 0.8, ways.get("local_rows", 2), ways.get("driver_links", 100)).collect()
+    got = {r.cluster: r.attractor for r in rows}
+    assert len(rows) == len(got) == 9 and len({got[i] for i in (1, 3, 4, 5, 6)}) == 1 and len(set(got.values())) == 3 and got[7] == got[8] and got[2] == got[9]
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(60, 24)).repeat(12, 0) + rng.normal(size=(720, 24)) * 0.2
+    df = frame(spark, x / np.linalg.norm(x, axis=1)[:, None])
+    lists = M.neighbour_lists
+    monkeypatch.setattr(M, "neighbour_lists", lambda *a, **b: lists(*a, shard_rows=40, **b))
+    member = M.cluster_members(df, 0.8, **ways).collect()
+    got = {r.id: r.cluster for r in member}
+    assert len(member) == len(got) == 720
+    assert [len({got[i] for i in range(k, k + 12)}) for k in range(0, 720, 12)] == [1] * 60 and len(set(got.values())) == 60
