@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -169,6 +170,56 @@ def test_scan_and_genome_chunks_agree(spark, tmp_path):
     assert MO.build_database(g, lib, str(tmp_path / "db"), size=250).count() == len(whole)
 
 
+def _shuffled(spark):
+    it = spark.sparkContext._jsc.sc().statusStore().executorList(False).iterator()
+    n = 0
+    while it.hasNext():
+        n += it.next().totalShuffleWrite()
+    return n
+
+
+def _dense_sites(spark, terms=120, regions=300):
+    """Every term at nearly every region, in two parts that share none."""
+    r = random.Random(5)
+    rows = [(f"t{i}", 2 * k + i % 2, float(r.randrange(1, 50))) for i in range(terms) for k in range(regions) if r.random() < 0.9]
+    return rows, spark.createDataFrame(rows, "term string, region int, score double").repartition(4)
+
+
+def test_network_moves_no_row_for_each_pair_of_a_region(spark):
+    rows, s = _dense_sites(spark)
+    before, most = _shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    got = {(x.a, x.b): (x.correlation, x.shared) for x in N.cooccurrence_network(s, 0.1, 5).collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    time.sleep(0.5)
+    assert _shuffled(spark) - before < 3_000_000  # rows for pairs and regions took 11.6 MB, packed parts of lists take 0.8 MB
+    terms, regions = sorted({x[0] for x in rows}), sorted({x[1] for x in rows})
+    m = np.zeros((len(terms), len(regions)))
+    for t, k, v in rows:
+        m[terms.index(t), regions.index(k)] = v
+    c, both = np.corrcoef(m), (m > 0).astype(int) @ (m > 0).astype(int).T
+    want = {(terms[i], terms[j]): (c[i, j], both[i, j]) for i in range(len(terms)) for j in range(i + 1, len(terms)) if abs(c[i, j]) >= 0.1 and both[i, j] >= 5}
+    assert got.keys() == want.keys() and len(got) > 1000
+    assert all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0]) for k in got)
+
+
+def test_network_of_odd_sites(spark):
+    rows = [("a", 1, 2.0), ("a", 1, 3.0), ("b", 1, 5.0), (None, 1, 9.0), ("a", None, 4.0), ("b", 2, None), ("a", 2, 1.0), ("c", 3, 1.0), (None, 4, 1.0)]
+    s = spark.createDataFrame(rows, "term string, region int, score double")
+    (x,) = N.cooccurrence_network(s, 0.0, 1).collect()
+    # four regions; the scores of a are 3, 1 and 4 (at none), those of b 5 and NULL
+    r = (4 * 15 - 8 * 5) / ((4 * 26 - 64) * (4 * 25 - 25)) ** 0.5
+    assert (x.a, x.b, x.shared) == ("a", "b", 2) and x.correlation == pytest.approx(r)
+    assert N.cooccurrence_network(s.limit(0), 0.0, 1).count() == 0
+    few, held = N.TERMS_HELD, N.cooccurrence_network(_dense_sites(spark, 20, 30)[1], 0.05, 2).toPandas()
+    try:
+        N.TERMS_HELD = 3
+        many = N.cooccurrence_network(_dense_sites(spark, 20, 30)[1], 0.05, 2).toPandas()
+    finally:
+        N.TERMS_HELD = few
+    assert held.sort_values(["a", "b"]).round(12).values.tolist() == many.sort_values(["a", "b"]).round(12).values.tolist() and len(held)
+
+
 def test_network_parts(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("x", "y")], "a string, b string")
     assert {r.id: r.component for r in N.components(e).collect()} == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x"}
