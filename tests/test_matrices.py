@@ -203,6 +203,19 @@ def test_network_moves_no_row_for_each_pair_of_a_region(spark):
     assert all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0]) for k in got)
 
 
+def test_network_degrees_read_their_edges_once(spark):
+    n = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            n.add(b.num_rows)
+            yield b
+
+    e = spark.createDataFrame([("a", "b", 0.5), ("b", "c", 0.25)], "a string, b string, w double").mapInArrow(seen, "a string, b string, w double")
+    assert {tuple(x) for x in N.degrees(e).collect()} == {("a", 1, 0.5), ("b", 2, 0.75), ("c", 1, 0.25)}
+    assert n.value == 2
+
+
 def test_network_of_odd_sites(spark):
     rows = [("a", 1, 2.0), ("a", 1, 3.0), ("b", 1, 5.0), (None, 1, 9.0), ("a", None, 4.0), ("b", 2, None), ("a", 2, 1.0), ("c", 3, 1.0), (None, 4, 1.0)]
     s = spark.createDataFrame(rows, "term string, region int, score double")
