@@ -216,6 +216,20 @@ def test_network_degrees_read_their_edges_once(spark):
     assert n.value == 2
 
 
+def test_network_file_is_written_packed(spark, tmp_path):
+    from locusmill.sources import writers
+
+    e = spark.createDataFrame([(f"t{i}", f"t{i + 1}", 5, 0.25) for i in range(5000)], "a string, b string, shared bigint, correlation double").coalesce(1)
+    sizes = []
+    for kind in ("none", "gzip"):
+        p = tmp_path / kind
+        writers.write_tab(e, str(p), e.columns, header=True, compression=kind)
+        sizes.append(sum(x.stat().st_size for x in p.glob("part-*")))
+        back = spark.read.csv(str(p), sep="\t", header=True, schema=e.schema)
+        assert back.count() == 5000 and not back.exceptAll(e).count()
+    assert sizes[1] * 3 < sizes[0]
+
+
 def test_network_of_odd_sites(spark):
     rows = [("a", 1, 2.0), ("a", 1, 3.0), ("b", 1, 5.0), (None, 1, 9.0), ("a", None, 4.0), ("b", 2, None), ("a", 2, 1.0), ("c", 3, 1.0), (None, 4, 1.0)]
     s = spark.createDataFrame(rows, "term string, region int, score double")
