@@ -247,6 +247,32 @@ def test_network_of_odd_sites(spark):
     assert held.sort_values(["a", "b"]).round(12).values.tolist() == many.sort_values(["a", "b"]).round(12).values.tolist() and len(held)
 
 
+def _shuffled_by(spark, fn):
+    """What fn gives, and the bytes it shuffles when nothing is broadcast by size, as for large tables."""
+    most, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), _shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = fn()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    time.sleep(0.5)
+    return got, _shuffled(spark) - before
+
+
+def _links(nodes=150):
+    """Two parts, in which 80 of 100 nodes are linked."""
+    r = random.Random(4)
+    return [(f"n{i}", f"n{j}") for i in range(nodes) for j in range(i + 2, nodes, 2) if r.random() < 0.8]
+
+
+def test_network_components_by_a_forest(spark):
+    rows = _links()
+    e = spark.createDataFrame(rows, "a string, b string").repartition(3)
+    assert N.forest(e, 1000).count() < len(rows) // 5
+    assert {r.id: r.component for r in N.components(N.forest(e, 1000)).collect()} == {r.id: r.component for r in N.components(e).collect()} == {f"n{i}": f"n{i % 2}" for i in range(150)}
+    assert N.components(N.forest(e.limit(0))).count() == 0
+
+
 def test_network_parts(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("x", "y")], "a string, b string")
     assert {r.id: r.component for r in N.components(e).collect()} == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x"}
