@@ -273,6 +273,15 @@ def test_network_components_by_a_forest(spark):
     assert N.components(N.forest(e.limit(0))).count() == 0
 
 
+def test_network_summary_shuffles_a_forest(spark):
+    rows = _links(300)
+    e = spark.createDataFrame(rows, "a string, b string").repartition(3)
+    e.count()
+    x, moved = _shuffled_by(spark, lambda: N.network_summary(e).first())
+    assert (x.nodes, x.links, x.components) == (300, len(rows), 2)
+    assert moved < 400_000, moved
+
+
 def test_network_parts(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("x", "y")], "a string, b string")
     assert {r.id: r.component for r in N.components(e).collect()} == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x"}
