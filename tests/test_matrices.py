@@ -282,6 +282,20 @@ def test_network_summary_shuffles_a_forest(spark):
     assert moved < 400_000, moved
 
 
+def test_network_ranks_move_by_node(spark):
+    rows = _links()
+    e = spark.createDataFrame(rows + [(b, a) for a, b in rows[:50]], "a string, b string").repartition(3)
+    got, moved = _shuffled_by(spark, lambda: {r.id: r["rank"] for r in N.pagerank(e, 5).collect()})
+    m = np.zeros((150, 150))
+    for a, b in rows:
+        m[int(a[1:]), int(b[1:])] = m[int(b[1:]), int(a[1:])] = 1
+    x = np.full(150, 1 / 150)
+    for _ in range(5):
+        x = 0.15 / 150 + 0.85 * m @ (x / m.sum(0))
+    assert got == {f"n{i}": pytest.approx(x[i]) for i in range(150)}
+    assert moved < 400_000, moved
+
+
 def test_network_parts(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("x", "y")], "a string, b string")
     assert {r.id: r.component for r in N.components(e).collect()} == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x"}
