@@ -296,6 +296,25 @@ def test_network_ranks_move_by_node(spark):
     assert moved < 400_000, moved
 
 
+def test_network_triangles_move_by_list(spark):
+    rows = _links(200)
+    e = spark.createDataFrame(rows, "a string, b string").repartition(3)
+    got, moved = _shuffled_by(spark, lambda: {r.id: (r.triangles, r.clustering) for r in N.triangles(e).collect()})
+    m = np.zeros((200, 200))
+    for a, b in rows:
+        m[int(a[1:]), int(b[1:])] = m[int(b[1:]), int(a[1:])] = 1
+    t, d = np.diag(m @ m @ m) / 2, m.sum(0)
+    assert got == {f"n{i}": (t[i], pytest.approx(t[i] / (d[i] * (d[i] - 1) / 2))) for i in range(200)}
+    assert moved < 1_000_000, moved
+    few = N.TERMS_HELD
+    try:
+        N.TERMS_HELD = 3
+        assert {r.id: r.triangles for r in N.triangles(e).collect()} == {k: v[0] for k, v in got.items()}
+        assert N.pagerank(e, 2).count() == 200
+    finally:
+        N.TERMS_HELD = few
+
+
 def test_network_parts(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("x", "y")], "a string, b string")
     assert {r.id: r.component for r in N.components(e).collect()} == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x"}
