@@ -315,6 +315,16 @@ def test_network_triangles_move_by_list(spark):
         N.TERMS_HELD = few
 
 
+def test_network_communities_move_by_node(spark):
+    r = random.Random(6)
+    rows = [(f"n{i}", f"n{j}", r.random() + (i % 5 == j % 5)) for i in range(150) for j in range(i + 1, 150) if r.random() < (0.8 if i % 5 == j % 5 else 0.1)]
+    e = spark.createDataFrame(rows, "a string, b string, w double").repartition(3)
+    got, moved = _shuffled_by(spark, lambda: {x.id: x.community for x in N.communities(e).collect()})
+    want, plain = _shuffled_by(spark, lambda: {x.id: x.community for x in E.communities(e.unionByName(e.selectExpr("b as a", "a as b", "w"))).collect()})
+    assert got == want and len(set(got.values())) == 5
+    assert moved * 5 < plain, (moved, plain)
+
+
 def test_network_parts(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("x", "y")], "a string, b string")
     assert {r.id: r.component for r in N.components(e).collect()} == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x"}
